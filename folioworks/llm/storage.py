@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; where it is unset (tests) a folder of this machine is set."""
+    """Return ``spark.checkpoint.dir``; where it is unset (tests) a folder of this machine serves."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and cut its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and read it from there.
+
+    This cuts the lineage: a lost executor costs no recomputation of what came
+    before.  The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/folioworks-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(place)
