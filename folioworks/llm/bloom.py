@@ -6,18 +6,18 @@ filter that fills up at a larger scale costs time and never changes a result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from .words import mix
 
-#: 2**26 bits: 8 MB sent to each Python worker, 1 M rows of 64 bits gathered at most.
-MAX_BITS = 26
+#: Bits of the largest filter, as a power of two: 16 MB pass the driver to each Python worker.
+MAX_BITS = 27
+#: Parts that are filled apart, as a power of two.
+_PARTS = 6
 
-
-def _second(x: np.ndarray) -> np.ndarray:
-    return mix(x ^ np.uint64(0x5851F42D4C957F2D))
+_U = np.uint64
 
 
 class Bloom:
@@ -26,32 +26,44 @@ class Bloom:
     def __init__(self, bits: int, cells: np.ndarray):
         self.bits, self.cells = bits, cells
 
-    def __contains__(self, value: int) -> bool:
-        return bool(self.may_contain(np.array([value], np.int64).view(np.uint64))[0])
-
     def may_contain(self, values: np.ndarray) -> np.ndarray:
+        part = values >> _U(64 - _PARTS)
         out = np.ones(len(values), bool)
-        for h in (values, values >> np.uint64(32)):
-            p = h & np.uint64((1 << self.bits) - 1)
-            out &= (self.cells[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        for p in _places(values, self.bits):
+            at = (part << _U(self.bits - _PARTS)) | p
+            out &= self.cells[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1 == 1
         return out
 
 
+def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = _U((1 << (bits - _PARTS)) - 1)
+    return values & mask, (values >> _U(26)) & mask
+
+
 def build(df: DataFrame, hashed: Column, count: int) -> Bloom:
     """Build the filter over ``hashed``, a column of well-mixed 64-bit values.
 
-    ``count`` (their number) sets the size, up to ``MAX_BITS``.  Bits are set by
-    a grouped ``bit_or``; at most ``2**MAX_BITS / 64`` rows reach the driver.
+    ``count`` (their number) sets the size, up to ``MAX_BITS``.  The values are
+    dealt by their top bits and each part is filled in a task of its own.
     """
-    bits = min(MAX_BITS, max(12, (16 * max(count, 1)).bit_length()))
-    mask = (1 << bits) - 1
-    low, high = hashed.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(hashed, 32).bitwiseAND(F.lit(mask))
-    rows = (
-        df.select(F.explode(F.array(low, high)).alias("p"))
-        .groupBy(F.shiftright("p", 6).cast("int").alias("cell"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("set"))
-        .toPandas()
-    )
-    cells = np.zeros(1 << (bits - 6), np.uint64)
-    cells[rows["cell"].to_numpy(np.int64)] = rows["set"].to_numpy(np.int64).view(np.uint64)
+    bits = min(MAX_BITS, max(_PARTS + 6, (16 * max(count, 1)).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).view(_U)
+            owner = values >> _U(64 - _PARTS)
+            for part in np.unique(owner):
+                held = parts.setdefault(int(part), np.zeros(1 << (bits - _PARTS - 3), np.uint8))
+                for p in _places(values[owner == part], bits):
+                    np.bitwise_or.at(held, (p >> _U(3)).astype(np.int64), np.uint8(1) << (p & _U(7)).astype(np.uint8))
+        if parts:
+            yield pa.record_batch({"part": pa.array(list(parts), pa.int32()), "cells": pa.array([x.tobytes() for x in parts.values()], pa.binary())})
+
+    cells = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (bits - _PARTS - 3)
+    values = df.select(hashed.alias("h"))
+    for row in values.repartition(1 << _PARTS, values.h.bitwiseAND(-(1 << (64 - _PARTS)))).mapInArrow(fill, "part int, cells binary").toLocalIterator():
+        at = row["part"] * size
+        cells[at : at + size] |= np.frombuffer(row["cells"], np.uint8)
     return Bloom(bits, cells)
