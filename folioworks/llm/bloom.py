@@ -63,7 +63,7 @@ def build(df: DataFrame, hashed: Column, count: int) -> Bloom:
     cells = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (bits - _PARTS - 3)
     values = df.select(hashed.alias("h"))
-    for row in values.repartition(1 << _PARTS, values.h.bitwiseAND(-(1 << (64 - _PARTS)))).mapInArrow(fill, "part int, cells binary").toLocalIterator():
+    for row in values.repartition(values.h.bitwiseAND(-(1 << (64 - _PARTS)))).mapInArrow(fill, "part int, cells binary").collect():
         at = row["part"] * size
         cells[at : at + size] |= np.frombuffer(row["cells"], np.uint8)
     return Bloom(bits, cells)
