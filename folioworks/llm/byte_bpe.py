@@ -12,15 +12,20 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import SLICE_BYTES
+
 #: Encoded pre-tokens kept by a Python worker; it starts anew when they are more.
 CACHED = 300_000
 
@@ -79,27 +84,44 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.characters = dict(enumerate(byte_characters()))
-        self.cache: dict[str, list[int]] = {}
-
-    def _encode_pre_token(self, pre_token: str) -> list[int]:
-        raw = pre_token.encode()
-        if raw in self.whole:
-            return [self.whole[raw]]
-        return [self.ids[i - 1] for i in self.pieces.encode(raw.decode("latin-1").translate(self.characters))]
+        self.cache: dict[str, bytes] = {}
+
+    def _look_up(self, pre_tokens: list[str]) -> list[bytes]:
+        """Ids of each of some different pre-tokens, as 32-bit integers."""
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        found = list(map(self.cache.get, pre_tokens))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        mapped = [pre_tokens[i].encode().decode("latin-1").translate(self.characters) for i in missing]
+        for i, pieces in zip(missing, self.pieces.encode(mapped, num_threads=1) if mapped else [], strict=True):
+            whole = self.whole.get(pre_tokens[i].encode())
+            ids = [self.ids[p - 1] for p in pieces] if whole is None else [whole]
+            found[i] = array("i", ids).tobytes()
+            if len(pre_tokens[i]) < 64:
+                self.cache[pre_tokens[i]] = found[i]
+        return found
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` one after the other, and the offset of each text (one more at the end)."""
+        pre_tokens, counts = [], [0]
+        for text in texts:
+            pre_tokens += self.pattern.findall(text)
+            counts.append(len(pre_tokens))
+        if not pre_tokens:
+            return np.empty(0, np.int32), np.zeros(len(counts), np.int64)
+        coded = pa.array(pre_tokens, pa.large_string()).dictionary_encode()
+        ids = self._look_up(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = coded.indices.to_numpy()
+        begin, own = (np.cumsum(length) - length)[code], length[code]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        out = flat[np.repeat(begin - ends[:-1], own) + np.arange(ends[-1])]
+        return out, ends[counts]
 
     def encode(self, text: str) -> list[int]:
         """Ids of ``text``; no special tokens."""
-        cache, out = self.cache, []
-        if len(cache) > CACHED:
-            cache.clear()
-        for match in self.pattern.findall(text):
-            ids = cache.get(match)
-            if ids is None:
-                ids = self._encode_pre_token(match)
-                if len(match) < 64:
-                    cache[match] = ids
-            out.extend(ids)
-        return out
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes that ``ids`` stand for."""
@@ -112,6 +134,17 @@ def _tokenizer(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``SLICE_BYTES``, or of one longer text."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))).astype(np.int64)
+    start = 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        yield start, end
+        start = end
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Return ``id, ids`` (``array<int>``) for ``docs`` (``id`` long, ``text``).
 
@@ -122,8 +155,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path, pattern)
         for batch in batches:
-            ids = [tokenizer.encode(text or "") for text in batch.column(1).to_pylist()]
-            yield pa.record_batch({"id": batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
+            for start, end in _slices(batch.column(1)):
+                ids, offsets = tokenizer.encode_batch(batch.column(1).slice(start, end - start).fill_null("").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+                yield pa.record_batch({"id": batch.column(0).slice(start, end - start), "ids": lists})
 
     return docs.select("id", "text").mapInArrow(run, "id long, ids array<int>")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import byte_bpe, jaccard_join, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard_join": lambda spark, sf_dir: jaccard_join.op1(_documents(spark, sf_dir)),
+    "op6_byte_bpe": lambda spark, sf_dir: byte_bpe.op6(_documents(spark, sf_dir)),
+    "op9_toxicity": lambda spark, sf_dir: toxicity.op9(_documents(spark, sf_dir), _labels(spark, sf_dir)),
     "op10_substring_dedup": lambda spark, sf_dir: substring_dedup.op10(_documents(spark, sf_dir)),
 }
 
