@@ -38,6 +38,7 @@ RULES = (
     ("length", "true", "n_words", 80.0, 100000.0, 50.0, None),
     ("letters", "n_chars > 0", "n_letters / n_chars", 0.85, 1.0, 0.7, None),
     ("capitals", "n_letters > 0", "n_capitals / n_letters", 0.0, 0.15, None, 0.5),
+    ("bars", "n_words > 0", "n_bars / n_words", 0.0, 0.05, None, 0.2),
     ("exclamations", "n_words > 0", "n_shouts / n_words", 0.0, 0.05, None, 0.25),
 )
 
@@ -65,6 +66,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "n_words",
         F.length("dense").cast("long").alias("word_chars"),
         (F.length("dense") - F.length(_without(F.col("dense"), SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.length("dense") - F.length(_without(F.col("dense"), "|"))).cast("long").alias("n_bars"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
