@@ -175,15 +175,21 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, decoded binary")
 
 
-def op6(docs: DataFrame) -> DataFrame:
-    """Digests of ids and of decoded bytes for a ``documents`` table."""
+def tokenized(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """Encode and decode a ``documents`` table: ``doc_id, n_tokens, ids`` and digests of the ids and of the decoded bytes."""
     import public_tokenizers
 
-    place = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    place = public_tokenizers.path(name), public_tokenizers.PATTERN
     out = decode(encode(docs.select(F.col("doc_id").alias("id"), "text"), *place), *place)
     return out.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op6(docs: DataFrame) -> DataFrame:
+    """Digests of ids and of decoded bytes for a ``documents`` table."""
+    return tokenized(docs).drop("ids")

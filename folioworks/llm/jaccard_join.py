@@ -279,6 +279,16 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     return out.select("id", F.col("n").alias("n_shingles"), own.alias("component"))
 
 
+def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of a ``documents`` table without those whose group of near copies has a smaller id; all columns stay.
+
+    Texts without words and rows without an id are no copies; rows that share an id are one document.
+    """
+    linked = link_documents(docs.select(F.col("doc_id").alias("id"), "text"), size, percent)
+    gone = linked.filter("component < id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 def op1(docs: DataFrame) -> DataFrame:
     """:func:`link_documents` with 3-word shingles at 90 % over a ``documents`` table."""
     out = link_documents(docs.select(F.col("doc_id").alias("id"), "text"), size=3, percent=90)

@@ -201,6 +201,12 @@ def redact(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return found.withColumn("spans", F.array_sort(every)).select("id", text.alias("text"), *keep)
 
 
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """A ``documents`` table with :func:`redact` applied and ``n_chars`` counted anew."""
+    out = redact(docs.select(F.col("doc_id").alias("id"), "text", "lang", "source"), ("lang", "source"))
+    return out.select(F.col("id").alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5(docs: DataFrame) -> DataFrame:
     """Counts and spans of personal data for a ``documents`` table."""
     out = find(docs.select(F.col("doc_id").alias("id"), "text"))

@@ -100,6 +100,21 @@ def stream(scheduled: DataFrame) -> DataFrame:
     return rows.repartitionByRange("finish", "id", "copy").sortWithinPartitions("finish", "id", "copy")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of a ``documents`` table that the mix takes, a row for each copy, in the columns of documents.
+
+    A copy that the end of the budget cuts keeps its first words, joined by one space.
+    Rows that share an id get the same copies; rows without an id are not taken.
+    """
+    scheduled = schedule(docs.select(F.col("doc_id").alias("id"), "source", "text"))
+    copies = scheduled.groupBy("id").agg(F.max_by("copies", F.size("copies")).alias("copies"), F.max("size").alias("size"))
+    copies = copies.select("id", "size", F.explode("copies").alias("c")).select("id", "size", "c.taken")
+    rows = docs.join(copies, docs["doc_id"] == copies["id"])
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int"))
+    text = F.when(F.col("taken") < F.col("size"), F.array_join(words, " ")).otherwise(F.col("text"))
+    return rows.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
 def op4(docs: DataFrame) -> DataFrame:
     """Words that the mix takes of each document of a ``documents`` table, by virtual time of its first copy."""
     out = schedule(docs.select(F.col("doc_id").alias("id"), "source", "text"))
