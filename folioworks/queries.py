@@ -1,15 +1,230 @@
-"""Registry of the document-structuring queries."""
+"""Registry of the document-structuring queries; arrays are joined so that values compare."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .functions import metadata, text
+from .functions.tables import tables_to_sentences
+from .operators import context, quality, statistics, structure
+from .oracle import ORACLE_SQL as ORACLE_SQL
+from .plans import structuring
+from .sinks.chunks import latest_states
+from .sources import adapters
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _of_orders(name: str, column: Callable[[Column], Column]) -> Query:
+    return lambda spark, sf_dir: adapters.orders_md(spark, sf_dir).select("document_id", column(F.col("text")).alias(name))
+
+
+def _of_sections(*columns: str | Column) -> Query:
+    return lambda spark, sf_dir: structure.chunk(adapters.documents_md(spark, sf_dir)).select("document_id", "position", *columns)
+
+
+def _of_structured(*columns: str | Column) -> Query:
+    return lambda spark, sf_dir: structuring.structured(adapters.documents_md(spark, sf_dir)).select("document_id", "position", *columns)
+
+
+def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.carry_headings(structure.classify_headers(structure.split_lines(adapters.documents_md(spark, sf_dir))))
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.reject_reason(structure.emit_sections(_carried(spark, sf_dir)))
+
+
+def _joined(array: str) -> Column:
+    return F.array_join(array, "|").alias(array)
+
+
+def _valid_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.table(spark, sf_dir, "documents").withColumns({"user_id": F.lit("u"), "project_id": F.lit("p")})
+    return docs.filter(structuring.reject_code().isNull()).select("doc_id")
+
+
+def _reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structuring.rejects(adapters.documents_md(spark, sf_dir).withColumns({"user_id": F.lit("u"), "project_id": F.lit("p")}))
+
+
+def _clean_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.concat(F.lit("\x07  "), "text", F.lit("\n\n\nfin\t\t."))
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_noise(noisy)).alias("cleaned"))
+
+
+def _inline_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("# "), "n_name", F.lit(" ## "), "n_name", F.lit(" ### x y"))
+    return adapters.table(spark, sf_dir, "nation").select("n_nationkey", text.split_inline_headers(line).alias("text"))
+
+
+def _html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.pages_md(spark, sf_dir).select("document_id", text.clean_html_entities(F.col("text")).alias("text"))
+
+
+def _html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.concat(F.lit("avant <table><tr><th>Clé</th><th>Montant</th></tr><tr><td> "), F.col("o_orderkey").cast("string"), F.lit(" </td><td>"), F.floor("o_totalprice").cast("string"), F.lit("</td></tr></table> après"))
+    return adapters.table(spark, sf_dir, "orders").select("o_orderkey", text.html_tables_to_markdown(cell).alias("text"))
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(text.repeated_lines(F.col("text"))).alias("line"))
+    same = F.size(F.filter(F.transform(F.split("text", "\n"), text.strip), lambda x: x == F.col("line")))
+    return docs.select("doc_id", "line", same.alias("n"))
+
+
+def _parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.orders_md(spark, sf_dir).select("document_id", metadata.parties(metadata.header_of(F.col("text"))).alias("parties"))
+    return rows.select("document_id", F.array_join(F.transform("parties", lambda p: F.concat(p["role"], F.lit(": "), p["name"])), "|").alias("parties"))
+
+
+def _header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    lines = F.array(
+        F.concat(F.lit("CHAPITRE "), key, F.lit(" - "), name), F.concat(F.lit("**Article 1."), key, F.lit(" - Objet**")), F.concat(F.lit("1.2."), key, F.lit(" : détail")),
+        F.concat(key, F.lit("/ "), name), F.concat(F.lit("##### **"), name, F.lit("**")), F.concat(F.lit("ARTICLE Ua "), key), F.lit("Chapitre mixte"), F.concat(name, F.lit(" 1.2")),
+    )
+    rows = adapters.table(spark, sf_dir, "nation").select(key.alias("document_id"), F.posexplode(lines).alias("pos", "line"))
+    return structure.classify_headers(rows).select("document_id", "pos", "level", "heading")
+
+
+def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.keywords(structure.chunk(adapters.documents_md(spark, sf_dir))).select("document_id", "section_id", F.array_join("keywords", ",").alias("keywords"))
+
+
+def _split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = text.strip(F.col("text"))
+    rows = adapters.documents_para(spark, sf_dir).select("document_id", content.alias("content"), F.lit("T").alias("title"), F.lit("H2").alias("h2"), F.lit(None).cast("string").alias("h3"))
+    return structure.split_large(rows).select("document_id", "part", "title", "h3", "word_count", "token_count", F.md5("content").alias("content"))
+
+
+def _consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.consolidate(structure.chunk(adapters.source_md(spark, sf_dir))).drop("content")
+
+
+def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.outline(structure.chunk(adapters.documents_md(spark, sf_dir)))
+
+
+def _siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.siblings(structure.chunk(adapters.documents_md(spark, sf_dir))).select("document_id", "position", _joined("siblings"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structuring.chunks(adapters.documents_md(spark, sf_dir))
+    return rows.select("chunk_id", "document_id", "document_type", "title", "type", "word_count", "token_count", "enriched_token_count", F.array_join("keywords", ",").alias("keywords"), "position", "breadcrumb")
+
+
+def _order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structuring.chunks(structuring.clean(adapters.orders_md(spark, sf_dir)))
+    return rows.select("chunk_id", "document_type", "document_title", "document_reference", "title", "type", "word_count", "enriched_content")
+
+
+def _doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.documents_md(spark, sf_dir)
+    return statistics.document_statistics(docs, structure.chunk(docs))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.documents_md(spark, sf_dir)
+    sections = context.siblings(structuring.structured(docs))
+    about = docs.select("document_id", metadata.document_type(F.col("text")).alias("document_type"), metadata.title(F.col("text")).alias("document_title"), F.lit(None).cast("string").alias("document_reference"), F.lit(0).alias("n_parties"))
+    return quality.score(about, sections, context.outline(sections))
+
+
+def _q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).select("document_id", *(F.round(c, 3).alias(c) for c in ("ocr", "structure", "metadata", "content", "coherence")))
+
+
+def _q_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = F.transform("issues", lambda i: F.concat_ws(":", i.severity, i.category, F.round(i.points, 1).cast("string")))
+    return _scores(spark, sf_dir).select("document_id", "overall", F.array_join(issues, "|").alias("issues"), F.array_join("recommendations", "|").alias("recommendations"))
+
+
+def _gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.section_signs(structure.chunk(adapters.documents_md(spark, sf_dir))).filter("gibberish").select("document_id", "position")
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.detailed_metrics(structure.with_keywords(structure.chunk(adapters.documents_md(spark, sf_dir))))
+
+
+def _metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = adapters.table(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), F.col("value").alias("duration_ms"), "ts", (F.col("value") < 100).alias("success"), F.col("event_id").alias("sample_id"))
+    return statistics.metric_summary(samples)
+
+
+def _vector_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = adapters.table(spark, sf_dir, "embeddings")
+    return statistics.nearest(vectors, vectors.filter("vec_id = 0").first()["embedding"])
+
+
+def _latest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = lambda name, value, at: adapters.table(spark, sf_dir, name).select("doc_id", F.lit(value).alias("state"), F.lit(at).alias("updated_at"))
+    return latest_states(state("documents", "pending", 0), state("labels", "done", 1), key="doc_id").select("doc_id", "state")
+
+
+def _paged(column: Callable[[], Column]) -> Query:
+    return lambda spark, sf_dir: adapters.paged_texts(adapters.ocr_pages(spark, sf_dir)).select("document_id", column())
+
+
+QUERIES: dict[str, Query] = {
+    "valid_docs": _valid_docs,
+    "reject_reasons": _reject_reasons,
+    "clean_noise": _clean_noise,
+    "clean_latex": _of_orders("cleaned", text.clean_latex),
+    "html_markers": _of_orders("cleaned", text.clean_html_markers),
+    "html_entities": _html_entities,
+    "inline_headers": _inline_headers,
+    "repeated_lines": _repeated,
+    "table_rows_to_sentences": lambda spark, sf_dir: tables_to_sentences(adapters.orders_md(spark, sf_dir)).select("document_id", F.col("text").alias("cleaned")),
+    "html_tables_to_md": _html_tables,
+    "doc_type": _of_orders("document_type", metadata.document_type),
+    "title_subtitle": lambda spark, sf_dir: adapters.orders_md(spark, sf_dir).select("document_id", metadata.title(F.col("text")).alias("document_title"), metadata.subtitle(F.col("text")).alias("document_subtitle")),
+    "doc_date": _of_orders("document_date", lambda t: metadata.date(metadata.header_of(t))),
+    "doc_reference": _of_orders("document_reference", lambda t: metadata.reference(metadata.header_of(t))),
+    "location": _of_orders("location", lambda t: metadata.location(metadata.header_of(t))),
+    "parties_siren_window": _parties,
+    "header_lines": _header_lines,
+    "heading_carry_forward": lambda spark, sf_dir: _carried(spark, sf_dir).select("document_id", "pos", "section_id", "h1", "h2", "h3"),
+    "sections": lambda spark, sf_dir: _rejected(spark, sf_dir).select("document_id", "section_id", "h1", "h2", "h3", F.md5("content").alias("content"), "word_count"),
+    "toc_and_short_rejects": lambda spark, sf_dir: _rejected(spark, sf_dir).filter("rejected IS NOT NULL").select("document_id", "section_id", "rejected"),
+    "section_titles": _of_sections("title"),
+    "section_types": _of_sections("type"),
+    "type_histogram": lambda spark, sf_dir: statistics.type_histogram(structure.chunk(adapters.documents_md(spark, sf_dir))),
+    "keywords_top5": _keywords,
+    "token_estimate": lambda spark, sf_dir: adapters.table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens")),
+    "oversize_sections": lambda spark, sf_dir: structure.chunk(adapters.documents_md(spark, sf_dir)).filter(structure.is_oversize(F.col("content"))).select("document_id", "position"),
+    "split_parts": _split_parts,
+    "consolidated": _consolidated,
+    "outline_nodes": _outline,
+    "outline_depth": lambda spark, sf_dir: context.outline_depth(_outline(spark, sf_dir)),
+    "breadcrumbs": _of_structured("breadcrumb"),
+    "parents": _of_structured("parent"),
+    "siblings": _siblings,
+    "enriched": lambda spark, sf_dir: structuring.chunks(adapters.documents_md(spark, sf_dir)).select("document_id", "position", F.md5("enriched_content").alias("enriched")),
+    "chunks": _chunks,
+    "order_chunks": _order_chunks,
+    "doc_stats": _doc_stats,
+    "page_flatten": _paged(lambda: F.md5("text").alias("text")),
+    "page_confidence": _paged(lambda: F.round("confidence", 6).alias("confidence")),
+    "q_scores": _q_scores,
+    "q_issues": _q_issues,
+    "q_gibberish": _gibberish,
+    "quality_grade": lambda spark, sf_dir: _scores(spark, sf_dir).select("document_id", "grade", "needs_review"),
+    "quality_metrics": _metrics,
+    "metric_summary": _metric_summary,
+    "rate_per_minute": lambda spark, sf_dir: statistics.rate_per_minute(adapters.table(spark, sf_dir, "events")),
+    "log_counts": lambda spark, sf_dir: adapters.table(spark, sf_dir, "events").filter("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("requests")),
+    "vector_top5": _vector_top5,
+    "document_lookup": lambda spark, sf_dir: adapters.table(spark, sf_dir, "documents").filter("doc_id = 42").select("doc_id", "lang", "source"),
+    "latest_states": _latest_states,
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Retrieval chunks of every document."""
+    return _chunks(spark, sf_dir)
