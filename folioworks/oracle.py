@@ -198,7 +198,7 @@ ORACLE_SQL: dict[str, str] = {
     "parents": _with(_FULL, "SELECT document_id, position, parent FROM placed"),
     "siblings": _with(f"{_MD},\n{SIBLINGS}", "SELECT s.document_id, s.position, coalesce(siblings, '') AS siblings FROM sections s LEFT JOIN siblings USING (document_id, position)"),
     "enriched": _with(_FULL, f"SELECT document_id, position, md5({_ENRICHED}) AS enriched FROM placed"),
-    "chunks": _with(f"{_FULL},\n{KEYWORDS_OF}", f"""SELECT 'chunk-' || document_id || '-' || lpad(CAST(position - 1 AS VARCHAR), greatest(3, length(CAST(position - 1 AS VARCHAR))), '0') AS chunk_id, document_id, document_type, title, type, word_count, token_count,
+    "chunks": _with(f"{_FULL},\n{KEYWORDS_OF}", f"""SELECT 'chunk-' || document_id || '-' || lpad(CAST(position - 1 AS VARCHAR), CAST(greatest(3, length(CAST(position - 1 AS VARCHAR))) AS INTEGER), '0') AS chunk_id, document_id, document_type, title, type, word_count, token_count,
  {_tokens(_ENRICHED)} AS enriched_token_count, coalesce(keywords, '') AS keywords, position, breadcrumb FROM placed LEFT JOIN keywords USING (document_id, section_id)"""),
     "doc_stats": _with(_MD, "SELECT document_id, count(section_id) AS n_sections, coalesce(sum(word_count), 0) AS n_words, coalesce(sum(token_count), 0) AS n_tokens, coalesce(CAST(round_even(avg(word_count), 0) AS BIGINT), 0) AS avg_words, coalesce(CAST(round_even(avg(token_count), 0) AS BIGINT), 0) AS avg_tokens FROM docs_md LEFT JOIN sections USING (document_id) GROUP BY document_id"),
     "page_flatten": _with(_TURNS, r"SELECT CAST(conv_id AS VARCHAR) AS document_id, md5(string_agg(regexp_replace(regexp_replace(markdown, '!\[.*?\]\(.*?\)', '', 'g'), '\$([^$]+)\$', '\1', 'g'), chr(10) || chr(10) ORDER BY turn)) AS text FROM turns GROUP BY conv_id"),
