@@ -8,7 +8,6 @@ sum over its words; its probability is the normalised likelihood.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import held_out, per_class_sample
-from .toxicity import words_of
+from .subwords import Marked, coded_texts, words_of
 
 #: Training rows of each language, and the longest text used to train (prediction has no such bound).
 SAMPLE = 1500
@@ -30,60 +29,65 @@ LONGEST_GRAM = 5
 CACHED = 300_000
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def grams(word: str, n: int) -> list[str]:
-    """Character n-grams of a word with its ends marked."""
-    marked = f"<{word[:64]}>"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
-
-
 class Model:
-    """Log frequencies of words and of n-grams for each language."""
+    """Log frequencies of words and, by hash, of n-grams for each language (less the mean over languages)."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], by_length: dict[int, dict[str, np.ndarray]]):
-        self.languages, self.words, self.by_length = languages, words, by_length
+    def __init__(self, languages: list[str], words: list[str], rows: np.ndarray, by_length: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.languages, self.words, self.rows, self.by_length = languages, words, rows, by_length
+        self.known = {w: i for i, w in enumerate(words)}
         self.cache: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.held = np.empty((0, len(languages)), np.float32)
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log score of ``word`` in each language; zeros if nothing of it is known."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
+    def _backed_off(self, words: list[str]) -> np.ndarray:
+        """Score of unseen words: mean over known n-grams of the longest length that has one; else zeros."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        open_words = np.arange(len(words))
         for n in range(LONGEST_GRAM, 0, -1):
-            held = self.by_length[n]
-            found = [held[g] for g in grams(word, n) if g in held]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
-
-    def _row(self, word: str) -> int:
-        at = self.cache.get(word)
-        if at is None:
-            at = self.cache[word] = len(self.rows)
-            self.rows.append(self.word_scores(word))
-        return at
+            hashes, rows = self.by_length[n]
+            if not len(open_words) or not len(hashes):
+                continue
+            owner, h = Marked([words[i] for i in open_words]).grams(n)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[at] == h
+            owner, at = owner[hit], at[hit]
+            count = np.bincount(owner, minlength=len(open_words))
+            some = count > 0
+            for k in range(len(self.languages)):
+                sums = np.bincount(owner, rows[at, k], minlength=len(open_words))
+                out[open_words[some], k] = sums[some] / count[some]
+            open_words = open_words[~some]
+        return out
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log score of different words in each language."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        place = np.array([self.known.get(w, -1) for w in words], np.int64)
+        out[place >= 0] = self.rows[place[place >= 0]]
+        unseen = np.flatnonzero(place < 0)
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+            self.held = np.empty((0, len(self.languages)), np.float32)
+        missing = [words[i] for i in unseen if words[i] not in self.cache]
+        self.cache.update(zip(missing, range(len(self.cache), len(self.cache) + len(missing)), strict=True))
+        self.held = np.concatenate([self.held, self._backed_off(missing)]) if missing else self.held
+        out[unseen] = self.held[[self.cache[words[i]] for i in unseen]] if len(unseen) else 0
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and probability of each text; ``und`` and 0 without letters or without a model."""
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-            self.rows.clear()
-        each = [words_of(t) for t in texts]
-        at = [np.fromiter(map(self._row, w), np.int64, len(w)) for w in each]
-        table = np.array(self.rows).reshape(len(self.rows), len(self.languages))
-        names, scores = [], []
-        for text, rows in zip(texts, at, strict=True):
-            if not self.languages or not len(rows) or not _LETTER.search(text):
-                names.append(UNDETERMINED)
-                scores.append(0.0)
+        names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        if not self.languages:
+            return names, scores
+        for start, words, codes, counts in coded_texts(texts):
+            some = np.flatnonzero(counts)
+            if not len(some):
                 continue
-            total = table[rows].sum(0) if len(rows) < 1000 else np.bincount(rows, minlength=len(table)) @ table
-            p = np.exp(total - total.max())
-            names.append(self.languages[int(total.argmax())])
-            scores.append(float(1 / p.sum()))
+            own = self.word_scores(words).astype(np.float64)[codes]
+            total = np.add.reduceat(own, np.cumsum(counts[some]) - counts[some], axis=0)
+            best = total.argmax(1)
+            p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+            for i, b, x in zip(some, best, p, strict=True):
+                names[start + i], scores[start + i] = self.languages[b], float(x)
         return names, scores
 
 
@@ -93,27 +97,33 @@ def train(texts: list[str], langs: list[str]) -> Model:
     counted = {x: Counter() for x in languages}
     for text, lang in zip(texts, langs, strict=True):
         counted[lang].update(words_of(text))
+    words = sorted({w for counts in counted.values() for w, k in counts.most_common(WORDS) if k > 1})
+    rows = _log_frequencies(np.array([[counts[w] for counts in counted.values()] for w in words], float).reshape(-1, len(languages)), np.array([sum(c.values()) for c in counted.values()], float))
+    marked = {x: (Marked(list(c)), np.array(list(c.values()), float)) for x, c in counted.items()}
     by_length = {}
     for n in range(1, LONGEST_GRAM + 1):
-        held = {}
-        for lang, counts in counted.items():
-            held[lang] = Counter()
-            for word, k in counts.items():
-                for g in grams(word, n):
-                    held[lang][g] += k
-        by_length[n] = _log_frequencies(held, GRAMS)
-    return Model(languages, _log_frequencies(counted, WORDS), by_length)
-
-
-def _log_frequencies(counted: dict[str, Counter], most: int) -> dict[str, np.ndarray]:
+        sums, kept = [], []
+        for m, weight in marked.values():
+            owner, h = m.grams(n)
+            found, code = np.unique(h, return_inverse=True)
+            count = np.bincount(code, weight[owner], minlength=len(found))
+            sums.append((found, count))
+            often = np.argsort(-count, kind="stable")[:GRAMS]
+            kept.append(found[often[count[often] > 1]])
+        hashes = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.uint64)
+        table = np.zeros((len(hashes), len(languages)))
+        for k, (found, count) in enumerate(sums):
+            if len(found):
+                at = np.minimum(np.searchsorted(found, hashes), len(found) - 1)
+                table[:, k] = np.where(found[at] == hashes, count[at], 0)
+        by_length[n] = hashes, _log_frequencies(table, np.array([c.sum() for _, c in sums]))
+    return Model(languages, words, rows, by_length)
+
+
+def _log_frequencies(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """Smoothed log frequency in each language, less the mean over languages."""
-    kept = {x for counts in counted.values() for x, k in counts.most_common(most) if k > 1}
-    totals = np.array([sum(counts.values()) for counts in counted.values()], float)
-    out = {}
-    for x in sorted(kept):
-        row = np.log((np.array([counts[x] for counts in counted.values()]) + 0.1) / (totals + 0.1 * len(kept) + 1))
-        out[x] = row - row.mean()
-    return out
+    rows = np.log((counts + 0.1) / (totals + 0.1 * len(counts) + 1))
+    return (rows - rows.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit(docs: DataFrame) -> Model:
@@ -126,15 +136,13 @@ def fit(docs: DataFrame) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Return ``id, text, lang_pred, score``; whole texts, ``und`` for null ones and those without letters."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.by_length))
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.rows, model.by_length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Model(*sent.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                names, scores = held.predict(part.column(1).to_pylist())
-                yield part.append_column("lang_pred", pa.array(names)).append_column("score", pa.array(scores, pa.float64()))
+            names, scores = held.predict(batch.column(1).to_pylist())
+            yield batch.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(scores, pa.float64()))
 
     return docs.select("id", "text").mapInArrow(run, "id long, text string, lang_pred string, score double")
 
