@@ -13,9 +13,11 @@ above the threshold share one of them.
   the plain prefix, where all k-subsets would grow as a power of the length.
 
 Documents with the same token set are one *node*.  Documents that share a key
-are verified on their whole sets: first each with one document of its keys (that
-settles groups of copies in a pass linear in their size), at last every pair
-that shares a key and is not yet known to be in one component.
+are verified: first each with one document of its keys (that settles groups of
+copies in a pass linear in their size), at last every pair that shares a key and
+is not yet known to be in one component.  A pair is first bounded by its
+*sketches*, counts of the tokens in ``CELLS`` ranges of hashes: two sets share no
+more than the sum of the lesser counts.  Only pairs that may pass fetch sets.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ FREQUENT = 32
 #: So many of them are told apart at most (8 bytes each, sent to every task): the most
 #: frequent ones.  Others count as rare; that changes the order and no result.
 MOST_FREQUENT = 1 << 20
+#: Ranges of hashes whose tokens a sketch counts, 16 bits each.
+CELLS = 64
 #: Rounds in which each document is verified against one other, before all pairs left.
 STAR_ROUNDS = 2
 
@@ -131,16 +135,36 @@ def _first_seen(names: list[bytes | None], seen: set[bytes]) -> np.ndarray:
     return out
 
 
+def _sketches(row: np.ndarray, h: np.ndarray, n_rows: int) -> list[bytes]:
+    """Counts of tokens in each range of hashes; a full one stands for any number."""
+    counts = np.bincount(row * CELLS + (h >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=n_rows * CELLS)
+    raw = np.minimum(counts, 0xFFFF).astype(np.uint16).tobytes()
+    return [raw[2 * CELLS * i : 2 * CELLS * (i + 1)] for i in range(n_rows)]
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (``a, b, sa, sb``) whose sketches allow the similarity."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
+        shared, total = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
+        full = (np.maximum(x, y) == 0xFFFF).any(1)
+        use = pa.array(full | (100 * shared >= percent * (total - shared)))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(use)
+
+
 def _members(docs: DataFrame, size: int) -> DataFrame:
-    """``id, n, node`` of each document."""
+    """``id, n, node, sketch`` of each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in text_slices(batch.column(1)):
-                n, names = _nodes(*shingles(data, offsets, size), end - start)
-                yield pa.record_batch({"id": batch.column(0).slice(start, end - start), "n": pa.array(n, pa.int64()), "node": pa.array(names, pa.binary())})
+                row, h = shingles(data, offsets, size)
+                n, names = _nodes(row, h, end - start)
+                yield pa.record_batch({"id": batch.column(0).slice(start, end - start), "n": pa.array(n, pa.int64()), "node": pa.array(names, pa.binary()), "sketch": pa.array(_sketches(row, h, end - start), pa.binary())})
 
-    return docs.mapInArrow(scan, "id long, n long, node binary")
+    return docs.mapInArrow(scan, "id long, n long, node binary, sketch binary")
 
 
 def _counted_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -218,11 +242,18 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, linked`` for the pairs ``a, b``."""
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return joined.withColumn("both", both).select("a", "b", (100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).alias("linked"))
+def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """The ``pairs`` (``a, b``) that are linked: bounded by sketches, then compared set by set."""
+    sketch = lambda x: sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sa", "sb")
+    close = settle(both.mapInArrow(lambda batches: _may_link(batches, percent), "a long, b long"))
+    wanted = settle(close.select(F.col("a").alias("rep")).union(close.select("b")).distinct())
+    if wanted.isEmpty():
+        return close
+    sets = settle(_token_sets(docs, wanted, size))
+    tokens = lambda x: sets.select(F.col("rep").alias(x), F.col("tokens").alias(f"t{x}"))
+    joined = close.join(tokens("a"), "a").join(tokens("b"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    return joined.filter(100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
 
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -240,17 +271,16 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     known = docs.filter("id IS NOT NULL")
     members = settle(_members(docs, size))
     named = members.filter("id IS NOT NULL AND node IS NOT NULL")
-    reps = named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    reps = settle(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     common = spark.sparkContext.broadcast(_frequent(known, size, percent))
-    postings = _postings(known, size, percent, common)
+    postings = settle(_postings(known, size, percent, common))
     shared = postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
-    index = settle(postings.join(shared, "key").join(reps, "node").select("key", "rep", "n").distinct())
-    wanted = settle(index.select("rep").distinct())
-    sets = settle(_token_sets(known, wanted, size))
+    index = settle(postings.join(shared, "key").join(reps.drop("sketch"), "node").select("key", "rep", "n").distinct())
+    sketches = settle(reps.join(index.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch"))
 
-    component = settle(wanted.select("rep", F.col("rep").alias("c")))
-    tested = None
+    component = sketches.select("rep", F.col("rep").alias("c"))
+    tested = linked = None
     for step in range(STAR_ROUNDS + 1):
         held = index.join(component, "rep")
         open_keys = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "c", "n"), F.xxhash64("rep", F.lit(step)) if step else F.col("rep")).alias("hub")).filter("low < high")
@@ -264,17 +294,16 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if step < STAR_ROUNDS:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("keys", F.negate("b"))).alias("b"))
-        checked = settle(_verified(pairs.select("a", "b"), sets, percent))
-        tested = checked if tested is None else tested.union(checked)
-        if checked.filter("linked").isEmpty():
-            if step < STAR_ROUNDS:
-                continue
-            break
-        joined = connected_components(tested.filter("linked").select("a", "b"))
-        component = settle(wanted.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")))
-    links = reps.join(component, "rep", "left").select("node", F.coalesce("c", "rep").alias("component"))
-    out = members.join(links, "node", "left")
+            pairs = settle(pairs.groupBy("a").agg(F.max_by("b", F.struct("keys", F.negate("b"))).alias("b")))
+            tested = pairs if tested is None else tested.union(pairs)
+        new = settle(_verified(known, pairs.select("a", "b"), sketches, size, percent))
+        if new.isEmpty():
+            continue
+        linked = new if linked is None else linked.union(new)
+        joined = connected_components(linked)
+        component = settle(sketches.select("rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")))
+    links = reps.select("node", "rep").join(component, "rep", "left").select("node", F.coalesce("c", "rep").alias("component"))
+    out = members.drop("sketch").join(links, "node", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), own.alias("component"))
 
