@@ -41,6 +41,8 @@ FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 #: Ranges of hashes whose tokens a sketch counts, 16 bits each.
 CELLS = 64
+#: Keys that more sets share are compared in blocks of ``BLOCK`` sets, and only pairs that may be linked are emitted.
+SMALL_GROUP, BLOCK = 16, 4096
 #: Rounds in which each document is verified against one other, before all pairs left.
 STAR_ROUNDS = 2
 
@@ -154,6 +156,33 @@ def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(use)
 
 
+def _close_in_blocks(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``rows`` (``key, rep, c, m``) that share a key, lie in different components and may be linked.
+
+    The sets of a key are dealt into blocks by hash; a task compares two blocks.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    dealt = rows.join(sketches, "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "c", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, c, own = (table[x].to_numpy() for x in ("rep", "c", "own"))
+        cells = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, CELLS)
+        size, full = cells.sum(1, dtype=np.int64), (cells == 0xFFFF).any(1)
+        left, right = np.flatnonzero(own == table["low"][0].as_py()), np.flatnonzero(own == table["high"][0].as_py())
+        found = []
+        for i in left:
+            alike = right[(c[right] != c[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]) | full[right] | full[i])]
+            shared = np.minimum(cells[alike], cells[i]).sum(1, dtype=np.int64)
+            close = alike[full[alike] | full[i] | (100 * shared >= percent * (size[alike] + size[i] - shared))]
+            found += [(max(ids[i], ids[k]), min(ids[i], ids[k])) for k in close]
+        pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
+
+
 def _members(docs: DataFrame, size: int) -> DataFrame:
     """``id, n, node, sketch`` of each document."""
 
@@ -283,14 +312,18 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     tested = linked = None
     for step in range(STAR_ROUNDS + 1):
         held = index.join(component, "rep")
-        open_keys = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "c", "n"), F.xxhash64("rep", F.lit(step)) if step else F.col("rep")).alias("hub")).filter("low < high")
+        open_keys = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.min_by(F.struct("rep", "c", "n"), F.xxhash64("rep", F.lit(step)) if step else F.col("rep")).alias("hub")).filter("low < high")
         if step < STAR_ROUNDS:
             near = held.join(open_keys.select("key", "hub"), "key").filter("c <> hub.c").selectExpr("rep AS a", "n AS na", "hub.rep AS b", "hub.n AS nb")
         else:
-            left, right = held.join(open_keys.select("key"), "key").alias("l"), held.alias("r")
+            shared = held.join(open_keys.select("key", "m"), "key")
+            left, right = shared.filter(F.col("m") <= SMALL_GROUP).alias("l"), held.alias("r")
             near = left.join(right, F.expr("l.key = r.key AND l.c < r.c")).selectExpr("l.rep AS a", "l.n AS na", "r.rep AS b", "r.n AS nb")
         near = near.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         pairs = near.groupBy(F.greatest("a", "b").alias("a0"), F.least("a", "b").alias("b0")).count().selectExpr("a0 AS a", "b0 AS b", "count AS keys")
+        if step == STAR_ROUNDS:
+            close = _close_in_blocks(shared.filter(F.col("m") > SMALL_GROUP), sketches, percent)
+            pairs = pairs.select("a", "b").union(close).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if step < STAR_ROUNDS:
