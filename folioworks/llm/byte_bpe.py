@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .words import SLICE_BYTES
 
 #: Encoded pre-tokens kept by a Python worker; it starts anew when they are more.
-CACHED = 300_000
+CACHED = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -80,7 +80,8 @@ class ByteBpe:
         ranks = read_ranks(path)
         self.whole = ranks
         self.ids = [rank for _, rank in sorted(ranks.items(), key=lambda x: x[1])]
-        self.token_of = {rank: token for token, rank in ranks.items()}
+        tokens = dict(zip(self.ids, (token for token, _ in sorted(ranks.items(), key=lambda x: x[1])), strict=True))
+        self.tokens = pa.array([tokens.get(i) for i in range(max(self.ids, default=-1) + 1)], pa.large_binary())
         self.pattern = regex.compile(pattern)
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.characters = dict(enumerate(byte_characters()))
@@ -123,10 +124,15 @@ class ByteBpe:
         """Ids of ``text``; no special tokens."""
         return self.encode_batch([text])[0].tolist()
 
+    def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Bytes that each stretch of ``ids`` stands for."""
+        taken = self.tokens.take(pa.array(ids))
+        bounds = np.frombuffer(taken.buffers()[1], np.int64, count=len(taken) + 1)[offsets] if len(taken) else np.zeros(len(offsets), np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(bounds.tobytes()), taken.buffers()[2]]).cast(pa.binary())
+
     def decode(self, ids: list[int]) -> bytes:
         """Bytes that ``ids`` stand for."""
-        token_of = self.token_of
-        return b"".join([token_of[i] for i in ids])
+        return self.decode_batch(np.array(ids, np.int32), np.array([0, len(ids)]))[0].as_py()
 
 
 @lru_cache(maxsize=4)
@@ -145,8 +151,8 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Return ``id, ids`` (``array<int>``) for ``docs`` (``id`` long, ``text``).
+def encode(docs: DataFrame, path: str, pattern: str, and_decode: bool = False) -> DataFrame:
+    """Return ``id, ids`` (``array<int>``) for ``docs`` (``id`` long, ``text``), and with ``and_decode`` also ``decoded``.
 
     ``path`` names a vocabulary file that every executor has.  Null and empty
     texts give no ids; repeated rows are encoded each; other columns are ignored.
@@ -158,9 +164,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for start, end in _slices(batch.column(1)):
                 ids, offsets = tokenizer.encode_batch(batch.column(1).slice(start, end - start).fill_null("").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-                yield pa.record_batch({"id": batch.column(0).slice(start, end - start), "ids": lists})
+                out = {"id": batch.column(0).slice(start, end - start), "ids": lists}
+                yield pa.record_batch(out | ({"decoded": tokenizer.decode_batch(ids, offsets)} if and_decode else {}))
 
-    return docs.select("id", "text").mapInArrow(run, "id long, ids array<int>")
+    return docs.select("id", "text").mapInArrow(run, "id long, ids array<int>" + ", decoded binary" * and_decode)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -169,8 +176,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path, pattern)
         for batch in batches:
-            decoded = [tokenizer.decode(ids or []) for ids in batch.column(1).to_pylist()]
-            yield batch.append_column("decoded", pa.array(decoded, pa.binary()))
+            lists = batch.column(1)
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            yield batch.append_column("decoded", tokenizer.decode_batch(flat.astype(np.int32), offsets))
 
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, decoded binary")
 
@@ -180,7 +189,7 @@ def tokenized(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> Dat
     import public_tokenizers
 
     place = public_tokenizers.path(name), public_tokenizers.PATTERN
-    out = decode(encode(docs.select(F.col("doc_id").alias("id"), "text"), *place), *place)
+    out = encode(docs.select(F.col("doc_id").alias("id"), "text"), *place, and_decode=True)
     return out.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
