@@ -137,6 +137,11 @@ def _first_seen(names: list[bytes | None], seen: set[bytes]) -> np.ndarray:
     return out
 
 
+def _short(names: list[bytes | None]) -> np.ndarray:
+    """First halves of names; sets that share one are told apart when they are compared."""
+    return np.array([int.from_bytes(x[:8], "little", signed=True) if x else 0 for x in names], np.int64)
+
+
 def _sketches(row: np.ndarray, h: np.ndarray, n_rows: int) -> list[bytes]:
     """Counts of tokens in each range of hashes; a full one stands for any number."""
     counts = np.bincount(row * CELLS + (h >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=n_rows * CELLS)
@@ -184,20 +189,20 @@ def _close_in_blocks(rows: DataFrame, sketches: DataFrame, percent: int) -> Data
 
 
 def _members(docs: DataFrame, size: int) -> DataFrame:
-    """``id, n, node, sketch`` of each document."""
+    """``id, n, node, short, sketch`` of each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in text_slices(batch.column(1)):
                 row, h = shingles(data, offsets, size)
                 n, names = _nodes(row, h, end - start)
-                yield pa.record_batch({"id": batch.column(0).slice(start, end - start), "n": pa.array(n, pa.int64()), "node": pa.array(names, pa.binary()), "sketch": pa.array(_sketches(row, h, end - start), pa.binary())})
+                yield pa.record_batch({"id": batch.column(0).slice(start, end - start), "n": pa.array(n, pa.int64()), "node": pa.array(names, pa.binary()), "short": _short(names), "sketch": pa.array(_sketches(row, h, end - start), pa.binary())})
 
-    return docs.mapInArrow(scan, "id long, n long, node binary, sketch binary")
+    return docs.mapInArrow(scan, "id long, n long, node binary, short long, sketch binary")
 
 
 def _counted_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Tokens of prefixes by hash, twice as long as needed so that frequent ones at their ends are counted too."""
+    """Tokens of prefixes by hash, longer by a quarter so that frequent ones at their ends are counted too."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -207,7 +212,7 @@ def _counted_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n, names = _nodes(row, h, end - start)
                 begin = np.concatenate([[0], np.cumsum(n)[:-1]])
                 rank = np.arange(len(row)) - begin[row]
-                use = _first_seen(names, seen)[row] & (rank < 2 * (n - _needed(n, percent) + 1)[row])
+                use = _first_seen(names, seen)[row] & (4 * rank < 5 * (n - _needed(n, percent) + 1)[row])
                 yield pa.record_batch({"h": h[use].view(np.int64)})
 
     return docs.mapInArrow(scan, "h long")
@@ -220,7 +225,7 @@ def _frequent(docs: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, size: int, percent: int, common: object) -> DataFrame:
-    """``key, node``: index keys of each set."""
+    """``key, node``: index keys of each set; the first half of its name serves as node here."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -248,9 +253,23 @@ def _postings(docs: DataFrame, size: int, percent: int, common: object) -> DataF
                     own = _combinations(tokens[at[i] : at[i + 1]], int(n[i]), percent)
                     owners.append(np.full(len(own), i))
                     keys.append(own)
-                yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "node": pa.array(names, pa.binary()).take(pa.array(np.concatenate(owners)))})
+                yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "node": _short(names)[np.concatenate(owners)]})
+
+    return docs.mapInArrow(scan, "key long, node long")
+
+
+def _with_shared_keys(postings: DataFrame) -> DataFrame:
+    """The ``postings`` whose key another node has too.  A Bloom filter spares shuffling most others."""
+    shared = settle(postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key"))
+    held = postings.sparkSession.sparkContext.broadcast(bloom.build(shared, F.xxhash64("key"), shared.count()))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = held.value.may_contain(batch.column(2).to_numpy(zero_copy_only=False).view(_U))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["key", "node"]).filter(pa.array(may))
 
-    return docs.mapInArrow(scan, "key long, node binary")
+    likely = postings.withColumn("i", F.xxhash64("key")).mapInArrow(keep, "key long, node long")
+    return likely.join(shared, "key")
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -300,12 +319,11 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     known = docs.filter("id IS NOT NULL")
     members = settle(_members(docs, size))
     named = members.filter("id IS NOT NULL AND node IS NOT NULL")
-    reps = settle(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    reps = settle(named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("short").alias("short"), F.first("sketch").alias("sketch")))
 
     common = spark.sparkContext.broadcast(_frequent(known, size, percent))
     postings = settle(_postings(known, size, percent, common))
-    shared = postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
-    index = settle(postings.join(shared, "key").join(reps.drop("sketch"), "node").select("key", "rep", "n").distinct())
+    index = settle(_with_shared_keys(postings).join(reps.select(F.col("short").alias("node"), "rep", "n"), "node").select("key", "rep", "n").distinct())
     sketches = settle(reps.join(index.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch"))
 
     component = sketches.select("rep", F.col("rep").alias("c"))
@@ -336,7 +354,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         joined = connected_components(linked)
         component = settle(sketches.select("rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")))
     links = reps.select("node", "rep").join(component, "rep", "left").select("node", F.coalesce("c", "rep").alias("component"))
-    out = members.drop("sketch").join(links, "node", "left")
+    out = members.drop("short", "sketch").join(links, "node", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), own.alias("component"))
 
