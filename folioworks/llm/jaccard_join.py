@@ -39,8 +39,10 @@ FREQUENT = 32
 #: So many of them are told apart at most (8 bytes each, sent to every task): the most
 #: frequent ones.  Others count as rare; that changes the order and no result.
 MOST_FREQUENT = 1 << 20
-#: Ranges of hashes whose tokens a sketch counts, 16 bits each.
-CELLS = 64
+#: Ranges of hashes whose tokens a sketch counts, a byte each.
+CELLS = 256
+#: Sketches made at a time.
+ROWS = 4096
 #: Keys that more sets share are compared in blocks of ``BLOCK`` sets, and only pairs that may be linked are emitted.
 SMALL_GROUP, BLOCK = 16, 4096
 #: Rounds in which each document is verified against one other, before all pairs left.
@@ -144,9 +146,15 @@ def _short(names: list[bytes | None]) -> np.ndarray:
 
 def _sketches(row: np.ndarray, h: np.ndarray, n_rows: int) -> list[bytes]:
     """Counts of tokens in each range of hashes; a full one stands for any number."""
-    counts = np.bincount(row * CELLS + (h >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=n_rows * CELLS)
-    raw = np.minimum(counts, 0xFFFF).astype(np.uint16).tobytes()
-    return [raw[2 * CELLS * i : 2 * CELLS * (i + 1)] for i in range(n_rows)]
+    cell = (h >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+    out = []
+    for start in range(0, n_rows, ROWS):
+        n = min(ROWS, n_rows - start)
+        low, high = np.searchsorted(row, [start, start + n])
+        counts = np.bincount((row[low:high] - start) * CELLS + cell[low:high], minlength=n * CELLS)
+        raw = np.minimum(counts, 0xFF).astype(np.uint8).tobytes()
+        out += [raw[CELLS * i : CELLS * (i + 1)] for i in range(n)]
+    return out
 
 
 def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -154,9 +162,9 @@ def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
         shared, total = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
-        full = (np.maximum(x, y) == 0xFFFF).any(1)
+        full = (np.maximum(x, y) == 0xFF).any(1)
         use = pa.array(full | (100 * shared >= percent * (total - shared)))
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(use)
 
@@ -173,8 +181,8 @@ def _close_in_blocks(rows: DataFrame, sketches: DataFrame, percent: int) -> Data
 
     def compare(table: pa.Table) -> pa.Table:
         ids, c, own = (table[x].to_numpy() for x in ("rep", "c", "own"))
-        cells = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, CELLS)
-        size, full = cells.sum(1, dtype=np.int64), (cells == 0xFFFF).any(1)
+        cells = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, CELLS)
+        size, full = cells.sum(1, dtype=np.int64), (cells == 0xFF).any(1)
         left, right = np.flatnonzero(own == table["low"][0].as_py()), np.flatnonzero(own == table["high"][0].as_py())
         found = []
         for i in left:
