@@ -94,6 +94,8 @@ class Model:
 def train(texts: list[str], langs: list[str]) -> Model:
     """Count words and n-grams of ``texts`` per language."""
     languages = sorted(set(langs))
+    if not languages:
+        return Model([], [], np.empty((0, 0), np.float32), {})
     counted = {x: Counter() for x in languages}
     for text, lang in zip(texts, langs, strict=True):
         counted[lang].update(words_of(text))
