@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import held_out, per_class_sample
-from .subwords import Marked, coded_texts, words_of
+from .subwords import Marked, blocks, coded_texts, words_of
 
 #: Training rows of each language, and the longest text used to train (prediction has no such bound).
 SAMPLE = 1500
@@ -69,7 +69,7 @@ class Model:
             self.held = np.empty((0, len(self.languages)), np.float32)
         missing = [words[i] for i in unseen if words[i] not in self.cache]
         self.cache.update(zip(missing, range(len(self.cache), len(self.cache) + len(missing)), strict=True))
-        self.held = np.concatenate([self.held, self._backed_off(missing)]) if missing else self.held
+        self.held = np.concatenate([self.held, *map(self._backed_off, blocks(missing))]) if missing else self.held
         out[unseen] = self.held[[self.cache[words[i]] for i in unseen]] if len(unseen) else 0
         return out
 

@@ -10,8 +10,16 @@ import pyarrow as pa
 
 from .words import mix
 
-#: Characters of a word that its n-grams are taken from.
+#: Longest run of letters that is one word.  A longer one (glued text, scripts without spaces) is taken whole, as
+#: consecutive pieces; they overlap by one character less than the longest n-gram, so that each n-gram is in a piece,
+#: and are short, so that a few of them are no more text than a few words.
 WORD_CHARS = 64
+PIECE_CHARS = 16
+LONGEST_GRAM = 6
+#: Marks the ends of a piece that are not ends of its run; no letter.
+CUT = "-"
+#: Words whose n-grams are taken at a time; keeps arrays under 100 MB.
+BLOCK_WORDS = 1 << 14
 #: Characters of text taken at a time; keeps word lists near 30 MB.
 SLICE_CHARS = 1 << 20
 
@@ -20,8 +28,25 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of letters; those over ``WORD_CHARS`` in pieces that together hold all of the run."""
+    found = _WORD.findall(text.lower()) if text else []
+    if max(map(len, found), default=0) <= WORD_CHARS:
+        return found
+    return [w for run in found for w in (_pieces(run) if len(run) > WORD_CHARS else (run,))]
+
+
+def _pieces(run: str) -> Iterator[str]:
+    overlap = LONGEST_GRAM - 1
+    last = len(run) - overlap
+    for at in range(0, last, PIECE_CHARS - overlap):
+        end = at + PIECE_CHARS
+        yield (CUT if at else "") + run[at:end] + (CUT if end < len(run) else "")
+
+
+def blocks(words: list[str]) -> Iterator[list[str]]:
+    """``words`` in lists of at most ``BLOCK_WORDS``."""
+    for at in range(0, len(words), BLOCK_WORDS):
+        yield words[at : at + BLOCK_WORDS]
 
 
 def coded_texts(texts: list[str | None]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
@@ -41,10 +66,10 @@ def coded_texts(texts: list[str | None]) -> Iterator[tuple[int, list[str], np.nd
 
 
 class Marked:
-    """Code points of words with their ends marked, one after the other."""
+    """Code points of words of :func:`words_of` with their ends marked, one after the other."""
 
     def __init__(self, words: list[str]):
-        marked = [f"<{w[:WORD_CHARS]}>" for w in words]
+        marked = [f"<{w}>".replace("<" + CUT, "").replace(CUT + ">", "") if CUT in w else f"<{w}>" for w in words]
         self.sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         self.points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(_U)
         self.ends = np.cumsum(self.sizes)

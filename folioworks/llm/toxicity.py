@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .folds import held_out, per_class_sample
-from .subwords import Marked, coded_texts, words_of
+from .subwords import Marked, blocks, coded_texts, words_of
 
 #: Training rows of each class, and the longest text used to train (scoring has no such bound).
 SAMPLE = 2000
@@ -35,6 +35,11 @@ CACHED = 400_000
 
 def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of words and their n-grams, word by word, and the number of them of each word."""
+    each = [_bags(some) for some in blocks(words)] or [_bags([])]
+    return np.concatenate([b for b, _ in each]), np.concatenate([n for _, n in each])
+
+
+def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = Marked(words)
     owners, hashes = [np.arange(len(words))], [marked.whole()]
     for n in range(SHORTEST, LONGEST + 1):
@@ -61,9 +66,10 @@ class Model:
         found = list(map(self.cache.get, words))
         missing = [w for w, x in zip(words, found, strict=True) if x is None]
         if missing:
-            buckets, sizes = bags(missing)
-            new = np.add.reduceat(self.scores[buckets], np.cumsum(sizes) - sizes) / sizes
-            self.cache.update(zip(missing, new.tolist(), strict=True))
+            for some in blocks(missing):
+                buckets, sizes = bags(some)
+                new = np.add.reduceat(self.scores[buckets], np.cumsum(sizes) - sizes) / sizes
+                self.cache.update(zip(some, new.tolist(), strict=True))
             found = list(map(self.cache.get, words))
         return np.array(found, np.float64)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioworks.llm import byte_bpe, fingerprint, jaccard_join, language_id, main_text, personal_data, quality, source_mix, substring_dedup, toxicity
+from folioworks.llm import byte_bpe, fingerprint, jaccard_join, language_id, main_text, personal_data, quality, source_mix, substring_dedup, subwords, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -104,6 +104,32 @@ def test_op2(spark, empty):
     assert language_id.op2(empty).count() == 0
 
 
+def test_long_runs(spark):
+    """Runs of more than 64 letters (no spaces) are read to their end, by op9 and op2."""
+    rows, labels = labelled(spark)
+    glued = "thething" * 40
+    texts = [glued, glued + "worthless", glued + "worthless" + glued, glued * 60 + "worthless" + glued * 60]
+    out = by_id(toxicity.op9(rows.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 900)), "doc_id long, text string")), labels))
+    assert [out[900 + i].predicted for i in range(4)] == [0, 1, 1, 1]
+    model = language_id.train(["thethe thing shentthe"] * 9 + ["eauxle tionle leeau"] * 9, ["en"] * 9 + ["fr"] * 9)
+    assert model.predict(["q" * 70 + "thingshent" * 9, "q" * 70 + "eauxtion" * 9])[0] == ["en", "fr"]
+    run = "".join(chr(0x4E00 + i) for i in range(200))
+    for size in range(1, 200):
+        pieces = subwords.words_of(run[:size])
+        for n in range(1, 7):
+            assert set(subwords.Marked(pieces).grams(n)[1].tolist()) == grams_of(f"<{run[:size]}>", n)
+
+
+def grams_of(marked, n):
+    hashes = []
+    for i in range(len(marked) - n + 1):
+        h = n
+        for c in marked[i : i + n]:
+            h = (h * 0xD6E8FEB86659FD93 + ord(c)) % 2**64
+        hashes.append(h)
+    return set(subwords.mix(np.array(hashes, np.uint64)).tolist())
+
+
 def test_op3(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a>Menu one two three</a></nav><div class='ad'>Buy this now</div><article><h1>Titre &amp; co</h1><p>Un  texte\n assez long pour rester ici, avec des mots.<p>Court.</article><div class='comments'>Nice post, I agree with all of it</div><footer>About us</footer></body></html>"
     rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (3, "v", "<p>a"), (4, "w", "<")], "page_id long, url string, html string")
