@@ -2,10 +2,11 @@
 
 Markup is stripped to one line of text per block element, without elements that
 never hold an article (scripts, navigation, forms and the like, by tag, role or
-class).  Over sliding windows of ``WINDOW`` lines text lengths are summed.  Where
+class, unless the page's article is in them).  Over sliding windows of ``WINDOW`` lines text lengths are summed.  Where
 the sum surges over the threshold the core of the page starts, where it falls
 off it ends.  The core is the stretch with most text, and it is extended to the
-whole element around it, so that short first and last lines of an article stay.
+whole article, or else the smallest element, around all of it, so that short first
+and last lines of an article stay.
 """
 
 from __future__ import annotations
@@ -45,53 +46,64 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([
 
 
 class Line:
-    """The text of one block and the open containers around it."""
+    """The text of one block, the open containers around it and those of them that are an article or main."""
 
-    __slots__ = ("parents", "text")
+    __slots__ = ("articles", "parents", "text")
 
-    def __init__(self, text: str, parents: tuple[int, ...]):
-        self.text, self.parents = text, parents
+    def __init__(self, text: str, parents: tuple[int, ...], articles: tuple[int, ...]):
+        self.text, self.parents, self.articles = text, parents, articles
 
 
-def _set_aside(name: str, attributes: str) -> bool:
+def _set_aside(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element never holds the article, and whether its class or id alone says so."""
     if name in _DROPPED:
-        return True
+        return True, False
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    by_name = False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.lower() in _ROLES):
-            return True
-        if key in ("class", "id") and _ASIDE.search(value):
-            return True
-    return False
+            return True, False
+        by_name |= key in ("class", "id") and bool(_ASIDE.search(value))
+    return by_name, by_name
 
 
 def lines_of(page: str) -> list[Line]:
-    """Strip markup: the non-empty blocks outside parts set aside, in page order."""
-    out: list[Line] = []
-    parts: list[str] = []
-    stack: list[tuple[str, int | None, bool]] = []  # name, container, set aside
-    containers = aside = 0
+    """Strip markup: the non-empty blocks outside parts set aside, in page order.
+
+    Parts set aside by class are read as well, until it is known which of them hold
+    a main or, where all articles are in such parts, those in the fewest of them.
+    """
+    read: list[tuple[tuple[int, ...], str | None, tuple[int, ...], tuple[int, ...]]] = []  # parts by class, text or end of a block
+    stack: list[tuple[str, int | None, bool, bool]] = []  # name, container, set aside, by class
+    by_class: tuple[int, ...] = ()
+    mains: set[tuple[int, ...]] = set()
+    articles: set[tuple[int, ...]] = set()
+    containers = aside = asides = 0
     at = 0
 
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
+    def add(text: str) -> None:
         if text:
-            out.append(Line(text, tuple(c for _, c, _ in stack if c is not None)))
+            read.append((by_class, text, (), ()))
+
+    def flush() -> None:
+        if read and (read[-1][0] != by_class or read[-1][1] is not None):
+            inside = [(c, n) for n, c, _, _ in stack if c is not None]
+            read.append((by_class, None, tuple(c for c, _ in inside), tuple(c for c, n in inside if n in ("article", "main"))))
 
     def close(depth: int) -> None:
-        nonlocal aside
-        for _, _, gone in stack[depth:]:
-            aside -= gone
+        nonlocal aside, by_class
+        for _, _, gone, soft in stack[depth:]:
+            aside -= gone and not soft
+            by_class = by_class[:-1] if soft else by_class
         del stack[depth:]
 
     last = page.rfind(">")
     while True:
         match = _TOKEN.search(page, at) if at <= last or "<!--" in page[at:] else None
         if not aside:
-            parts.append(page[at : match.start() if match else len(page)])
+            add(page[at : match.start() if match else len(page)])
         if not match:
             break
         at = match.end()
@@ -110,7 +122,7 @@ def lines_of(page: str) -> list[Line]:
             continue
         if name == "br":
             if not aside:
-                parts.append(" ")
+                add(" ")
             continue
         if name in _BLOCK and not aside:
             flush()
@@ -123,22 +135,44 @@ def lines_of(page: str) -> list[Line]:
                     break
         if name in _VOID or attributes.endswith("/"):
             continue
-        gone = _set_aside(name, attributes)
+        gone, soft = _set_aside(name, attributes)
         if gone and not aside:
-            parts.append(" ")
+            add(" ")
+        if name in ("article", "main") and not aside:
+            (mains if name == "main" else articles).add(by_class)
         container = None
         if name in _CONTAINER:
             containers += 1
             container = containers
-        stack.append((name, container, gone))
-        aside += gone
+        soft = soft and not aside
+        stack.append((name, container, gone, soft))
+        if soft:
+            asides += 1
+            by_class += (asides,)
+        else:
+            aside += gone
         if name in _RAW:
             end_of = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             if not aside:
-                parts.append(page[at : end_of.start() if end_of else len(page)])
+                add(page[at : end_of.start() if end_of else len(page)])
             close(len(stack) - 1)
             at = end_of.end() if end_of else len(page)
+    by_class = ()  # text before a part that does not close
     flush()
+    fewest = min(map(len, mains | articles), default=0)
+    held = {i for x in [*mains, *(x for x in articles if len(x) == fewest)] for i in x}
+    out: list[Line] = []
+    parts: list[str] = []
+    for around, text, parents, own in read:
+        if not held.issuperset(around):
+            continue
+        if text is not None:
+            parts.append(text)
+            continue
+        text = " ".join(html.unescape("".join(parts)).split())
+        parts.clear()
+        if text:
+            out.append(Line(text, parents, own))
     return out
 
 
@@ -167,16 +201,25 @@ def main_text(page: str | None) -> str:
     first, end = core(np.array([len(x.text) for x in lines], np.int64))
     if first == end:
         return ""
-    # the innermost element that holds the larger part of the core's text
-    held: dict[int, int] = {}
-    for line in lines[first:end]:
-        for c in line.parents:
-            held[c] = held.get(c, 0) + len(line.text)
-    size = sum(len(x.text) for x in lines[first:end])
-    around = max((c for c, n in held.items() if 2 * n > size), default=None)
-    if around is None:
-        return "\n".join(x.text for x in lines[first:end])
-    return "\n".join(x.text for x in lines if around in x.parents)
+    return "\n".join(x.text for x in _around(lines, lines[first:end]))
+
+
+def _around(lines: list[Line], held: list[Line]) -> list[Line]:
+    """The lines of the article around the core ``held``, or else of the smallest element around it.
+
+    A core that runs over the end of its articles brings its other lines with it, but
+    for short ones at its ends: those are in it only because windows overlap them.
+    """
+    article = max(set.intersection(*(set(x.articles) for x in held)), default=None)
+    if article is not None:
+        return [x for x in lines if article in x.articles]
+    if 2 * sum(len(x.text) for x in held if x.articles) > sum(len(x.text) for x in held):
+        long = [i for i, x in enumerate(held) if x.articles or WINDOW * len(x.text) >= LEAST_CHARS]
+        kept = held[long[0] : long[-1] + 1]
+        own, articles = set(map(id, kept)), {x.articles[-1] for x in kept if x.articles}
+        return [x for x in lines if id(x) in own or not articles.isdisjoint(x.articles)]
+    around = max(set.intersection(*(set(x.parents) for x in held)), default=None)
+    return held if around is None else [x for x in lines if around in x.parents]
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -139,6 +139,20 @@ def test_op3(spark):
     assert next(r for r in got if r.page_id == 2).n_chars == 0
 
 
+def test_op3_whole_article():
+    """Containers inside articles, wrappers with a class of parts set aside, and cores over two articles."""
+    long, other = "lorem ipsum dolor sit amet " * 11 + "end", "consectetur adipiscing " * 8 + "end"
+    article = f"<article><h1>T</h1><div class=content>{long}</div><p>closing</p></article>"
+    assert main_text.main_text(article) == f"T\n{long}\nclosing"
+    assert main_text.main_text(f"<body><div>Site</div><article><h1>T</h1><section>{long}</section><section>{other}</section></article><div>(c)</div></body>") == f"T\n{long}\n{other}"
+    wrapped = f'<body><div class="page has-sidebar"><p>Blog</p>{article}<div class=sidebar>Side</div><div id=comments><article>{other}</article></div></div></body>'
+    assert main_text.main_text(wrapped) == f"T\n{long}\nclosing"
+    assert main_text.main_text(f"<div class=menu><main>{long}</main></div><div class=ad>{other}</div>") == long
+    assert main_text.main_text(f"<body><article>{long}<p>e1</article><article>{other}<p>e2</article></body>") == f"{long}\ne1\n{other}\ne2"
+    assert main_text.main_text(f"<div><h1>T</h1><div>{long}</div><p>closing</p></div>") == f"T\n{long}\nclosing"
+    assert main_text.main_text(f"<p>{long}<span class=ad>{other}") == long
+
+
 def test_op4(docs, empty):
     got = by_id(source_mix.op4(docs))
     sizes = [len(words(t)) for t in TEXTS]
