@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_page, strip
 
+#: Ids of a source that make one long document.
+SOURCE_IDS = 1000
+
 PAGES = "array<struct<index:int,markdown:string,confidence_scores:struct<average_page_confidence_score:double>>>"
 
 
@@ -60,12 +63,16 @@ def documents_para(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each source: a heading for each document and each of its lines (a long one, for merging)."""
-    docs = table(spark, sf_dir, "documents")
-    headed = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.trim(x) != "", F.concat(F.lit("## L"), F.col("doc_id").cast("string"), F.lit("."), i.cast("string"), F.lit("\n"), x)))
-    one = F.concat_ws("\n", F.concat(F.lit("# Document "), F.col("doc_id").cast("string")), F.array_join(F.array_compact(headed), "\n"))
-    parts = docs.select("source", "doc_id", one.alias("part")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "part"))).alias("parts"))
-    return parts.select(F.col("source").alias("document_id"), F.array_join(F.transform("parts", lambda p: p.part), "\n").alias("text"))
+    """A document for each source and range of ``SOURCE_IDS`` ids: a heading for each document and each of its lines (a long one, for merging).
+
+    A document without an id is in one with its own copies alone, so that no row grows with the corpus.
+    """
+    docs, name = table(spark, sf_dir, "documents"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    headed = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.trim(x) != "", F.concat(F.lit("## L"), name, F.lit("."), i.cast("string"), F.lit("\n"), x)))
+    one = F.concat_ws("\n", F.concat(F.lit("# Document "), name), F.array_join(F.array_compact(headed), "\n"))
+    block = F.coalesce(F.floor(F.col("doc_id") / SOURCE_IDS).cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    parts = docs.select(F.concat_ws(":", "source", block).alias("document_id"), "doc_id", one.alias("part")).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "part"))).alias("parts"))
+    return parts.select("document_id", F.array_join(F.transform("parts", lambda p: p.part), "\n").alias("text"))
 
 
 def orders_md(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from folioworks.functions import metadata, text
 from folioworks.functions.tables import tables_to_sentences
 from folioworks.operators import context, quality, statistics, structure
 from folioworks.plans import structuring
+from folioworks.queries import QUERIES
 from folioworks.sources import adapters
 
 
@@ -137,3 +138,18 @@ def test_stream(spark, tmp_path):
     query = micro_batches.start(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_source_md_is_bounded(spark, tmp_path):
+    """Long documents hold a fixed range of ids, all rows among them; merging stays within one."""
+    rows = [(i, f"mot{i} deux trois quatre cinq six sept huit neuf dix\nonze{i} un deux trois quatre cinq six sept huit neuf dix", "hot" if i % 3 else None) for i in range(2400)]
+    rows += [(None, f"sans numéro {i}", "hot") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.document_id: r.text for r in adapters.source_md(spark, str(tmp_path)).collect()}
+    assert {k for k in found if "text" not in k} == {"hot:0", "hot:1", "hot:2", "0", "1", "2"} and len(found) == 26
+    for i, text, source in rows[:2400]:
+        assert f"# Document {i}\n## L{i}.0\n{text.splitlines()[0]}\n" in found[f"{'hot:' if source else ''}{i // 1000}"] + "\n"
+    assert all(sum(f"sans numéro {i}" in t.splitlines() for t in found.values()) == 1 for i in range(20))
+    merged = QUERIES["consolidated"](spark, str(tmp_path)).agg(F.sum("word_count"), F.count_distinct("document_id"), F.max("n_sections")).first()
+    whole = structure.chunk(adapters.source_md(spark, str(tmp_path))).agg(F.sum("word_count"), F.count_distinct("document_id")).first()
+    assert tuple(merged[:2]) == tuple(whole) and merged[2] <= 2 * adapters.SOURCE_IDS
