@@ -59,10 +59,10 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return level.withColumn("target", target).select("source", "source_size", "n_docs", "target")
 
 
-def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = MAX_REPEATS) -> DataFrame:
-    """Serve each document of ``docs`` (``id, source, text``; other columns are ignored).
+def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = MAX_REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Serve each document of ``docs`` (``id, source, text``; of other columns, those in ``keep`` come along).
 
-    Returns a row for each input row: ``id, source, size, source_size, target`` and
+    Returns a row for each input row: ``id, source, size, source_size, target``, ``keep`` and
     ``copies``, an array of ``copy, start, finish`` (virtual times) and ``taken``
     (words before the end of the budget) with one entry for each copy of which
     words are taken.  Null and empty texts have size 0 and no copies; null is a
@@ -70,7 +70,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     gives an empty one.
     """
     order = F.xxhash64("id", F.lit(SEED))
-    sized = settle(docs.select("id", "source", n_words(F.col("text")).alias("size"), order.alias("turn")))
+    sized = settle(docs.select("id", "source", n_words(F.col("text")).alias("size"), order.alias("turn"), *keep))
     by_source = targets(sized, weights, budget, repeats).withColumnRenamed("source", "of")
     rows = sized.join(by_source, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     slices = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SLICE))
@@ -91,7 +91,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
         return F.struct(F.lit(i).alias("copy"), F.try_divide(start, "target").alias("start"), F.try_divide(finish, "target").alias("finish"), taken.cast("long").alias("taken"))
 
     copies = F.filter(F.array(*map(copy, range(repeats))), lambda c: c.taken > 0)
-    return rows.select("id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return rows.select("id", "source", "size", "source_size", "target", *keep, copies.alias("copies"))
 
 
 def stream(scheduled: DataFrame) -> DataFrame:
@@ -104,12 +104,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of a ``documents`` table that the mix takes, a row for each copy, in the columns of documents.
 
     A copy that the end of the budget cuts keeps its first words, joined by one space.
-    Rows that share an id get the same copies; rows without an id are not taken.
+    Each row has its own copies, with or without an id and whether or not others share it.
     """
-    scheduled = schedule(docs.select(F.col("doc_id").alias("id"), "source", "text"))
-    copies = scheduled.groupBy("id").agg(F.max_by("copies", F.size("copies")).alias("copies"), F.max("size").alias("size"))
-    copies = copies.select("id", "size", F.explode("copies").alias("c")).select("id", "size", "c.taken")
-    rows = docs.join(copies, docs["doc_id"] == copies["id"])
+    scheduled = schedule(docs.withColumn("id", F.col("doc_id")), keep=("text", "lang"))
+    rows = scheduled.select(F.col("id").alias("doc_id"), "text", "lang", "source", "size", F.explode("copies").alias("c")).select("*", "c.taken")
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int"))
     text = F.when(F.col("taken") < F.col("size"), F.array_join(words, " ")).otherwise(F.col("text"))
     return rows.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))

@@ -177,6 +177,20 @@ def test_op4(docs, empty):
     assert source_mix.op4(empty).count() == 0
 
 
+def test_mixed_documents_by_row(spark):
+    """Rows without an id and rows that share one are taken as they are served; sources come to their targets."""
+    texts = [" ".join(f"r{i}w{k}" for k in range(20 + i)) for i in range(12)]
+    ids = [None, None, None, 7, 7, 7, 8, 9, 10, 11, 12, 13]
+    rows = spark.createDataFrame([(d, t, "en", "ab"[i % 2], 0) for i, (d, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
+    out = source_mix.mixed_documents(rows).collect()
+    target = {"ab"[r["size"] % 2]: r.target for r in source_mix.op4(rows).collect()}
+    for s in "ab":
+        assert abs(sum(len(words(r.text)) for r in out if r.source == s) - target[s]) <= 1
+    for r in out:
+        i = int(re.match("r([0-9]+)w0", r.text)[1])
+        assert texts[i].startswith(r.text) and (r.doc_id, r.source, r.n_chars) == (ids[i], "ab"[i % 2], len(r.text))
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
