@@ -6,15 +6,13 @@ filter that fills up at a larger scale costs time and never changes a result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bits of the largest filter, as a power of two: 16 MB pass the driver to each Python worker.
 MAX_BITS = 27
-#: Parts that are filled apart, as a power of two.
+#: Parts that the top bits of a value choose from, as a power of two.
 _PARTS = 6
 
 _U = np.uint64
@@ -43,27 +41,18 @@ def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def build(df: DataFrame, hashed: Column, count: int) -> Bloom:
     """Build the filter over ``hashed``, a column of well-mixed 64-bit values.
 
-    ``count`` (their number) sets the size, up to ``MAX_BITS``.  The values are
-    dealt by their top bits and each part is filled in a task of its own.
+    ``count`` (their number) sets the size, up to ``MAX_BITS``.  Bits are gathered as
+    64-bit words by an aggregation that combines before it shuffles, so however many
+    values there are, no task and not the driver sees more than the filter.
     """
     bits = min(MAX_BITS, max(_PARTS + 6, (16 * max(count, 1)).bit_length()))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).view(_U)
-            owner = values >> _U(64 - _PARTS)
-            for part in np.unique(owner):
-                held = parts.setdefault(int(part), np.zeros(1 << (bits - _PARTS - 3), np.uint8))
-                for p in _places(values[owner == part], bits):
-                    np.bitwise_or.at(held, (p >> _U(3)).astype(np.int64), np.uint8(1) << (p & _U(7)).astype(np.uint8))
-        if parts:
-            yield pa.record_batch({"part": pa.array(list(parts), pa.int32()), "cells": pa.array([x.tobytes() for x in parts.values()], pa.binary())})
-
-    cells = np.zeros(1 << (bits - 3), np.uint8)
-    size = 1 << (bits - _PARTS - 3)
-    values = df.select(hashed.alias("h"))
-    for row in values.repartition(values.h.bitwiseAND(-(1 << (64 - _PARTS)))).mapInArrow(fill, "part int, cells binary").collect():
-        at = row["part"] * size
-        cells[at : at + size] |= np.frombuffer(row["cells"], np.uint8)
-    return Bloom(bits, cells)
+    h, mask = F.col("h"), F.lit((1 << (bits - _PARTS)) - 1)
+    part = F.shiftleft(F.shiftrightunsigned(h, 64 - _PARTS), bits - _PARTS)
+    places = F.array(*(part.bitwiseOR(x.bitwiseAND(mask)) for x in (h, F.shiftrightunsigned(h, 26))))
+    at = F.col("at")
+    words = df.select(hashed.alias("h")).select(F.explode(places).alias("at"))
+    words = words.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))).alias("bits"))
+    got = words.toArrow()
+    cells = np.zeros(1 << (bits - 6), np.int64)
+    cells[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return Bloom(bits, cells.view(np.uint8))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import release, settle
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = settle(small.distinct())
+        last, edges = edges, settle(small.distinct())
+        release(last)
         before, state = state, _state(edges)
         if state == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

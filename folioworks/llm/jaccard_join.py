@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import connected_components
-from .storage import settle
+from .storage import release, settle
 from .words import mix, text_slices, window_hashes, word_hashes
 
 #: Tokens in more documents than this are frequent.
@@ -45,6 +45,8 @@ CELLS = 256
 ROWS = 4096
 #: Keys that more sets share are compared in blocks of ``BLOCK`` sets, and only pairs that may be linked are emitted.
 SMALL_GROUP, BLOCK = 16, 4096
+#: Names of sets that a task remembers so as not to index copies again.
+REMEMBERED = 200_000
 #: Rounds in which each document is verified against one other, before all pairs left.
 STAR_ROUNDS = 2
 
@@ -130,7 +132,9 @@ def _combinations(frequent: np.ndarray, size: int, percent: int) -> np.ndarray:
 
 
 def _first_seen(names: list[bytes | None], seen: set[bytes]) -> np.ndarray:
-    """True for the rows whose set is the first of its name in this task."""
+    """True for the rows whose set is the first of its name among the last ``REMEMBERED`` of this task."""
+    if len(seen) > REMEMBERED:
+        seen.clear()
     out = np.zeros(len(names), bool)
     for i, x in enumerate(names):
         if x is not None and x not in seen:
@@ -162,8 +166,8 @@ def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
-        shared, total = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (2, 3))
+        shared, total = np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
         full = (np.maximum(x, y) == 0xFF).any(1)
         use = pa.array(full | (100 * shared >= percent * (total - shared)))
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(use)
@@ -266,9 +270,8 @@ def _postings(docs: DataFrame, size: int, percent: int, common: object) -> DataF
     return docs.mapInArrow(scan, "key long, node long")
 
 
-def _with_shared_keys(postings: DataFrame) -> DataFrame:
-    """The ``postings`` whose key another node has too.  A Bloom filter spares shuffling most others."""
-    shared = settle(postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key"))
+def _with_shared_keys(postings: DataFrame, shared: DataFrame) -> DataFrame:
+    """The ``postings`` whose key is in ``shared``.  A Bloom filter spares shuffling most others."""
     held = postings.sparkSession.sparkContext.broadcast(bloom.build(shared, F.xxhash64("key"), shared.count()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +302,7 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``pairs`` (``a, b``) that are linked: bounded by sketches, then compared set by set."""
+    """The ``pairs`` (``a, b``) that are linked, as a settled table: bounded by sketches, then compared set by set."""
     sketch = lambda x: sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sa", "sb")
     close = settle(both.mapInArrow(lambda batches: _may_link(batches, percent), "a long, b long"))
@@ -307,9 +310,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int,
     if wanted.isEmpty():
         return close
     sets = settle(_token_sets(docs, wanted, size))
+    release(wanted)
     tokens = lambda x: sets.select(F.col("rep").alias(x), F.col("tokens").alias(f"t{x}"))
     joined = close.join(tokens("a"), "a").join(tokens("b"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
-    return joined.filter(100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
+    linked = settle(joined.filter(100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b"))
+    release(close, sets)
+    return linked
+
+
+def _grown(table: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``table`` with the rows of ``new``, both settled; the plan does not grow with the rounds."""
+    if table is None:
+        return new
+    grown = settle(table.union(new))
+    release(table, new)
+    return grown
 
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -331,7 +346,9 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
     common = spark.sparkContext.broadcast(_frequent(known, size, percent))
     postings = settle(_postings(known, size, percent, common))
-    index = settle(_with_shared_keys(postings).join(reps.select(F.col("short").alias("node"), "rep", "n"), "node").select("key", "rep", "n").distinct())
+    shared = settle(postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key"))
+    index = settle(_with_shared_keys(postings, shared).join(reps.select(F.col("short").alias("node"), "rep", "n"), "node").select("key", "rep", "n").distinct())
+    release(postings, shared)
     sketches = settle(reps.join(index.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch"))
 
     component = sketches.select("rep", F.col("rep").alias("c"))
@@ -354,13 +371,16 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if step < STAR_ROUNDS:
             pairs = settle(pairs.groupBy("a").agg(F.max_by("b", F.struct("keys", F.negate("b"))).alias("b")))
-            tested = pairs if tested is None else tested.union(pairs)
-        new = settle(_verified(known, pairs.select("a", "b"), sketches, size, percent))
+        new = _verified(known, pairs.select("a", "b"), sketches, size, percent)
+        if step < STAR_ROUNDS:
+            tested = _grown(tested, pairs)
         if new.isEmpty():
             continue
-        linked = new if linked is None else linked.union(new)
+        linked = _grown(linked, new)
         joined = connected_components(linked)
-        component = settle(sketches.select("rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")))
+        last, component = component, settle(sketches.select("rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")))
+        release(joined, last)
+    release(tested, linked, index)
     links = reps.select("node", "rep").join(component, "rep", "left").select("node", F.coalesce("c", "rep").alias("component"))
     out = members.drop("short", "sketch").join(links, "node", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

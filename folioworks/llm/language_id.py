@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folds import held_out, per_class_sample
+from .folds import SAMPLE_ROWS, give_back, held_out, learn_in_task, per_class_sample
 from .subwords import Marked, blocks, coded_texts, words_of
 
 #: Training rows of each language, and the longest text used to train (prediction has no such bound).
@@ -26,7 +26,7 @@ SAMPLE_CHARS = 12_000
 WORDS, GRAMS = 30_000, 30_000
 LONGEST_GRAM = 5
 #: Word scores kept by a Python worker; it starts anew when they are more.
-CACHED = 300_000
+CACHED = 120_000
 UNDETERMINED = "und"
 
 class Model:
@@ -129,11 +129,15 @@ def _log_frequencies(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Train on a bounded sample of the rows of ``docs`` (``id, text, lang``) that are not held out."""
+    """Train in a task on a bounded sample of the rows of ``docs`` (``id, text, lang``) that are not held out."""
     usable = docs.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.filter(F.length("text") <= SAMPLE_CHARS).select("id", "text", "lang")
-    rows = sorted((r["id"], r["text"], r["lang"]) for r in per_class_sample(usable, "lang", SAMPLE).collect())
-    return train([t for _, t, _ in rows], [x for _, _, x in rows])
+
+    def learn(sample: list[tuple]) -> tuple:
+        model = train([t for _, t, _ in sample], [x for _, _, x in sample])
+        return model.languages, model.words, model.rows, model.by_length
+
+    return Model(*learn_in_task(per_class_sample(usable, "lang", SAMPLE), learn, 2 * SAMPLE_ROWS))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -145,6 +149,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             names, scores = held.predict(batch.column(1).to_pylist())
             yield batch.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(scores, pa.float64()))
+        del held
+        give_back()
 
     return docs.select("id", "text").mapInArrow(run, "id long, text string, lang_pred string, score double")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .folds import held_out, per_class_sample
+from .folds import give_back, held_out, learn_in_task, per_class_sample
 from .subwords import Marked, blocks, coded_texts, words_of
 
 #: Training rows of each class, and the longest text used to train (scoring has no such bound).
@@ -31,7 +31,7 @@ SHORTEST, LONGEST = 3, 6
 PASSAGE = 4
 EPOCHS = 60
 #: Word scores kept by a Python worker; it starts anew when they are more.
-CACHED = 400_000
+CACHED = 120_000
 
 def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of words and their n-grams, word by word, and the number of them of each word."""
@@ -177,7 +177,7 @@ def _calibrated(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[f
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of the labelled rows that are not held out.
+    """Train in a task on a bounded sample of the labelled rows that are not held out.
 
     ``docs`` has ``id``, ``text``; ``labels`` has ``id``, ``toxic``.
     """
@@ -185,8 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = usable.agg(F.avg("toxic")).first()[0]
     chosen = per_class_sample(usable, "toxic", SAMPLE)  # bounded: twice SAMPLE rows, about
     rows = docs.join(F.broadcast(chosen), "id").filter(F.length("text") <= SAMPLE_CHARS).select("id", "text", "toxic")
-    sample = sorted({(r["id"], r["text"], r["toxic"]) for r in rows.collect()})
-    return train([t for _, t, _ in sample], np.array([y for _, _, y in sample]), share or 0.0)
+    share = share or 0.0
+
+    def learn(sample: list[tuple]) -> tuple[np.ndarray, float, float]:
+        model = train([t for _, t, _ in sample], np.array([y for _, _, y in sample]), share)
+        return model.scores.astype(np.float32), model.slope, model.offset
+
+    return Model(*learn_in_task(rows, learn, 3 * SAMPLE))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -198,6 +203,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
         for batch in batches:
             scores = held.score(batch.column(1).to_pylist())
             yield batch.append_column("score", pa.array(scores, pa.float64()))
+        held.cache.clear()
+        give_back()
 
     docs = docs.select("id", "text", *keep)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
