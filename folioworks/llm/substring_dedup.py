@@ -3,16 +3,17 @@
 A window is a run of ``window`` consecutive words of one document.  A word is
 removed when a window over it also starts in a document with a smaller id.
 
-Level by level, from ``ceil(window / 2)`` words to ``window`` (each length at
-most twice the one before), only windows whose shorter parts are known to
-repeat in different documents stay candidates:
-
-1. Short level.  Of the short windows inside each full window only the one with
-   the least hash is counted (its *anchor*); equal windows have equal anchors, so
-   a repeated window always has a repeated anchor, and about a quarter of the
-   short windows have to be shuffled.
-2. Each longer level takes the windows whose anchor repeats, and the last one
-   holds all repeated windows with the least document that starts one.
+Level by level, from a few words to ``window`` (each length at most twice the one
+before), only windows all of whose shorter parts looked at so far repeat in
+different documents stay candidates, until none is left:
+
+1. At a short level, of the short windows inside each candidate only the one with
+   the least hash is counted (its *anchor*); equal windows have equal anchors, so a
+   repeated window always has a repeated anchor, and few short windows (two of
+   eleven at 4 words, one of four at 7) have to be shuffled.
+2. The candidates of a level are the windows whose anchors of all levels before
+   repeat; where no anchor of a level does, no window can, and nothing is removed.
+   The last level holds all repeated windows with the least document that starts one.
 3. Windows are joined with that table, and documents with their windows.
 
 Nothing is sampled or capped.  A Bloom filter of bounded size carries the
@@ -31,13 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .storage import settle
+from .storage import release, settle
 from .words import text_slices, window_hashes, window_owner, word_hashes
 
 
+#: Words of the shortest level; shorter windows repeat in nearly all documents and rule nothing out.
+SHORTEST = 4
+
+
 def levels(window: int) -> list[int]:
     """Window lengths from the first level to ``window``, each at most twice the last."""
-    return [(window + 1) // 2, window] if window > 1 else [1, 1]
+    out = [window]
+    while out[0] > SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 def _anchors(words: np.ndarray, short: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,27 +66,25 @@ def _distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows[keep], hashes[keep]
 
 
-def _scan(docs: DataFrame, window: int, seen: object | None) -> DataFrame:
-    """Rows ``(h, id)``: anchors of all windows, or with a filter ``seen`` the windows whose anchor it holds."""
-    short = levels(window)[0]
+def _scan(docs: DataFrame, window: int, length: int, seen: list[tuple[int, object]]) -> DataFrame:
+    """Rows ``(h, id)`` of a level: the anchors of ``length`` words of the windows that ``seen`` (length and filter of each level before) leaves."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for start, end, data, offsets in text_slices(batch.column(1)):
                 words, first = word_hashes(data, offsets)
-                row, whole = window_owner(first, window, len(words))
-                if not whole.any():
+                row, held = window_owner(first, window, len(words))
+                for short, repeats in seen:
+                    if held.any():
+                        hashes, least = _anchors(words, short, window)
+                        at = np.flatnonzero(held)
+                        held[at] = repeats.value.may_contain(hashes[least[at]])
+                if not held.any():
                     continue
-                hashes, least = _anchors(words, short, window)
-                row = row[whole]
-                if seen is None:
-                    at, keep = np.unique(least[whole], return_index=True)
-                    row, out = row[keep], hashes[at]
-                else:
-                    held = seen.value.may_contain(hashes[least[whole]])
-                    row, out = row[held], window_hashes(words, window)[whole][held]
-                row, out = _distinct(row, out)
+                hashes, least = _anchors(words, length, window)
+                at, keep = np.unique(least[held], return_index=True)
+                row, out = _distinct(row[held][keep], hashes[at])
                 yield pa.record_batch({"h": out.view(np.int64), "id": ids[start:end][row]})
 
     return docs.select("id", "text").mapInArrow(scan, "h long, id long")
@@ -100,9 +106,15 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("id", "text")
     known = docs.filter(F.col("id").isNotNull())
-    anchors = settle(_repeated(_scan(known, window, None)).select("h"))
-    seen = spark.sparkContext.broadcast(bloom.build(anchors, F.col("h"), anchors.count()))
-    candidates = _scan(known, window, seen)
+    seen: list[tuple[int, object]] = []
+    for length in levels(window)[:-1]:
+        anchors = settle(_repeated(_scan(known, window, length, seen)).select("h"))
+        count = anchors.count()
+        seen = [*seen, (length, spark.sparkContext.broadcast(bloom.build(anchors, F.col("h"), count)))]
+        release(anchors)
+        if not count:  # nothing repeats at this length, so nothing does at a greater one
+            return _cut(docs, None, seen[-1][1], window)
+    candidates = _scan(known, window, window, seen)
     repeated = _repeated(candidates)
     removed = settle(
         candidates.join(repeated, "h").filter("least < id").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("windows"))
@@ -112,8 +124,8 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     return _cut(docs, removed, touched, window)
 
 
-def _cut(docs: DataFrame, removed: DataFrame, seen: object, window: int) -> DataFrame:
-    """Apply the windows of ``removed`` to the texts; documents that the filter rules out keep everything."""
+def _cut(docs: DataFrame, removed: DataFrame | None, seen: object, window: int) -> DataFrame:
+    """Apply the windows of ``removed`` to the texts; documents that the filter rules out keep everything, and all do without windows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,6 +163,8 @@ def _cut(docs: DataFrame, removed: DataFrame, seen: object, window: int) -> Data
 
     schema = "id long, text string, n_words long, n_removed long, kept string"
     hashed = docs.withColumn("i", F.xxhash64("id"))
+    if removed is None:
+        return hashed.mapInArrow(untouched, schema)
     partly = hashed.mapInArrow(lambda batches: part(True, batches), "id long, text string").join(removed, "id", "left")
     return hashed.mapInArrow(untouched, schema).unionByName(partly.mapInArrow(cut, schema))
 
