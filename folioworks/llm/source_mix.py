@@ -4,9 +4,11 @@ Every source is a queue of its documents in shuffled order, served again from th
 start when it runs out (at most ``MAX_REPEATS`` times).  The weight of a queue is
 its target in words, so a copy's virtual finish time is the words its source has
 handed out by then, divided by that target.  All copies are range-sorted by
-virtual finish time, and the stream is truncated where the budget ends: the
-targets add up to the budget, so that is at virtual time 1.  A copy in service
-then is cut, and each source comes within a word of its target.
+virtual finish time into one stream, which is truncated at the total budget: words
+are added up by range of virtual time, and within the range where the budget ends
+row by row (:func:`cut`).  So that no source misses its target by a long document,
+a copy in service when targets are reached (at virtual time 1) is sent in packets
+of a few words, as networks send them.
 
 Running totals need no task that holds a whole source: documents are dealt by
 the shuffle hash into slices of bounded size, slices are added up by window over
@@ -26,6 +28,8 @@ BUDGET = 1.5
 MAX_REPEATS = 2
 #: Documents in a slice of a source, about.
 SLICE = 4000
+#: Packets that a copy in service is sent in, at most; ranges of virtual time that words are added up by.
+PACKETS, RANGES = 1024, 1 << 16
 SEED = 20_011
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,13 +70,30 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     ``copies``, an array of ``copy, start, finish`` (virtual times) and ``taken``
     (words before the end of the budget) with one entry for each copy of which
     words are taken.  Null and empty texts have size 0 and no copies; null is a
-    source of its own; repeated rows are documents of their own; an empty table
-    gives an empty one.
+    source of its own; repeated rows are documents of their own; copies that finish
+    at the same time are served by a hash of id and size; an empty table gives an
+    empty one.
     """
     order = F.xxhash64("id", F.lit(SEED))
     sized = settle(docs.select("id", "source", n_words(F.col("text")).alias("size"), order.alias("turn"), *keep))
-    by_source = targets(sized, weights, budget, repeats).withColumnRenamed("source", "of")
-    rows = sized.join(by_source, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    by_source = targets(sized, weights, budget, repeats)
+    served = _served(sized, by_source, repeats, keep)
+    end = cut(stream(_served(sized, by_source, repeats, ())), by_source)
+
+    def taken(c: Column) -> Column:
+        """Words of a copy's packets that the stream has before its end."""
+        before = F.floor((end["finish"] * F.col("target") - c.served) / c.packet + 1e-6) if end else F.lit(0)  # a quotient of whole numbers, but for rounding
+        packets = F.greatest(F.lit(0), F.least(c.size, before.cast("long") * c.packet))
+        whole = (c.packet >= c.size) & ((c.finish < end["finish"]) | ((c.finish == end["finish"]) & (c.tie <= end["tie"]))) if end else F.lit(False)
+        return F.when(whole, c.size).when(c.packet >= c.size, F.lit(0)).otherwise(packets)
+
+    out = F.transform("copies", lambda c: F.struct(c["copy"].alias("copy"), c.start.alias("start"), c.finish.alias("finish"), taken(c).cast("long").alias("taken")))
+    return served.select("id", "source", "size", "source_size", "target", *keep, F.filter(out, lambda c: c.taken > 0).alias("copies"))
+
+
+def _served(sized: DataFrame, by_source: DataFrame, repeats: int, keep: tuple[str, ...]) -> DataFrame:
+    """Add ``source_size, target`` and ``copies``: ``copy, served`` (words of the source before it), ``start, finish, size, packet, tie``."""
+    rows = sized.join(by_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     slices = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SLICE))
     rows = rows.withColumn("slice", F.floor((F.shiftrightunsigned("turn", 33) / F.lit(1 << 31)) * slices))
     # the sums of slices, added up
@@ -87,36 +108,65 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     def copy(i: int) -> Column:
         finish = served + i * F.col("source_size")
         start = finish - F.col("size")
-        taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + 0.5) - start))
-        return F.struct(F.lit(i).alias("copy"), F.try_divide(start, "target").alias("start"), F.try_divide(finish, "target").alias("finish"), taken.cast("long").alias("taken"))
-
-    copies = F.filter(F.array(*map(copy, range(repeats))), lambda c: c.taken > 0)
+        in_service = (start < F.col("target")) & (finish > F.col("target"))
+        packet = F.when(in_service, F.ceil(F.col("size") / PACKETS)).otherwise(F.col("size"))
+        return F.struct(
+            F.lit(i).alias("copy"), start.alias("served"), F.try_divide(start, "target").alias("start"), F.try_divide(finish, "target").alias("finish"),
+            F.col("size").alias("size"), packet.cast("long").alias("packet"), F.xxhash64("id", "size", F.lit(i)).alias("tie"),
+        )
+
+    copies = F.filter(F.array(*map(copy, range(repeats))), lambda c: (c.size > 0) & c.finish.isNotNull())
     return rows.select("id", "source", "size", "source_size", "target", *keep, copies.alias("copies"))
 
 
-def stream(scheduled: DataFrame) -> DataFrame:
-    """The mix in order: a row for each copy, range-sorted by virtual finish time; parts of it are sorted runs."""
-    rows = scheduled.select("id", "source", "size", F.explode("copies").alias("c")).select("id", "source", "size", "c.*")
-    return rows.repartitionByRange("finish", "id", "copy").sortWithinPartitions("finish", "id", "copy")
+def stream(served: DataFrame) -> DataFrame:
+    """The mix in order: ``finish, tie, words`` of each copy or packet, range-sorted by virtual finish time; parts of it are sorted runs."""
+    rows = served.select("target", F.explode("copies").alias("c")).select("target", "c.*")
+    packets = F.ceil(F.col("size") / F.col("packet")).cast("int")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), packets)))
+    ends = F.least(F.col("k") * F.col("packet"), F.col("size"))
+    rows = rows.select(F.when(F.col("k") == packets, F.col("finish")).otherwise((F.col("served") + ends) / F.col("target")).alias("finish"), "tie", (ends - (F.col("k") - 1) * F.col("packet")).alias("words"))
+    return rows.repartitionByRange("finish", "tie").sortWithinPartitions("finish", "tie")
+
+
+def cut(sent: DataFrame, by_source: DataFrame) -> dict | None:
+    """``finish, tie`` of the last row of the :func:`stream` that the budget (all targets) has room for; None if it has for none."""
+    budget = by_source.agg(F.sum("target").alias("words")).first()["words"]
+    if not budget:
+        return None
+    sent = sent.withColumn("range", F.floor(F.col("finish") * (RANGES / MAX_REPEATS)))
+    # words of ranges of virtual time, added up: at most so many rows as there are ranges
+    sums = sent.groupBy("range").agg(F.sum("words").alias("words"))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    limit = F.floor(F.lit(budget + 0.5))
+    crossed = sums.withColumn("upto", F.sum("words").over(upto)).filter(F.col("upto") > limit).orderBy("range").first()
+    if crossed is None:
+        return sent.orderBy(F.desc("finish"), F.desc("tie")).select("finish", "tie").first().asDict()
+    before = crossed["upto"] - crossed["words"]
+    inside = sent.filter((F.col("range") == crossed["range"])).withColumn("upto", before + F.sum("words").over(Window.orderBy("finish", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    last = inside.filter(F.col("upto") <= limit).orderBy(F.desc("finish"), F.desc("tie")).select("finish", "tie").first()
+    return last.asDict() if last else {"finish": crossed["range"] / (RANGES / MAX_REPEATS), "tie": -(1 << 63)}
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of a ``documents`` table that the mix takes, a row for each copy, in the columns of documents.
+    """The rows of a ``documents`` table that the mix takes, a row for each copy, in its columns.
 
     A copy that the end of the budget cuts keeps its first words, joined by one space.
-    Each row has its own copies, with or without an id and whether or not others share it.
+    Each row has its own copies, with or without an id and whether or not others share
+    it; null and empty texts have no words to take; an empty table stays empty.
     """
-    scheduled = schedule(docs.withColumn("id", F.col("doc_id")), keep=("text", "lang"))
-    rows = scheduled.select(F.col("id").alias("doc_id"), "text", "lang", "source", "size", F.explode("copies").alias("c")).select("*", "c.taken")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "source", "n_chars")]
+    rows = docs.select(F.col("doc_id").alias("id"), "text", "source", F.struct(F.lit(0).alias("_"), *rest).alias("_row"))
+    scheduled = schedule(rows, keep=("text", "_row"))
+    rows = scheduled.select("id", "text", "source", "_row", "size", F.explode("copies").alias("c")).select("*", "c.taken")
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int"))
     text = F.when(F.col("taken") < F.col("size"), F.array_join(words, " ")).otherwise(F.col("text"))
-    return rows.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    new = {"doc_id": F.col("id"), "text": text, "source": F.col("source"), "n_chars": F.length(text).cast("long")}
+    return rows.select(*(new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    """Words that the mix takes of each document of a ``documents`` table, by virtual time of its first copy."""
+    """Words that the mix takes of each document of a ``documents`` table."""
     out = schedule(docs.select(F.col("doc_id").alias("id"), "source", "text"))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c.taken)
-    out = out.withColumn("finish", F.get("copies", F.lit(0)).finish)
-    out = out.repartitionByRange("finish", "id").sortWithinPartitions("finish", "id")
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), "finish")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), F.get("copies", F.lit(0)).finish.alias("finish"))
