@@ -22,12 +22,13 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Rounds of EM at most; it stops when no estimate moves by more than ``SETTLED``.
 ROUNDS, SETTLED = 30, 1e-4
-#: Estimates start here and are drawn to it as by so many documents, so that "good" keeps its meaning.
-START_ON_GOOD, START_ON_BAD, START_GOOD, PRIOR_ROWS = 0.98, 0.3, 0.85, 20.0
-#: Least and greatest accuracy on good documents: a rule seldom fires on them.  One kind of
-#: junk trips few rules, so on bad documents accuracies are free.  No rule alone is certain.
-ON_GOOD, ON_BAD = (0.97, 0.995), (0.01, 0.99)
+#: Estimates start here: the start alone tells which side is the good one.
+START_ON_GOOD, START_ON_BAD, START_GOOD = 0.98, 0.3, 0.85
+#: Votes of each kind that are reckoned besides those counted, so that no accuracy is 0 or 1.
+RECKONED = 1.0
 KEEP = 0.5
+#: Bits of a window's place in its text, below those of its hash.
+PLACE_BITS = 20
 
 #: Rule, statistic, good from .. to, bad below, bad above (None: no such vote).
 RULES = (
@@ -55,11 +56,25 @@ def statistics(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: F.length(_without(line, SPACES)) > 0))
     dense = _without(F.col("text"), SPACES)
     rows = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("dense", dense)
-    # windows sorted by hash, equal ones side by side
-    three = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")))
-    rows = rows.withColumn("windows", F.when(F.col("n_words") >= 3, F.array_sort(three)))
-    beside = F.filter("windows", lambda w, k: (w.h == F.get(F.col("windows"), k - 1).h) | (w.h == F.get(F.col("windows"), k + 1).h))
-    covered = F.array_distinct(F.flatten(F.transform(beside, lambda w: F.array(w.i, w.i + 1, w.i + 2))))
+    three = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+    rows = rows.withColumn("windows", F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), three)))
+    # a hash and its place in one number, so that sorting numbers puts equal windows side by side
+    packed = F.transform("windows", lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))
+    apart = F.size(F.array_distinct("windows")) == F.size("windows")
+    rows = rows.withColumn("sorted", F.when(F.col("n_words").between(3, 1 << PLACE_BITS) & ~apart, F.array_sort(packed)))
+    key, place = lambda w: F.shiftrightunsigned(w, PLACE_BITS), lambda w: w.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+    neighbours = F.arrays_zip("sorted", F.concat(F.array(F.lit(None).cast("long")), "sorted").alias("last"), F.slice("sorted", F.lit(2), F.greatest(F.size("sorted"), F.lit(1))).alias("next"))
+    # of the hash only its upper bits are in the number, so the whole ones are compared too
+    same = lambda x, y: F.coalesce((key(x) == key(y)) & (F.get("windows", place(x)) == F.get("windows", place(y))), F.lit(False))
+    rows = rows.withColumn("places", F.array_sort(F.transform(F.filter(neighbours, lambda x: same(x["sorted"], x.last) | same(x["sorted"], x.next)), lambda x: place(x["sorted"]))))
+    # a window covers three words, or as many as are before the next one
+    covered = F.aggregate(F.zip_with("places", F.slice("places", F.lit(2), F.greatest(F.size("places"), F.lit(1))), lambda i, j: F.least(F.coalesce(j - i, F.lit(3)), F.lit(3))), F.lit(0), lambda a, n: a + n)
+    # texts of more words than a place has room for
+    long = F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    rows = rows.withColumn("long", F.when(F.col("n_words") > 1 << PLACE_BITS, F.array_sort(long)))
+    beside = F.filter("long", lambda w, k: (w.h == F.get(F.col("long"), k - 1).h) | (w.h == F.get(F.col("long"), k + 1).h))
+    covered_long = F.size(F.array_distinct(F.flatten(F.transform(beside, lambda w: F.array(w.i, w.i + 1, w.i + 2)))))
+    covered = F.when(F.col("long").isNotNull(), covered_long).otherwise(covered)
     letters = F.regexp_replace("dense", r"[^\p{L}]+", "")
     return rows.select(
         "id",
@@ -69,7 +84,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.length("dense") - F.length(_without(F.col("dense"), "|"))).cast("long").alias("n_bars"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.length("dense").cast("long").alias("n_chars"),
         F.length(letters).cast("long").alias("n_letters"),
         F.length(F.regexp_replace(letters, r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
@@ -107,15 +122,9 @@ def estimate(patterns: DataFrame, n_rules: int) -> tuple[list[tuple[float, float
         if not got["all"]:
             break
 
-        def drawn(right: float | None, total: float | None, start: float, bounds: tuple[float, float]) -> float:
-            share = ((right or 0.0) + PRIOR_ROWS * start) / ((total or 0.0) + PRIOR_ROWS)
-            return min(bounds[1], max(bounds[0], share))
-
-        new = [
-            (drawn(got[f"g{i}_right"], got[f"g{i}_all"], START_ON_GOOD, ON_GOOD), drawn(got[f"b{i}_right"], got[f"b{i}_all"], START_ON_BAD, ON_BAD))
-            for i in range(n_rules)
-        ]
-        new_good = (got["good"] + PRIOR_ROWS * START_GOOD) / (got["all"] + PRIOR_ROWS)
+        share = lambda name: ((got[f"{name}_right"] or 0.0) + RECKONED) / ((got[f"{name}_all"] or 0.0) + 2 * RECKONED)  # noqa: E731, B023
+        new = [(share(f"g{i}"), share(f"b{i}")) for i in range(n_rules)]
+        new_good = (got["good"] + RECKONED) / (got["all"] + 2 * RECKONED)
         moved = max([abs(new_good - good), *(abs(x - y) for a, b in zip(new, accuracy, strict=True) for x, y in zip(a, b, strict=True))])
         accuracy, good = new, new_good
         if moved < SETTLED:
