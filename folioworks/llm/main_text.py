@@ -3,10 +3,13 @@
 Markup is stripped to one line of text per block element, without elements that
 never hold an article (scripts, navigation, forms and the like, by tag, role or
 class, unless the page's article is in them).  Over sliding windows of ``WINDOW`` lines text lengths are summed.  Where
-the sum surges over the threshold the core of the page starts, where it falls
-off it ends.  The core is the stretch with most text, and it is extended to the
-whole article, or else the smallest element, around all of it, so that short first
-and last lines of an article stay.
+the sum surges over the threshold a stretch of the text starts, where it falls off
+it ends; stretches with ``GAP`` lines or fewer between them are one.  All text
+between a surge and its dive is kept, widened to the element around the stretch
+with most text (the core), so that short first and last lines stay.  Where the page
+itself marks an article around the core, that article is the text.
+
+The work is linear in the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 #: Lines in a window, and the least text in a window inside the core.
 WINDOW = 3
 LEAST_CHARS = 60
+#: Lines between two stretches that are one.
+GAP = 4
 
 # Element names with a meaning in HTML.
 _DROPPED = set("head script style noscript template svg math iframe object canvas audio video nav header footer aside form button select option textarea input dialog menu".split())
@@ -32,11 +37,16 @@ _BLOCK = set("address article blockquote body center dd details div dl dt fields
 _CONTAINER = {"article", "main", "section", "div", "td", "body", "html", "center"}
 _ENDS_P = _BLOCK - {"body", "html"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog", "alertdialog"}
-# Words of class and id names of parts that are not the article.
-_ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|pagination|pager|toolbar|skip)(?=$|[\s_-])",
-    re.I,
-)
+# Parts of class and id names of what is not the article, those that tell it whatever
+# stands beside them, and parts that may stand beside the others.
+_ASIDE = set("""ad ads adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu
+breadcrumb breadcrumbs sidebar side widget widgets footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe
+subscription signup login share sharing social related recommended recommendations comment comments commentlist replies respond disqus pagination pager toolbar skip""".split())
+_STRONG = set("comment comments commentlist replies respond disqus newsletter cookie cookies consent gdpr breadcrumb breadcrumbs pagination pager popup navbar advert adverts advertisement".split())
+_BESIDE = set("site main top bottom global left right primary secondary user box bar wrap wrapper container list area section block links link form content inner slot unit label group row".split())
+_COMMENTS = {"comment", "comments", "reply", "replies"}
+_NOT = {"has", "with", "no", "without", "is"}
+_TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "figcaption"}
 
 _COMMENT = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
 _TAG = r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
@@ -46,62 +56,115 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([
 
 
 class Line:
-    """The text of one block, the open containers around it and those of them that are an article or main."""
+    """The text of one block, the name of the block and the innermost container around it (a number)."""
+
+    __slots__ = ("container", "name", "text")
+
+    def __init__(self, text: str, name: str, container: int):
+        self.text, self.name, self.container = text, name, container
+
+
+class Containers:
+    """The containers of a page, numbered as they open (0 is the page): what each is in, and the last one inside it."""
 
-    __slots__ = ("articles", "parents", "text")
+    def __init__(self) -> None:
+        self.names, self.parents, self.ends, self.articles = ["html"], [0], [0], [0]
 
-    def __init__(self, text: str, parents: tuple[int, ...], articles: tuple[int, ...]):
-        self.text, self.parents, self.articles = text, parents, articles
+    def open(self, name: str, parent: int) -> int:
+        own = len(self.names)
+        self.names.append(name)
+        self.parents.append(parent)
+        self.ends.append(own)
+        self.articles.append(own if name in ("article", "main") else self.articles[parent])
+        return own
 
+    def holds(self, outer: int, inner: int) -> bool:
+        return outer <= inner <= self.ends[outer] or not outer
+
+    def around(self, some: list[int]) -> int:
+        """The innermost container that holds all of ``some``."""
+        low, high = min(some), max(some)
+        while not self.holds(low, high):
+            low = self.parents[low]
+        return low
+
+
+def _named_aside(value: str) -> bool:
+    """Whether a class or id names a part that is not the article."""
+    for name in value.lower().split():
+        parts = [x.rstrip("0123456789") for x in re.split(r"[-_]+", name)]
+        parts = [x for x in parts if x]
+        if not parts or parts[0] in _NOT:
+            continue
+        if not _STRONG.isdisjoint(parts) or (not _ASIDE.isdisjoint(parts) and all(x in _ASIDE or x in _BESIDE for x in parts)):
+            return True
+    return False
 
-def _set_aside(name: str, attributes: str) -> tuple[bool, bool]:
+
+def _set_aside(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element never holds the article, and whether its class or id alone says so."""
-    if name in _DROPPED:
+    if name in _DROPPED and not (name == "header" and in_article):
         return True, False
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False, False
     by_name = False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
+        if name == "article":
+            if key in ("class", "id") and not _COMMENTS.isdisjoint(re.split(r"[-_\s]+", value.lower())):
+                return True, False
+            continue
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.lower() in _ROLES):
             return True, False
-        by_name |= key in ("class", "id") and bool(_ASIDE.search(value))
+        by_name |= key in ("class", "id") and name != "header" and _named_aside(value)
     return by_name, by_name
 
 
-def lines_of(page: str) -> list[Line]:
-    """Strip markup: the non-empty blocks outside parts set aside, in page order.
+def lines_of(page: str) -> tuple[list[Line], Containers]:
+    """Strip markup: the non-empty blocks outside parts set aside, in page order, and the containers they are in.
 
     Parts set aside by class are read as well, until it is known which of them hold
     a main or, where all articles are in such parts, those in the fewest of them.
     """
-    read: list[tuple[tuple[int, ...], str | None, tuple[int, ...], tuple[int, ...]]] = []  # parts by class, text or end of a block
-    stack: list[tuple[str, int | None, bool, bool]] = []  # name, container, set aside, by class
-    by_class: tuple[int, ...] = ()
-    mains: set[tuple[int, ...]] = set()
-    articles: set[tuple[int, ...]] = set()
-    containers = aside = asides = 0
-    at = 0
+    tree = Containers()
+    read: list[tuple[int, str | None, str, int]] = []  # part by class, text or the end of a block, its name and container
+    stack: list[tuple[str, int, bool, bool]] = []  # name, container or 0, set aside, by class
+    places: dict[str, list[int]] = {}  # where elements of a name are in the stack
+    walls: list[int] = []  # where containers are in it, and parts set aside
+    asides: list[int] = []
+    inside = [0]  # open containers
+    above, deep = [0], [0]  # parts by class: the one each is in, and how many
+    part = 0
+    mains: set[int] = set()
+    articles: set[int] = set()
+    aside = at = 0
+    block = "body"
 
     def add(text: str) -> None:
         if text:
-            read.append((by_class, text, (), ()))
+            read.append((part, text, "", 0))
 
     def flush() -> None:
-        if read and (read[-1][0] != by_class or read[-1][1] is not None):
-            inside = [(c, n) for n, c, _, _ in stack if c is not None]
-            read.append((by_class, None, tuple(c for c, _ in inside), tuple(c for c, n in inside if n in ("article", "main"))))
+        if read and (read[-1][0] != part or read[-1][1] is not None):
+            read.append((part, None, block, inside[-1]))
 
     def close(depth: int) -> None:
-        nonlocal aside, by_class
-        for _, _, gone, soft in stack[depth:]:
+        nonlocal aside, part
+        while len(stack) > depth:
+            name, container, gone, soft = stack.pop()
+            places[name].pop()
+            if container:
+                walls.pop()
+                inside.pop()
+                tree.ends[container] = len(tree.names) - 1
+            if gone or soft:
+                asides.pop()
             aside -= gone and not soft
-            by_class = by_class[:-1] if soft else by_class
-        del stack[depth:]
+            part = above[part] if soft else part
 
     last = page.rfind(">")
     while True:
-        match = _TOKEN.search(page, at) if at <= last or "<!--" in page[at:] else None
+        match = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if not aside:
             add(page[at : match.start() if match else len(page)])
         if not match:
@@ -113,12 +176,10 @@ def lines_of(page: str) -> list[Line]:
         if slash:
             if name in _BLOCK and not aside:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    close(depth)
-                    break
-                if stack[depth][0] in _CONTAINER and name not in _CONTAINER | _DROPPED:
-                    break
+                block = "body"
+            found = places.get(name)
+            if found and (name in _CONTAINER or name in _DROPPED or not walls or found[-1] > walls[-1]):
+                close(found[-1])
             continue
         if name == "br":
             if not aside:
@@ -126,29 +187,29 @@ def lines_of(page: str) -> list[Line]:
             continue
         if name in _BLOCK and not aside:
             flush()
-        if name in _ENDS_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in _CONTAINER or stack[depth][2]:
-                    break
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
+            block = name
+        if name in _ENDS_P and places.get("p") and places["p"][-1] > max(walls[-1] if walls else -1, asides[-1] if asides else -1):
+            close(places["p"][-1])
         if name in _VOID or attributes.endswith("/"):
             continue
-        gone, soft = _set_aside(name, attributes)
+        gone, soft = _set_aside(name, attributes, bool(tree.articles[inside[-1]]))
         if gone and not aside:
             add(" ")
-        if name in ("article", "main") and not aside:
-            (mains if name == "main" else articles).add(by_class)
-        container = None
-        if name in _CONTAINER:
-            containers += 1
-            container = containers
+        if name in ("article", "main") and not gone and not aside:
+            (mains if name == "main" else articles).add(part)
         soft = soft and not aside
+        places.setdefault(name, []).append(len(stack))
+        if gone or soft:
+            asides.append(len(stack))
+        container = tree.open(name, inside[-1]) if name in _CONTAINER else 0
+        if container:
+            walls.append(len(stack))
+            inside.append(container)
         stack.append((name, container, gone, soft))
         if soft:
-            asides += 1
-            by_class += (asides,)
+            above.append(part)
+            deep.append(deep[part] + 1)
+            part = len(above) - 1
         else:
             aside += gone
         if name in _RAW:
@@ -157,14 +218,19 @@ def lines_of(page: str) -> list[Line]:
                 add(page[at : end_of.start() if end_of else len(page)])
             close(len(stack) - 1)
             at = end_of.end() if end_of else len(page)
-    by_class = ()  # text before a part that does not close
+    part = 0  # text before a part that does not close
     flush()
-    fewest = min(map(len, mains | articles), default=0)
-    held = {i for x in [*mains, *(x for x in articles if len(x) == fewest)] for i in x}
+    close(0)
+    fewest = min((deep[x] for x in mains | articles), default=0)
+    held = {0}
+    for x in [*mains, *(x for x in articles if deep[x] == fewest)]:
+        while x not in held:
+            held.add(x)
+            x = above[x]
     out: list[Line] = []
     parts: list[str] = []
-    for around, text, parents, own in read:
-        if not held.issuperset(around):
+    for own, text, name, container in read:
+        if own not in held:
             continue
         if text is not None:
             parts.append(text)
@@ -172,58 +238,69 @@ def lines_of(page: str) -> list[Line]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(Line(text, parents, own))
-    return out
+            out.append(Line(text, name, container))
+    return out, tree
 
 
-def core(lengths: np.ndarray) -> tuple[int, int]:
-    """First line and end of the stretch between a surge and a dive of the window sums that has most text."""
+def stretches(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """First line and end of each stretch between a surge and a dive of the window sums, those close together joined."""
     if not len(lengths):
-        return 0, 0
+        return []
     padded = np.concatenate([lengths, np.zeros(WINDOW - 1, np.int64)])
     sums = np.convolve(padded, np.ones(WINDOW, np.int64), "valid")
     dense = np.concatenate([[False], sums >= min(LEAST_CHARS, sums.max()), [False]])
     surge, dive = np.flatnonzero(~dense[:-1] & dense[1:]), np.flatnonzero(dense[:-1] & ~dense[1:])
-    total = np.concatenate([[0], np.cumsum(lengths)])
     end = np.minimum(dive + WINDOW - 1, len(lengths))
-    best = int(np.argmax(total[end] - total[surge]))
-    first, last = int(surge[best]), int(end[best])
-    while first < last and not lengths[first]:
-        first += 1
-    return first, last
+    apart = surge[1:] - end[:-1] > GAP
+    return list(zip(surge[np.concatenate([[True], apart])].tolist(), end[np.concatenate([apart, [True]])].tolist(), strict=True))
 
 
 def main_text(page: str | None) -> str:
     """The article of ``page``: its blocks, joined by newlines; empty for null, empty or text-free pages."""
     if not page:
         return ""
-    lines = lines_of(page)
-    first, end = core(np.array([len(x.text) for x in lines], np.int64))
-    if first == end:
+    lines, tree = lines_of(page)
+    lengths = np.array([len(x.text) for x in lines], np.int64)
+    found = stretches(lengths)
+    if not found:
         return ""
-    return "\n".join(x.text for x in _around(lines, lines[first:end]))
-
+    return "\n".join(lines[i].text for i in _kept(lines, tree, lengths, found))
 
-def _around(lines: list[Line], held: list[Line]) -> list[Line]:
-    """The lines of the article around the core ``held``, or else of the smallest element around it.
 
-    A core that runs over the end of its articles brings its other lines with it, but
-    for short ones at its ends: those are in it only because windows overlap them.
-    """
-    article = max(set.intersection(*(set(x.articles) for x in held)), default=None)
-    if article is not None:
-        return [x for x in lines if article in x.articles]
-    if 2 * sum(len(x.text) for x in held if x.articles) > sum(len(x.text) for x in held):
-        long = [i for i, x in enumerate(held) if x.articles or WINDOW * len(x.text) >= LEAST_CHARS]
-        kept = held[long[0] : long[-1] + 1]
-        own, articles = set(map(id, kept)), {x.articles[-1] for x in kept if x.articles}
-        return [x for x in lines if id(x) in own or not articles.isdisjoint(x.articles)]
-    around = max(set.intersection(*(set(x.parents) for x in held)), default=None)
-    return held if around is None else [x for x in lines if around in x.parents]
+def _kept(lines: list[Line], tree: Containers, lengths: np.ndarray, found: list[tuple[int, int]]) -> list[int]:
+    """Lines of the article around the core, or else of all stretches and of the element around the core."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    first, end = max(found, key=lambda x: total[x[1]] - total[x[0]])
+    core = range(first, end)
+    around = tree.around([lines[i].container for i in core])
+    article = tree.articles[around]
+    if article:
+        return [i for i, x in enumerate(lines) if tree.holds(article, x.container)]
+    own = [tree.articles[lines[i].container] for i in core]
+    if 2 * sum(lengths[i] for i, x in zip(core, own, strict=True) if x) > total[end] - total[first]:
+        # the core runs over the end of its articles: it brings its other lines with it, but for short ones at its ends
+        long = [i for i, x in zip(core, own, strict=True) if x or WINDOW * lengths[i] >= LEAST_CHARS]
+        inside = {tree.articles[lines[i].container] for i in range(long[0], long[-1] + 1)} - {0}
+        return [i for i, x in enumerate(lines) if long[0] <= i <= long[-1] or tree.articles[x.container] in inside]
+    kept = set()
+    for low, high in found:  # windows reach over short lines at both ends that may be of other parts
+        while low < high and WINDOW * lengths[low] < LEAST_CHARS and lines[low].name not in _TEXTUAL:
+            low += 1
+        while low < high and WINDOW * lengths[high - 1] < LEAST_CHARS and lines[high - 1].name not in _TEXTUAL:
+            high -= 1
+        kept.update(range(low, high) if low < high else range(first, end) if (low, high) == (first, end) else ())
+    if around and tree.names[around] not in ("body", "html"):
+        kept.update(i for i, x in enumerate(lines) if tree.holds(around, x.container))
+    return sorted(kept or core)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Return ``page_id, url, text`` of ``pages`` (with ``html``); one row for each, repeated rows included."""
+    """Return ``page_id, url, text`` of ``pages`` (with ``html``); one row for each, repeated rows included.
+
+    Null and empty pages have an empty text; pages may be of any length and nesting;
+    of stretches with equal text the first is the core; other columns are ignored; an
+    empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
