@@ -27,6 +27,40 @@ KEYWORD_LETTERS = "a-zàâäéèêëïîôùûüÿçæœ"
 CONTENTS_HEADINGS = ["SOMMAIRE", "TABLE DES MATIERES", "TABLE DES MATIÈRES", "TABLE OF CONTENTS", "INDEX", "CONTENTS"]
 # Words that are noise.
 NOISE_WORDS = ["--", ":--", "|", "```", "***"]
+# What a report says of an issue (%: its count or share), and what it recommends.
+MESSAGES = {
+    "no_sections": "Aucune section à évaluer",
+    "noise": "%d patterns de bruit détectés (LaTeX, symboles corrompus)",
+    "noise_ratio": "Ratio de bruit élevé : %.1f%%",
+    "latex": "%d commandes LaTeX résiduelles détectées",
+    "gibberish": "%d sections avec du texte incohérent",
+    "no_outline": "Aucun plan hiérarchique détecté",
+    "shallow": "Hiérarchie peu profonde (depth=%d)",
+    "few_sections": "Trop peu de sections (%d), document mal découpé",
+    "unusual_sections": "Nombre de sections inhabituel (%d)",
+    "incoherent": "%d incohérences hiérarchiques",
+    "title": "Titre manquant ou invalide",
+    "type": "Type de document non identifié",
+    "reference": "Référence du document manquante",
+    "parties": "Aucune partie identifiée dans le document",
+    "short": "%d sections trop courtes (<50 mots)",
+    "long": "%d sections très longues (>500 mots)",
+    "no_keywords": "%d sections sans mots-clés",
+    "uneven": "Distribution très inégale des longueurs de sections",
+    "few_keywords": "Faible densité d'information (avg %.1f mots-clés/section)",
+    "breadcrumbs": "%d breadcrumbs invalides",
+    "orphans": "%d sections sans parent valide",
+    "siblings": "%d sections avec références siblings invalides",
+}
+RECOMMENDATIONS = {
+    "ocr": "⚠️ Qualité OCR faible - envisager un retraitement avec de meilleurs paramètres",
+    "structure": "⚠️ Structure mal détectée - vérifier le plan hiérarchique manuellement",
+    "metadata": "⚠️ Métadonnées incomplètes - compléter manuellement le titre et la référence",
+    "errors": "🔴 %d erreur(s) critique(s) détectée(s) - revue manuelle nécessaire",
+    "warnings": "🟡 %d avertissements - vérifier les sections signalées",
+    "short": "📝 Vérifier les sections courtes : %s",
+    "none": "✅ Document bien traité - aucune action requise",
+}
 
 DEFAULT_TYPE, GENERAL = "document", "general"
 UNTITLED_DOCUMENT, UNTITLED_SECTION = "Document sans titre", "Section sans titre"

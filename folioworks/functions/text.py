@@ -17,8 +17,8 @@ from ..fixed_values import REPEATED_CHARS, REPEATED_OVER, TOKEN_RATIO
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends; a run of it inside is tried once."""
+    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def count_words(text: Column) -> Column:

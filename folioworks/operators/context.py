@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 
 def _some(heading: str) -> Column:
     return F.coalesce(F.col(heading), F.lit("")) != ""
@@ -72,4 +73,4 @@ def enriched_content(document_title: Column) -> Column:
     title = F.coalesce(F.nullif(document_title, F.lit("")), F.lit("Document"))
     crumb = F.coalesce(F.nullif(F.col("breadcrumb"), F.lit("")), F.nullif(F.col("title"), F.lit("")), F.lit(""))
     head = F.concat(F.lit("[Document: "), title, F.lit(" | Section "), F.col("position").cast("string"), F.lit("/"), F.col("n_sections").cast("string"), F.lit("]\n["), crumb, F.lit("]\n\n"))
-    return F.regexp_replace(F.concat(head, "content"), r"(?U)^\s+|\s+$", "")
+    return strip(F.concat(head, "content"))

@@ -6,13 +6,13 @@ expressions over these sums.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import NOISE_WORDS
+from ..fixed_values import MESSAGES, NOISE_WORDS, RECOMMENDATIONS
 
 # What counts as noise in a document's contents.
-NOISE_PATTERNS = [r"\\{2,}", r"[\^_]{2,}", r"\|{2,}", r"#{3,}", r"[\x00-\x1F]"]
+NOISE_PATTERNS = [r"[\\]{2,}", r"[\^_]{2,}", r"[|]{2,}", r"[#]{3,}", r"[\x00-\x1F]"]
 LATEX_LEFT = r"\\[a-z]+\{"
 
 
@@ -32,16 +32,18 @@ def section_signs(sections: DataFrame) -> DataFrame:
     return rows.withColumn("gibberish", (F.size("words") >= 5) & (F.col("suspects") > 0.3 * F.size("words"))).drop("words")
 
 
-def score(docs: DataFrame, sections: DataFrame, nodes: DataFrame) -> DataFrame:
+def score(docs: DataFrame, sections: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Scores of every document of ``docs`` (``document_id, document_type, document_title, document_reference, n_parties``).
 
     Returns ``document_id``, the five scores, ``overall`` (one decimal), ``grade``,
-    ``needs_review``, ``issues`` (severity, category, points; by severity, in order of
-    rules) and ``recommendations``.
+    ``needs_review``, ``issues`` (severity, category, points, message, impact; by severity, in order of
+    rules) and ``recommendations``.  The depth is that of the outline ``nodes``, or of the
+    headings of ``sections`` (which is the same) without them.
     """
     some = lambda h: F.coalesce(F.col(h), F.lit("")) != ""
-    titles = sections.groupBy("document_id").agg(F.collect_set("title").alias("titles"))
-    rows = section_signs(sections).join(titles, "document_id")
+    every = Window.partitionBy("document_id")
+    rows = section_signs(sections.withColumn("titles", F.collect_set("title").over(every)))
+    level = F.when(some("h1") & some("h2") & some("h3"), 3).when(some("h1") & some("h2"), 2).when(some("h1"), 1)
     order = lambda flag: F.transform(F.slice(F.array_sort(F.collect_list(F.when(flag, F.col("position")))), 1, 5), lambda x: x.cast("string"))
     sums = rows.groupBy("document_id").agg(
         F.count("*").alias("n"), F.sum("word_count").alias("total_words"), (F.sum("noise")).alias("noise"), F.sum("noise_words").alias("noise_words"),
@@ -51,63 +53,65 @@ def score(docs: DataFrame, sections: DataFrame, nodes: DataFrame) -> DataFrame:
         F.count_if(F.size("keywords") == 0).alias("no_keywords"), F.avg(F.size("keywords")).alias("avg_keywords"),
         F.count_if(F.col("word_count") > 0).alias("n_counted"), F.try_divide(F.stddev_samp(F.when(F.col("word_count") > 0, F.col("word_count"))), F.avg(F.when(F.col("word_count") > 0, F.col("word_count")))).alias("cv"),
         F.count_if(F.size(F.split("breadcrumb", ">")) < 2).alias("bad_crumbs"), F.count_if(some("h2") & ~some("parent")).alias("orphans"),
-        F.count_if(F.exists("siblings", lambda s: ~F.array_contains(F.col("titles"), s))).alias("bad_siblings"),
+        F.count_if(F.size(F.array_except("siblings", "titles")) > 0).alias("bad_siblings"), F.max(level).alias("depth"),
     )
-    depth = nodes.groupBy("document_id").agg(F.max("level").alias("depth"))
-    d = docs.join(sums, "document_id", "left").join(depth, "document_id", "left")
+    d = docs.join(sums, "document_id", "left")
+    if nodes is not None:
+        d = d.drop("depth").join(nodes.groupBy("document_id").agg(F.max("level").alias("depth")), "document_id", "left")
     n, empty = F.coalesce("n", F.lit(0)), F.col("n").isNull()
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     noise = F.col("noise") + F.lit(0)
     ratio = F.try_divide(F.col("noise_words"), "total_words")
-    # rule: category, applies, points, severity
+    # rule: category, applies, points, severity, message and its count
     title, kind = F.coalesce("document_title", F.lit("")), F.coalesce("document_type", F.lit(""))
     no_outline = F.col("depth").isNull()
     full, planned = ~empty, ~no_outline
     rules = [
-        ("ocr", empty, F.lit(30.0), "error"),
-        ("ocr", full & (noise > 0), _points(noise, 0.5, 10), F.when(_points(noise, 0.5, 10) < 5, "warning").otherwise("error")),
-        ("ocr", full & (ratio > 0.05), _points(ratio, 100, 10), "error"),
-        ("ocr", full & (F.col("latex") > 5), _points(F.col("latex"), 0.2, 5), "warning"),
-        ("ocr", full & (F.col("gibberish") > 0), _points(F.col("gibberish"), 0.5, 5), "warning"),
-        ("structure", no_outline, F.lit(10.0), "error"),
-        ("structure", planned & (F.col("depth") < 2), F.lit(3.0), "warning"),
-        ("structure", planned & (n < 5), F.lit(5.0), "warning"),
-        ("structure", planned & (n > 100), F.lit(2.0), "info"),
-        ("structure", planned & (n >= 5) & (n < 10), F.lit(2.0), "info"),
-        ("structure", planned & (F.col("incoherent") > 0), _points(F.col("incoherent"), 1, 5), "warning"),
-        ("metadata", F.length(title) < 5, F.lit(8.0), "error"),
-        ("metadata", kind.isin("", "unknown"), F.lit(5.0), "warning"),
-        ("metadata", F.coalesce("document_reference", F.lit("")) == "", F.lit(4.0), "info"),
-        ("metadata", F.col("n_parties") == 0, F.lit(3.0), "info"),
-        ("content", empty, F.lit(15.0), "error"),
-        ("content", full & (F.col("short") > 0), _points(F.col("short"), 0.3, 3), "warning"),
-        ("content", full & (F.col("long") > 0), _points(F.col("long"), 0.3, 3), "info"),
-        ("content", full & (F.col("no_keywords") > 0), _points(F.col("no_keywords"), 0.2, 4), "info"),
-        ("content", full & (F.col("n_counted") > 3) & (F.col("cv") > 2), F.lit(3.0), "info"),
-        ("content", full & (F.col("avg_keywords") < 2), F.lit(2.0), "info"),
-        ("coherence", empty, F.lit(10.0), "error"),
-        ("coherence", full & (F.col("bad_crumbs") > 0), _points(F.col("bad_crumbs"), 0.5, 3), "warning"),
-        ("coherence", full & (F.col("orphans") > 0), _points(F.col("orphans"), 0.3, 2), "warning"),
-        ("coherence", full & (F.col("bad_siblings") > 0), _points(F.col("bad_siblings"), 0.2, 2), "info"),
+        ("ocr", empty, F.lit(30.0), "error", "no_sections", None),
+        ("ocr", full & (noise > 0), _points(noise, 0.5, 10), F.when(_points(noise, 0.5, 10) < 5, "warning").otherwise("error"), "noise", noise),
+        ("ocr", full & (ratio > 0.05), _points(ratio, 100, 10), "error", "noise_ratio", 100 * ratio),
+        ("ocr", full & (F.col("latex") > 5), _points(F.col("latex"), 0.2, 5), "warning", "latex", F.col("latex")),
+        ("ocr", full & (F.col("gibberish") > 0), _points(F.col("gibberish"), 0.5, 5), "warning", "gibberish", F.col("gibberish")),
+        ("structure", no_outline, F.lit(10.0), "error", "no_outline", None),
+        ("structure", planned & (F.col("depth") < 2), F.lit(3.0), "warning", "shallow", F.col("depth")),
+        ("structure", planned & (n < 5), F.lit(5.0), "error", "few_sections", n),
+        ("structure", planned & (n > 100), F.lit(2.0), "info", "unusual_sections", n),
+        ("structure", planned & (n >= 5) & (n < 10), F.lit(2.0), "info", "unusual_sections", n),
+        ("structure", planned & (F.col("incoherent") > 0), _points(F.col("incoherent"), 1, 5), "warning", "incoherent", F.col("incoherent")),
+        ("metadata", F.length(title) < 5, F.lit(8.0), "error", "title", None),
+        ("metadata", kind.isin("", "unknown"), F.lit(5.0), "warning", "type", None),
+        ("metadata", F.coalesce("document_reference", F.lit("")) == "", F.lit(4.0), "info", "reference", None),
+        ("metadata", F.col("n_parties") == 0, F.lit(3.0), "info", "parties", None),
+        ("content", empty, F.lit(15.0), "error", "no_sections", None),
+        ("content", full & (F.col("short") > 0), _points(F.col("short"), 0.3, 3), "warning", "short", F.col("short")),
+        ("content", full & (F.col("long") > 0), _points(F.col("long"), 0.3, 3), "info", "long", F.col("long")),
+        ("content", full & (F.col("no_keywords") > 0), _points(F.col("no_keywords"), 0.2, 4), "warning", "no_keywords", F.col("no_keywords")),
+        ("content", full & (F.col("n_counted") > 3) & (F.col("cv") > 2), F.lit(3.0), "info", "uneven", None),
+        ("content", full & (F.col("avg_keywords") < 2), F.lit(2.0), "warning", "few_keywords", F.col("avg_keywords")),
+        ("coherence", empty, F.lit(10.0), "error", "no_sections", None),
+        ("coherence", full & (F.col("bad_crumbs") > 0), _points(F.col("bad_crumbs"), 0.5, 3), "warning", "breadcrumbs", F.col("bad_crumbs")),
+        ("coherence", full & (F.col("orphans") > 0), _points(F.col("orphans"), 0.3, 2), "warning", "orphans", F.col("orphans")),
+        ("coherence", full & (F.col("bad_siblings") > 0), _points(F.col("bad_siblings"), 0.2, 2), "info", "siblings", F.col("bad_siblings")),
     ]
     most = {"ocr": 30, "structure": 25, "metadata": 20, "content": 15, "coherence": 10}
-    lost = {c: sum((F.when(F.coalesce(on, F.lit(False)), zero(points)).otherwise(0.0) for k, on, points, _ in rules if k == c), F.lit(0.0)) for c in most}
+    lost = {c: sum((F.when(F.coalesce(on, F.lit(False)), zero(points)).otherwise(0.0) for k, on, points, *_ in rules if k == c), F.lit(0.0)) for c in most}
     d = d.withColumns({c: F.greatest(F.lit(0.0), F.lit(float(m)) - lost[c]) for c, m in most.items()})
     overall = sum((F.col(c) for c in most), F.lit(0.0))
     rank = {"error": 0, "warning": 1, "info": 2}
     as_column = lambda s: s if isinstance(s, Column) else F.lit(s)
     order_of = lambda s: F.when(as_column(s) == "error", rank["error"]).when(as_column(s) == "warning", rank["warning"]).otherwise(rank["info"])
-    issues = [F.when(F.coalesce(on, F.lit(False)), F.struct(order_of(s).alias("rank"), F.lit(i).alias("rule"), as_column(s).alias("severity"), F.lit(c).alias("category"), points.alias("points"))) for i, (c, on, points, s) in enumerate(rules)]
+    said = lambda m, x: F.lit(MESSAGES[m]) if x is None else F.format_string(MESSAGES[m], x)
+    issues = [F.when(F.coalesce(on, F.lit(False)), F.struct(order_of(s).alias("rank"), F.lit(i).alias("rule"), as_column(s).alias("severity"), F.lit(c).alias("category"), points.alias("points"), said(m, x).alias("message"), F.format_string("-%.1f points", points).alias("impact"))) for i, (c, on, points, s, m, x) in enumerate(rules)]
     d = d.withColumn("ranked", F.array_sort(F.array_compact(F.array(*issues))))
     grade = F.when(overall >= 86, "Excellent").when(overall >= 71, "Bon").when(overall >= 41, "Moyen").otherwise("Mauvais")
     severe = lambda s: F.size(F.filter("ranked", lambda x: x.severity == s))
     advice = F.array_compact(F.array(
-        F.when(F.col("ocr") < 20, "ocr: process again"), F.when(F.col("structure") < 15, "structure: check the outline"), F.when(F.col("metadata") < 10, "metadata: complete by hand"),
-        F.when(severe("error") > 0, F.concat(severe("error").cast("string"), F.lit(" errors: review"))), F.when(severe("warning") > 3, F.concat(severe("warning").cast("string"), F.lit(" warnings: check sections"))),
-        F.when(full & (F.col("short") > 0), F.concat(F.lit("short sections: "), F.array_join("short_at", ", "))),
+        F.when(F.col("ocr") < 20, RECOMMENDATIONS["ocr"]), F.when(F.col("structure") < 15, RECOMMENDATIONS["structure"]), F.when(F.col("metadata") < 10, RECOMMENDATIONS["metadata"]),
+        F.when(severe("error") > 0, F.format_string(RECOMMENDATIONS["errors"], severe("error"))), F.when(severe("warning") > 3, F.format_string(RECOMMENDATIONS["warnings"], severe("warning"))),
+        F.when(full & (F.col("short") > 0), F.format_string(RECOMMENDATIONS["short"], F.array_join("short_at", ", "))),
     ))
     return d.select(
         "document_id", *most, F.bround(overall, 1).alias("overall"), grade.alias("grade"), (overall < 71).alias("needs_review"),
-        F.transform("ranked", lambda x: F.struct(x.severity.alias("severity"), x.category.alias("category"), x.points.alias("points"))).alias("issues"),
-        F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("none needed"))).alias("recommendations"),
+        F.transform("ranked", lambda x: F.struct(x.severity.alias("severity"), x.category.alias("category"), x.points.alias("points"), x.message.alias("message"), x.impact.alias("impact"))).alias("issues"),
+        F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit(RECOMMENDATIONS["none"]))).alias("recommendations"),
     )

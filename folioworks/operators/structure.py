@@ -35,9 +35,9 @@ _NUMBERED = r"(?dU)^(\d+\.\d+\.\d+(?:\.\d+)?)\s*[-–:]?\s*(.+)$"
 _CAPITALS = r"(?dU)^\d+/\s+([A-Z\s]{3,80})$"
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """``document_id, pos, line``: stripped lines that are not blank."""
-    lines = docs.select("document_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+def split_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``document_id, pos, line`` and the columns ``keep``: stripped lines that are not blank."""
+    lines = docs.select("document_id", *keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     return lines.withColumn("line", strip(F.col("line"))).filter("line <> ''")
 
 
@@ -81,10 +81,10 @@ def carry_headings(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"h2": F.when(F.col("l2.g") == F.col("g1"), F.col("l2.h")), "h3": F.when(F.col("l3.g") == F.col("g2"), F.col("l3.h"))}).drop("l2", "l3", "g1", "g2")
 
 
-def emit_sections(lines: DataFrame) -> DataFrame:
-    """Body lines of each section as ``content`` with ``word_count``; sections without a body are not there."""
+def emit_sections(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Body lines of each section as ``content`` with ``word_count`` and the columns ``keep`` of its document; sections without a body are not there."""
     body = lines.filter("level IS NULL").groupBy("document_id", "section_id")
-    rows = body.agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("h3").alias("h3"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    rows = body.agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("h3").alias("h3"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"), *(F.first(c).alias(c) for c in keep))
     rows = rows.withColumn("content", F.array_join(F.transform("lines", lambda x: x.line), "\n")).drop("lines")
     return rows.withColumn("word_count", count_words(F.col("content")))
 
@@ -104,13 +104,22 @@ def section_type(content: Column) -> Column:
     return F.when(best.n == 0, GENERAL).otherwise(best.type)
 
 
-def keywords(sections: DataFrame, key: tuple[str, ...] = ("document_id", "section_id"), top: int = KEYWORDS) -> DataFrame:
-    """``key, keywords``: most frequent long words of ``content``, ties by first place; sections without any are not there."""
-    words = F.regexp_extract_all(F.lower("content"), F.lit(rf"(?U)\b[{KEYWORD_LETTERS}]{{5,}}\b"), F.lit(0))
-    rows = sections.select(*key, F.posexplode(words).alias("pos", "word")).filter(~F.col("word").isin(STOPWORDS))
-    counts = rows.groupBy(*key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    ranked = counts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "word"))).alias("ranked"))
-    return ranked.select(*key, F.transform(F.slice("ranked", 1, top), lambda r: r.word).alias("keywords"))
+def keywords(sections: DataFrame, top: int = KEYWORDS) -> DataFrame:
+    """Add ``keywords``: most frequent long words of ``content``, ties by first place; empty without any.
+
+    Within the row: words with their places are sorted, so equal ones are side by side,
+    and the first of each run counts by how far the next run is.
+    """
+    found = F.regexp_extract_all(F.lower("content"), F.lit(rf"(?U)\b[{KEYWORD_LETTERS}]{{5,}}\b"), F.lit(0))
+    words = F.filter(found, lambda w: ~w.isin(STOPWORDS))
+    rows = sections.withColumn("_words", F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))))
+    before = F.concat(F.array(F.lit(None).cast("struct<word:string,pos:int>")), F.col("_words"))
+    marked = F.transform(F.arrays_zip(F.col("_words").alias("own"), before.alias("last")), lambda x, k: F.struct(x.own.alias("own"), (x.own.word == x["last"].word).alias("again"), k.alias("k")))
+    rows = rows.withColumn("_runs", F.filter(F.slice(marked, F.lit(1), F.size("_words")), lambda x: ~F.coalesce(x.again, F.lit(False))))
+    following = F.concat(F.transform(F.slice("_runs", F.lit(2), F.greatest(F.size("_runs"), F.lit(1))), lambda x: x.k), F.array(F.size("_words")))
+    ranked = F.array_sort(F.zip_with("_runs", following, lambda x, end: F.struct((x.k - end).alias("n"), x.own.pos.alias("pos"), x.own.word.alias("word"))))
+    rows = rows.withColumn("keywords", F.when(F.size("_runs") > 0, F.transform(F.slice(ranked, 1, top), lambda x: x.word)).otherwise(F.array().cast("array<string>")))
+    return rows.drop("_words", "_runs")
 
 
 def section_title(h1: Column, h2: Column, h3: Column) -> Column:
@@ -119,25 +128,18 @@ def section_title(h1: Column, h2: Column, h3: Column) -> Column:
     return F.when(F.size(some) > 0, F.array_join(some, " > ")).otherwise(UNTITLED_SECTION)
 
 
-def with_keywords(sections: DataFrame) -> DataFrame:
-    """Join :func:`keywords`; sections without any get an empty array."""
-    found = keywords(sections)
-    joined = sections.join(found, ["document_id", "section_id"], "left")
-    return joined.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-
-
 def with_positions(sections: DataFrame, order: tuple[str, ...] = ("section_id",)) -> DataFrame:
     """Number sections from 1 in each document and count them."""
     w = Window.partitionBy("document_id")
     return sections.withColumns({"position": F.row_number().over(w.orderBy(*order)), "n_sections": F.count("*").over(w)})
 
 
-def chunk(docs: DataFrame) -> DataFrame:
-    """Sections of ``docs`` (``document_id, text``) that are kept, typed and titled, with their positions.
+def chunk(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sections of ``docs`` (``document_id, text``, columns ``keep``) that are kept, typed and titled, with their positions.
 
     Null and empty texts and texts whose sections are all rejected give no rows.
     """
-    rows = reject_reason(emit_sections(carry_headings(classify_headers(split_lines(docs))))).filter("rejected IS NULL").drop("rejected")
+    rows = reject_reason(emit_sections(carry_headings(classify_headers(split_lines(docs, keep))), keep)).filter("rejected IS NULL").drop("rejected")
     content = F.col("content")
     rows = rows.withColumns({"title": section_title(F.col("h1"), F.col("h2"), F.col("h3")), "type": section_type(content), "token_count": estimate_tokens(content)})
     return with_positions(rows)
@@ -188,15 +190,15 @@ def split_large(sections: DataFrame) -> DataFrame:
 _MERGED = "struct<section_id:bigint,h1:string,h2:string,h3:string,title:string,content:string,word_count:int,token_count:int>"
 
 
-def consolidate(sections: DataFrame) -> DataFrame:
+def consolidate(sections: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Merge small sections with followers under the same level-1 heading, in documents of more than ``CONSOLIDATE_OVER`` sections.
 
     Merged sections keep headings, title and token count of their first.  The fold is
     ordered, so a document's sections are one row there; others are not gathered.
     """
     columns = ["document_id", *(f.split(":")[0] for f in _MERGED[7:-1].split(","))]
-    few, many = sections.filter(F.col("n_sections") <= CONSOLIDATE_OVER).select(*columns), sections.filter(F.col("n_sections") > CONSOLIDATE_OVER)
-    listed = many.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*columns[1:]).cast(_MERGED))).alias("all"))
+    few, many = sections.filter(F.col("n_sections") <= CONSOLIDATE_OVER).select(*columns, *keep), sections.filter(F.col("n_sections") > CONSOLIDATE_OVER)
+    listed = many.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*columns[1:]).cast(_MERGED))).alias("all"), *(F.first(c).alias(c) for c in keep))
     start = F.struct(F.array().cast(f"array<{_MERGED}>").alias("done"), F.lit(None).cast(_MERGED).alias("cur"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -206,6 +208,6 @@ def consolidate(sections: DataFrame) -> DataFrame:
         return F.struct(done.alias("done"), F.when(joins, merged).otherwise(s).cast(_MERGED).alias("cur"))
 
     folded = F.aggregate("all", start, step, lambda acc: F.concat(acc.done, F.array(acc.cur)))
-    merged = listed.select("document_id", F.explode(folded).alias("s")).select("document_id", "s.*")
+    merged = listed.select("document_id", *keep, F.explode(folded).alias("s")).select("document_id", *keep, "s.*")
     rows = few.unionByName(merged).withColumn("type", section_type(F.col("content")))
     return with_positions(rows)

@@ -37,13 +37,16 @@ def with_metadata(docs: DataFrame) -> DataFrame:
 
 
 def structured(docs: DataFrame, consolidate: bool = False) -> DataFrame:
-    """Sections of cleaned ``docs`` with metadata, keywords, breadcrumb and parent."""
-    rows = structure.chunk(docs)
+    """Sections of cleaned ``docs`` with metadata, keywords, breadcrumb and parent.
+
+    Metadata travel with the lines, so that ``docs`` (cleaning included) are evaluated once and not joined.
+    """
+    about = ("document_type", "document_title", "document_reference")
+    columns = metadata.metadata_columns(F.col("text"))
+    rows = structure.chunk(docs.select("document_id", "text", *(columns[c].alias(c) for c in about)), about)
     if consolidate:
-        rows = structure.consolidate(rows)
-    rows = structure.with_keywords(rows)
-    about = with_metadata(docs).select("document_id", "document_type", "document_title", "document_reference")
-    rows = rows.join(about, "document_id")
+        rows = structure.consolidate(rows, about)
+    rows = structure.keywords(rows)
     return rows.withColumns({"breadcrumb": context.breadcrumb(F.col("document_title")), "parent": context.parent()})
 
 

@@ -92,7 +92,8 @@ def _header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.keywords(structure.chunk(adapters.documents_md(spark, sf_dir))).select("document_id", "section_id", F.array_join("keywords", ",").alias("keywords"))
+    rows = structure.keywords(structure.chunk(adapters.documents_md(spark, sf_dir))).filter(F.size("keywords") > 0)
+    return rows.select("document_id", "section_id", F.array_join("keywords", ",").alias("keywords"))
 
 
 def _split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +132,9 @@ def _doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = adapters.documents_md(spark, sf_dir)
     sections = context.siblings(structuring.structured(docs))
-    about = docs.select("document_id", metadata.document_type(F.col("text")).alias("document_type"), metadata.title(F.col("text")).alias("document_title"), F.lit(None).cast("string").alias("document_reference"), F.lit(0).alias("n_parties"))
-    return quality.score(about, sections, context.outline(sections))
+    columns = metadata.metadata_columns(F.col("text"))
+    about = docs.select("document_id", metadata.document_type(F.col("text")).alias("document_type"), metadata.title(F.col("text")).alias("document_title"), columns["document_reference"].alias("document_reference"), F.size(columns["parties"]).alias("n_parties"))
+    return quality.score(about, sections)
 
 
 def _q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +142,7 @@ def _q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = F.transform("issues", lambda i: F.concat_ws(":", i.severity, i.category, F.round(i.points, 1).cast("string")))
+    issues = F.transform("issues", lambda i: F.concat_ws(":", i.severity, i.category, i.message, i.impact))
     return _scores(spark, sf_dir).select("document_id", "overall", F.array_join(issues, "|").alias("issues"), F.array_join("recommendations", "|").alias("recommendations"))
 
 
@@ -149,7 +151,7 @@ def _gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.detailed_metrics(structure.with_keywords(structure.chunk(adapters.documents_md(spark, sf_dir))))
+    return statistics.detailed_metrics(structure.keywords(structure.chunk(adapters.documents_md(spark, sf_dir))))
 
 
 def _metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

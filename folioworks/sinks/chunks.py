@@ -25,6 +25,10 @@ def write_parquet(chunks: DataFrame, path: str) -> None:
 
 
 def latest_states(states: DataFrame, updates: DataFrame, key: str = "document_id", order: str = "updated_at") -> DataFrame:
-    """Keyed upsert: the last row of each key of both tables; write it to a new place and swap."""
-    rows = states.unionByName(updates)
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("n = 1").drop("n")
+    """Keyed upsert: the last row of each key of both tables, of equally late ones an update; write it to a new place and swap.
+
+    Rows of one table that are equally late are told apart by a hash of all columns.
+    """
+    rows = states.withColumn("_update", F.lit(0)).unionByName(updates.withColumn("_update", F.lit(1)))
+    last = Window.partitionBy(key).orderBy(F.desc(order), F.desc("_update"), F.desc(F.xxhash64(*states.columns)))
+    return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_update")
