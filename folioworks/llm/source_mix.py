@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import release, settle
 
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix takes, and how often a document may occur in it.
@@ -28,8 +28,9 @@ BUDGET = 1.5
 MAX_REPEATS = 2
 #: Documents in a slice of a source, about.
 SLICE = 4000
-#: Packets that a copy in service is sent in, at most; ranges of virtual time that words are added up by.
-PACKETS, RANGES = 1024, 1 << 16
+#: Packets that a copy in service is sent in, at most; ranges of virtual time that words are
+#: added up by, and how often the range where the budget ends is itself cut into so many.
+PACKETS, RANGES, LEVELS = 1024, 4096, 2
 SEED = 20_011
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -134,18 +135,22 @@ def cut(sent: DataFrame, by_source: DataFrame) -> dict | None:
     budget = by_source.agg(F.sum("target").alias("words")).first()["words"]
     if not budget:
         return None
-    sent = sent.withColumn("range", F.floor(F.col("finish") * (RANGES / MAX_REPEATS)))
-    # words of ranges of virtual time, added up: at most so many rows as there are ranges
-    sums = sent.groupBy("range").agg(F.sum("words").alias("words"))
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    limit = F.floor(F.lit(budget + 0.5))
-    crossed = sums.withColumn("upto", F.sum("words").over(upto)).filter(F.col("upto") > limit).orderBy("range").first()
-    if crossed is None:
-        return sent.orderBy(F.desc("finish"), F.desc("tie")).select("finish", "tie").first().asDict()
-    before = crossed["upto"] - crossed["words"]
-    inside = sent.filter((F.col("range") == crossed["range"])).withColumn("upto", before + F.sum("words").over(Window.orderBy("finish", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    last = inside.filter(F.col("upto") <= limit).orderBy(F.desc("finish"), F.desc("tie")).select("finish", "tie").first()
-    return last.asDict() if last else {"finish": crossed["range"] / (RANGES / MAX_REPEATS), "tie": -(1 << 63)}
+    sent = settle(sent)
+    limit, before, start, width, inside = int(budget + 0.5), 0, 0.0, float(MAX_REPEATS), sent
+    upto = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for _ in range(LEVELS):
+        # words of ranges of virtual time, added up: at most so many rows as there are ranges
+        inside = inside.withColumn("range", F.least(F.floor((F.col("finish") - start) / (width / RANGES)), F.lit(RANGES)))
+        sums = inside.groupBy("range").agg(F.sum("words").alias("words")).withColumn("upto", F.lit(before) + F.sum("words").over(upto("range")))
+        crossed = sums.filter(F.col("upto") > limit).orderBy("range").first()
+        if crossed is None:  # the budget has room for all
+            break
+        inside = inside.filter(F.col("range") == crossed["range"])
+        before, start, width = crossed["upto"] - crossed["words"], start + crossed["range"] * (width / RANGES), width / RANGES
+    last = inside.orderBy(F.desc("finish"), F.desc("tie")) if crossed is None else inside.withColumn("upto", F.lit(before) + F.sum("words").over(upto("finish", "tie"))).filter(F.col("upto") <= limit).orderBy(F.desc("finish"), F.desc("tie"))
+    found = last.select("finish", "tie").first()
+    release(sent)
+    return found.asDict() if found else {"finish": start, "tie": -(1 << 63)}
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
