@@ -13,6 +13,8 @@ from ..fixed_values import MESSAGES, NOISE_WORDS, RECOMMENDATIONS
 
 # What counts as noise in a document's contents.
 NOISE_PATTERNS = [r"[\\]{2,}", r"[\^_]{2,}", r"[|]{2,}", r"[#]{3,}", r"[\x00-\x1F]"]
+#: Issues whose points are told with a decimal.
+SCALED = {"noise", "noise_ratio", "latex", "gibberish", "short", "long", "no_keywords", "breadcrumbs", "orphans", "siblings"}
 LATEX_LEFT = r"\\[a-z]+\{"
 
 
@@ -101,7 +103,7 @@ def score(docs: DataFrame, sections: DataFrame, nodes: DataFrame | None = None)
     as_column = lambda s: s if isinstance(s, Column) else F.lit(s)
     order_of = lambda s: F.when(as_column(s) == "error", rank["error"]).when(as_column(s) == "warning", rank["warning"]).otherwise(rank["info"])
     said = lambda m, x: F.lit(MESSAGES[m]) if x is None else F.format_string(MESSAGES[m], x)
-    issues = [F.when(F.coalesce(on, F.lit(False)), F.struct(order_of(s).alias("rank"), F.lit(i).alias("rule"), as_column(s).alias("severity"), F.lit(c).alias("category"), points.alias("points"), said(m, x).alias("message"), F.format_string("-%.1f points", points).alias("impact"))) for i, (c, on, points, s, m, x) in enumerate(rules)]
+    issues = [F.when(F.coalesce(on, F.lit(False)), F.struct(order_of(s).alias("rank"), F.lit(i).alias("rule"), as_column(s).alias("severity"), F.lit(c).alias("category"), points.alias("points"), said(m, x).alias("message"), F.format_string("-%.1f points" if m in SCALED else "-%.0f points", points).alias("impact"))) for i, (c, on, points, s, m, x) in enumerate(rules)]
     d = d.withColumn("ranked", F.array_sort(F.array_compact(F.array(*issues))))
     grade = F.when(overall >= 86, "Excellent").when(overall >= 71, "Bon").when(overall >= 41, "Moyen").otherwise("Mauvais")
     severe = lambda s: F.size(F.filter("ranked", lambda x: x.severity == s))

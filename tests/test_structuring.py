@@ -118,6 +118,20 @@ def test_quality_without_sections(spark):
     assert row.overall < 50 and row.grade == "Mauvais" and row.needs_review
 
 
+def test_issues(spark):
+    """Severities, messages and order of a short document with short sections."""
+    docs = spark.createDataFrame([("d", f"# T\n## A\n{LONG}\n## B\n{LONG} b")], "document_id string, text string")
+    sections = context.siblings(structuring.structured(docs))
+    about = spark.createDataFrame([("d", "contrat", "Titre", "R1", 1)], "document_id string, document_type string, document_title string, document_reference string, n_parties int")
+    row = quality.score(about, sections).first()
+    assert [(i.severity, i.message, i.impact) for i in row.issues][:2] == [
+        ("error", "Trop peu de sections (2), document mal découpé", "-5 points"),
+        ("warning", "2 sections trop courtes (<50 mots)", "-0.6 points"),
+    ]
+    assert "🔴 1 erreur(s) critique(s) détectée(s) - revue manuelle nécessaire" in row.recommendations and "📝 Vérifier les sections courtes : 1, 2" in row.recommendations
+    assert one(spark, "x" + " " * 1_000_000 + "y", text.strip) == "x" + " " * 1_000_000 + "y"
+
+
 def test_pages(spark):
     pages = [(0, "![x](y) a $b$", (90.0,)), (1, "  ", (10.0,)), (2, "c", None)]
     rows = spark.createDataFrame([("d", "u", "p", pages)], f"document_id string, user_id string, project_id string, pages {adapters.PAGES}")
