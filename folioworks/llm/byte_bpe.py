@@ -156,6 +156,8 @@ def encode(docs: DataFrame, path: str, pattern: str, and_decode: bool = False) -
 
     ``path`` names a vocabulary file that every executor has.  Null and empty
     texts give no ids; repeated rows are encoded each; other columns are ignored.
+    Texts and single matches of the pattern may be of any length; of equal pairs the
+    leftmost merges first; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -390,7 +390,8 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Rows of a ``documents`` table without those whose group of near copies has a smaller id; all columns stay.
 
-    Texts without words and rows without an id are no copies; rows that share an id are one document.
+    Texts that are null, empty or without words and rows without an id are no copies and stay; rows that share an
+    id are one document, so repeated rows stay or go together; an empty table stays empty.
     """
     linked = link_documents(docs.select(F.col("doc_id").alias("id"), "text"), size, percent)
     gone = linked.filter("component < id").select(F.col("id").alias("doc_id")).distinct()

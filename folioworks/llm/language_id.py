@@ -141,7 +141,12 @@ def fit(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Return ``id, text, lang_pred, score``; whole texts, ``und`` for null ones and those without letters."""
+    """Return ``id, text, lang_pred, score``, a row for each row of ``docs``, repeated ones included.
+
+    Whole texts of any length; ``und`` and 0 for null ones and those without letters.  Of
+    languages with equal scores the first by name is returned; other columns are ignored;
+    an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.rows, model.by_length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

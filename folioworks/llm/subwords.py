@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from .words import mix
 
@@ -24,7 +24,8 @@ BLOCK_WORDS = 1 << 14
 SLICE_CHARS = 1 << 20
 
 _U = np.uint64
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters with the marks on them (vowel signs, accents); number signs such as one half or Roman eight are none.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str | None) -> list[str]:

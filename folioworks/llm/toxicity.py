@@ -195,7 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Return ``id, text``, the columns ``keep`` and ``score``; whole texts, null and empty ones score 0."""
+    """Return ``id, text``, the columns ``keep`` and ``score``, a row for each row of ``docs``, repeated ones included.
+
+    Whole texts of any length; those that are null or have no letters score 0 (equal scores
+    are equal doubles, 0.5 counts as toxic); an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.scores.astype(np.float32), model.slope, model.offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +215,17 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of a ``documents`` table that are not predicted toxic, unchanged; learns as :func:`op9` does."""
-    rows = docs.select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
-    model = fit(rows, labels.select(F.col("doc_id").alias("id"), "toxic"))
-    out = score(rows, model, ("lang", "source", "n_chars")).filter("score < 0.5")
-    return out.select(F.col("id").alias("doc_id"), "text", "lang", "source", "n_chars")
+    """Rows of a ``documents`` table that are not predicted toxic, unchanged; learns as :func:`op9` does.
+
+    All columns stay, whatever their names.  Null and empty texts, rows without an id and
+    repeated rows are scored as any other; an empty table stays empty.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.struct(F.lit(0).alias("_"), *rest).alias("_row"))
+    model = fit(rows.select("id", "text"), labels.select(F.col("doc_id").alias("id"), "toxic"))
+    out = score(rows, model, ("_row",)).filter("score < 0.5")
+    new = {"doc_id": F.col("id"), "text": F.col("text")}
+    return out.select(*(new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:

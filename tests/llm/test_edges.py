@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from folioworks.llm import main_text, personal_data, quality, source_mix, substring_dedup
+from folioworks.llm import byte_bpe, jaccard_join, language_id, main_text, personal_data, quality, source_mix, subwords, substring_dedup, toxicity
 
 PARAGRAPH = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod."
 
@@ -80,3 +80,67 @@ def test_stages_keep_other_columns(spark):
     assert out.columns == rows.columns and tuple(out.first()) == (1, "mail [EMAIL] now", "s", "en", 16, "t", 7)
     mixed = source_mix.mixed_documents(rows)
     assert mixed.columns == rows.columns and {r.taken for r in mixed.collect()} == {7}
+
+
+def test_words_are_letters_with_their_marks():
+    assert subwords.words_of("\u0928\u092e\u0938\u094d\u0924\u0947 A\u00bdb e\u0301t\u00e9 x_1y") == ["\u0928\u092e\u0938\u094d\u0924\u0947", "a", "b", "e\u0301t\u00e9", "x", "y"]
+    assert subwords.words_of("\u00bd \u00b2 \u2167 \u0301 12 _") == subwords.words_of(None) == []
+    model = language_id.train(["the thing"] * 3 + ["le truc"] * 3, ["en"] * 3 + ["fr"] * 3)
+    assert model.predict(["\u00bd \u2167", "12", "", None, "the \u00bd"])[0] == ["und"] * 4 + ["en"]
+
+
+def test_language_scores_by_hand():
+    """Known words by frequency, unseen ones by the mean over their longest known n-grams, in plain Python."""
+    texts, langs = ["abab cd cd ab", "abab ab cd", "xyx yy xyx zz", "yy xyx ab zz"], ["a", "a", "b", "b"]
+    model = language_id.train(texts, langs)
+    counts = {x: [w for t, lang in zip(texts, langs, strict=True) if lang == x for w in t.split()] for x in "ab"}
+
+    def centred(rows):
+        logs = [np.log((k + 0.1) / (total + 0.1 * kinds + 1)) for k, total, kinds in rows]
+        return np.array(logs) - np.mean(logs)
+
+    known = {w for x in "ab" for w in counts[x] if counts[x].count(w) > 1}
+    grams = {n: {x: [m[i : i + n] for w in counts[x] for m in [f"<{w}>"] for i in range(len(m) - n + 1)] for x in "ab"} for n in range(1, 6)}
+    kept = {n: {g for x in "ab" for g in grams[n][x] if grams[n][x].count(g) > 1} for n in grams}
+
+    def score(word):
+        if word in known:
+            return centred([(counts[x].count(word), len(counts[x]), len(known)) for x in "ab"])
+        for n in range(5, 0, -1):
+            own = [g for i in range(len(word) + 3 - n) for g in [f"<{word}>"[i : i + n]] if g in kept[n]]
+            if own:
+                return np.mean([centred([(grams[n][x].count(g), len(grams[n][x]), len(kept[n])) for x in "ab"]) for g in own], axis=0)
+        return np.zeros(2)
+
+    tested = ["abab", "cd", "zz", "abx", "xyxyx", "qqq", "yab"]
+    assert np.allclose(model.word_scores(tested), [score(w) for w in tested], atol=1e-5)
+
+
+def test_toxicity_scores_by_hand():
+    """Means of bags, the worst passage of four words and the curve, in plain Python."""
+    random = np.random.default_rng(1)
+    model = toxicity.Model(random.normal(size=toxicity.BUCKETS), 1.7, -0.4)
+    text = "you are a wonderful worthles thing and more besides"
+    each = []
+    for word in text.split():
+        marked = subwords.Marked([word])
+        hashes = [marked.whole()] + [marked.grams(n)[1] for n in range(3, 7)]
+        each.append(np.mean([model.scores[int(h) % toxicity.BUCKETS] for h in np.concatenate(hashes)]))
+    worst = max(np.mean(each[i : i + 4]) for i in range(len(each) - 3))
+    assert np.allclose(model.score([text, text.split()[0], "", None]), [1 / (1 + np.exp(-(1.7 * w - 0.4))) for w in (worst, each[0])] + [0, 0])
+
+
+ODD = [(1, None), (1, None), (2, ""), (None, "no id here"), (3, "one"), (4, "w " * 30_000), (5, " ".join(f"t{i}" for i in range(20_000))), (6, "q" * 100_000)]
+
+
+def test_odd_rows_and_empty_tables(spark):
+    """Nulls, repeated rows, no ids, long texts and clashing columns give a row each; empty tables none."""
+    rows = spark.createDataFrame([(i, t, None, None, None, "c", 0.5, 9) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long, id string, score double, component long")
+    labels = spark.createDataFrame([(i, int(i == 19)) for i in range(20)], "doc_id long, toxic int")
+    for run in (jaccard_join.op1, language_id.op2, lambda d: toxicity.op9(d, labels), quality.op8, substring_dedup.op10, source_mix.op4, personal_data.op5):
+        assert run(rows).count() == len(ODD) and run(rows.filter("false")).count() == 0
+    for stage in (lambda d: toxicity.keep_clean(d, labels), jaccard_join.keep_one_of_each, personal_data.redacted_documents):
+        kept = stage(rows)
+        assert kept.columns == rows.columns and stage(rows.filter("false")).count() == 0
+        assert sorted((r.doc_id or 0, r.text or "", r.id, r.score, r.component) for r in kept.collect()) == sorted((i or 0, t or "", "c", 0.5, 9) for i, t in ODD)
+    assert main_text.op3(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
