@@ -1,7 +1,13 @@
 """A corpus pipeline of operators of ``folioworks.llm``: clean, unique, redacted, mixed and tokenised documents.
 
 Stages take (spark, docs, sf_dir).  All but the last return the columns of
-``documents``; each works on all rows of the one before.
+``documents``, and further ones whatever their names; each works on all rows of
+the one before.  Null and empty texts are clean, no copies, hold no personal
+data, have no words for the mix to take and no ids; rows without an id and
+repeated rows are kept until the mix, which serves each row by itself (copies
+are rows that share text, not id); of copies the least id stays; equal finish
+times are told apart by a hash; texts of any length are read whole; an empty
+table stays empty through all stages.
 """
 
 from __future__ import annotations
