@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprint, jaccard_join, language_id, main_text, personal_data, quality, source_mix, substring_dedup, toxicity
+from . import byte_bpe, fingerprint, importance, jaccard_join, language_id, main_text, personal_data, quality, source_mix, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
@@ -34,7 +38,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality": lambda spark, sf_dir: quality.op8(_documents(spark, sf_dir)),
     "op9_toxicity": lambda spark, sf_dir: toxicity.op9(_documents(spark, sf_dir), _labels(spark, sf_dir)),
     "op10_substring_dedup": lambda spark, sf_dir: substring_dedup.op10(_documents(spark, sf_dir)),
+    "op12_importance": lambda spark, sf_dir: importance.op12(_documents(spark, sf_dir), _benchmark(spark, sf_dir)),
 }
 
-# The operators learn, iterate, hash or parse; tests compare them with brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+# The other operators learn, iterate, hash or parse; tests compare them with brute force instead.
+ORACLE_SQL: dict[str, str] = {"op12_importance": importance.SQL}
