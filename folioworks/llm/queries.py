@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprint, importance, jaccard_join, language_id, main_text, personal_data, quality, source_mix, substring_dedup, toxicity
+from . import byte_bpe, fingerprint, importance, jaccard_join, language_id, main_text, personal_data, quality, sentence_pieces, source_mix, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": lambda spark, sf_dir: quality.op8(_documents(spark, sf_dir)),
     "op9_toxicity": lambda spark, sf_dir: toxicity.op9(_documents(spark, sf_dir), _labels(spark, sf_dir)),
     "op10_substring_dedup": lambda spark, sf_dir: substring_dedup.op10(_documents(spark, sf_dir)),
+    "op11_sentence_pieces": lambda spark, sf_dir: sentence_pieces.op11(_documents(spark, sf_dir)),
     "op12_importance": lambda spark, sf_dir: importance.op12(_documents(spark, sf_dir), _benchmark(spark, sf_dir)),
 }
 
