@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprint, importance, jaccard_join, language_id, main_text, personal_data, quality, sentence_pieces, source_mix, substring_dedup, toxicity
+from . import byte_bpe, fingerprint, importance, jaccard_join, language_id, main_text, periodic_runs, personal_data, quality, sentence_pieces, source_mix, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": lambda spark, sf_dir: substring_dedup.op10(_documents(spark, sf_dir)),
     "op11_sentence_pieces": lambda spark, sf_dir: sentence_pieces.op11(_documents(spark, sf_dir)),
     "op12_importance": lambda spark, sf_dir: importance.op12(_documents(spark, sf_dir), _benchmark(spark, sf_dir)),
+    "op13_periodic_runs": lambda spark, sf_dir: periodic_runs.op13(_documents(spark, sf_dir)),
 }
 
 # The other operators learn, iterate, hash or parse; tests compare them with brute force instead.
