@@ -20,8 +20,12 @@ SECTION_TYPES = {
     "description": ["projet", "programme", "résidence", "description", "désignation", "caractéristique", "situation"],
 }
 # French words that are no keywords.
-STOPWORDS = """être avoir faire cette tous dans pour avec sans plus sous entre après avant autre leurs notre votre celui celle ceux
-celles quel quelle quels quelles sont sera seront était étaient peut peuvent doit doivent leur elle elles nous vous dont mais donc aussi""".split()
+STOPWORDS = [
+    "être", "avoir", "faire", "cette", "tous", "dans", "pour", "avec", "sans", "plus", "sous", "entre", "après", "avant", "autre", "leurs", "notre",
+    "votre", "celui", "celle", "ceux", "celles", "quel", "quelle", "quels", "quelles", "sont", "sera", "seront", "était", "étaient", "peut",
+    "peuvent", "doit", "doivent", "leur", "elle", "elles", "nous", "vous", "dont", "mais", "donc", "aussi",
+]
+# Letters of keywords.
 KEYWORD_LETTERS = "a-zàâäéèêëïîôùûüÿçæœ"
 # Headings of tables of contents.
 CONTENTS_HEADINGS = ["SOMMAIRE", "TABLE DES MATIERES", "TABLE DES MATIÈRES", "TABLE OF CONTENTS", "INDEX", "CONTENTS"]
@@ -31,7 +35,7 @@ NOISE_WORDS = ["--", ":--", "|", "```", "***"]
 MESSAGES = {
     "no_sections": "Aucune section à évaluer",
     "noise": "%d patterns de bruit détectés (LaTeX, symboles corrompus)",
-    "noise_ratio": "Ratio de bruit élevé : %.1f%%",
+    "noise_ratio": "Ratio de bruit élevé : %s%%",
     "latex": "%d commandes LaTeX résiduelles détectées",
     "gibberish": "%d sections avec du texte incohérent",
     "no_outline": "Aucun plan hiérarchique détecté",
@@ -47,7 +51,8 @@ MESSAGES = {
     "long": "%d sections très longues (>500 mots)",
     "no_keywords": "%d sections sans mots-clés",
     "uneven": "Distribution très inégale des longueurs de sections",
-    "few_keywords": "Faible densité d'information (avg %.1f mots-clés/section)",
+    "few_keywords": "Faible densité d'information (avg %s mots-clés/section)",
+    "unsorted": "Positions de sections non séquentielles",
     "breadcrumbs": "%d breadcrumbs invalides",
     "orphans": "%d sections sans parent valide",
     "siblings": "%d sections avec références siblings invalides",
@@ -61,7 +66,10 @@ RECOMMENDATIONS = {
     "short": "📝 Vérifier les sections courtes : %s",
     "none": "✅ Document bien traité - aucune action requise",
 }
+# The report on a document that cannot be scored.
+FAILED = {"grade": "Erreur", "message": "Erreur lors du scoring: %s", "recommendation": "Erreur lors de l'évaluation - vérifier les logs"}
 
+# Defaults, limits and thresholds.
 DEFAULT_TYPE, GENERAL = "document", "general"
 UNTITLED_DOCUMENT, UNTITLED_SECTION = "Document sans titre", "Section sans titre"
 TOKEN_RATIO = 3.5

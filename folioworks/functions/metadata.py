@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..fixed_values import DEFAULT_TYPE, DOCUMENT_TYPES, HEADER_LINES, UNTITLED_DOCUMENT
+from .arrays import bind
 from .text import strip
 
+# What titles, parties, places, dates and references look like.
+TITLE = r"(?mdU)^#\s+([^\n]+)"
+SUBTITLE = r"(?mdU)^##\s+([^\n]+)"
+COMPANY = r"(?U)[Ss]ociété\s+dénommée\s+([A-Z][A-Za-z0-9\s\-']+?)\s+au\s+capital"
+NAME = r"(?U)[A-Z][A-Za-z0-9\s\-']{5,}"
+SIREN = r"SIREN\s+(?:sous\s+le\s+numéro\s+)?"
+PLACES = [r"se\s+situe", r"située?", r"localisée?", r"sis"]
+PLACE = r"\s+à\s+([A-Z][a-zA-Z\s\-]+)"
+PLACE_END = r"\s+(dans|sur|par|pour)[^\n]*$"
+DATES = [r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}", r"\d{4}-\d{2}-\d{2}"]
+REFERENCES = [
+    rf"(?iuU){SIREN}(\d{{9}})",
+    r"(?U)[Pp]ermis\s+(?:de\s+construire\s+)?n°?\s*([A-Z0-9\-]+)",
+    r"(?U)[Rr]éférence\s*:?\s*([A-Z0-9\-]+)",
+    r"(?U)n°\s*([A-Z0-9\-]{5,})",
+]
+# The last character there is, written out, makes Java count characters, not halves of them, when it looks behind.
+_ANY = rf"[\x{{0}}-{chr(0x10FFFF)}]"
+BEFORE_SIREN = rf"(?iuU)(?={SIREN}\d{{9}})(?<=({_ANY}{{100}}|\A{_ANY}{{0,99}})){SIREN}\d{{9}}"
+
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match, null without a match (groups used here are never empty)."""
@@ -33,63 +51,47 @@ def document_type(text: Column) -> Column:
 
 def title(text: Column) -> Column:
     """First level-1 heading, else the first line, at most 150 characters."""
-    heading = F.regexp_extract(text, r"(?mdU)^#\s+([^\n]+)", 1)
+    heading = F.regexp_extract(text, TITLE, 1)
     line = strip(F.get(F.split(text, "\n"), F.lit(0)))
-    found = text.rlike(r"(?mdU)^#\s+([^\n]+)")
+    found = text.rlike(TITLE)
     return F.when(found, F.substring(strip(heading), 1, 150)).otherwise(F.coalesce(F.nullif(F.substring(line, 1, 150), F.lit("")), F.lit(UNTITLED_DOCUMENT)))
 
 
 def subtitle(text: Column) -> Column:
     """First level-2 heading or null."""
-    pattern = r"(?mdU)^##\s+([^\n]+)"
-    return F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1)))
-
-
-_NAME = re.compile(r"[A-Z][A-Za-z0-9\s\-']{5,}")
-_SIREN = re.compile(r"SIREN\s+(?:sous\s+le\s+numéro\s+)?\d{9}", re.I)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _near_siren(texts: pd.Series) -> pd.Series:
-    """Names in the 100 characters before each SIREN number: windows that overlap matches need offsets."""
-
-    def names(text: str) -> list[str]:
-        before = (text[max(0, m.start() - 100) : m.start()] for m in _SIREN.finditer(text))
-        return [n[0].strip() for n in map(_NAME.search, before) if n]
-
-    return texts.map(names, na_action="ignore")
+    return F.when(text.rlike(SUBTITLE), strip(F.regexp_extract(text, SUBTITLE, 1)))
 
 
 def parties(header: Column) -> Column:
-    """``array<struct<role, name>>``: companies with a capital, names near SIREN numbers; the first of each name."""
-    sold = F.regexp_extract_all(header, F.lit(r"(?U)[Ss]ociété\s+dénommée\s+([A-Z][A-Za-z0-9\s\-']+?)\s+au\s+capital"), F.lit(1))
-    other = F.when(F.lower(header).contains("siren"), _near_siren(header)).otherwise(F.array().cast("array<string>"))
+    """``array<struct<role, name>>``: companies with a capital, names near SIREN numbers; the first of each name.
+
+    The 100 characters before a SIREN number are taken by looking behind, so that
+    stretches before near numbers may overlap.
+    """
+    sold = F.regexp_extract_all(header, F.lit(COMPANY), F.lit(1))
+    before = F.regexp_extract_all(header, F.lit(BEFORE_SIREN), F.lit(1))
+    named = F.filter(F.transform(before, lambda x: F.regexp_extract(x, NAME, 0)), lambda x: x != "")
+    other = F.when(F.lower(header).contains("siren"), named).otherwise(F.array().cast("array<string>"))
     party = lambda role: lambda name: F.struct(F.lit(role).alias("role"), strip(name).alias("name"))
     vendors, others = F.array_distinct(F.transform(sold, party("vendor"))), F.array_distinct(F.transform(other, party("other")))
-    return F.concat(vendors, F.filter(others, lambda p: ~F.exists(vendors, lambda v: v["name"] == p["name"])))
+    return bind(vendors, lambda v: F.concat(v, F.filter(others, lambda p: ~F.exists(v, lambda x: x["name"] == p["name"]))))
 
 
 def location(header: Column) -> Column:
     """Place after one of four phrases, by priority; cut at a preposition and at the line end, at most 50 characters."""
-    phrases = (r"se\s+situe", r"située?", r"localisée?", r"sis")
-    found = F.coalesce(*(_first(header, rf"(?iuU){p}\s+à\s+([A-Z][a-zA-Z\s\-]+)") for p in phrases))
-    cut = F.regexp_replace(strip(found), r"(?dU)\s+(dans|sur|par|pour)[^\n]*$", "")
+    found = F.coalesce(*(_first(header, rf"(?iuU){p}{PLACE}") for p in PLACES))
+    cut = F.regexp_replace(strip(found), rf"(?dU){PLACE_END}", "")
     return F.substring(strip(F.get(F.split(cut, "\n"), F.lit(0))), 1, 50)
 
 
 def date(header: Column) -> Column:
     """First date by priority of format, as written."""
-    return F.coalesce(*(_first(header, rf"(?U)\b({p})\b") for p in (r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}", r"\d{4}-\d{2}-\d{2}")))
+    return F.coalesce(*(_first(header, rf"(?U)\b({p})\b") for p in DATES))
 
 
 def reference(header: Column) -> Column:
     """SIREN, permit number, "Référence" or a number sign, by priority."""
-    return F.coalesce(
-        _first(header, r"(?iuU)SIREN\s+(?:sous\s+le\s+numéro\s+)?(\d{9})"),
-        _first(header, r"(?U)[Pp]ermis\s+(?:de\s+construire\s+)?n°?\s*([A-Z0-9\-]+)"),
-        _first(header, r"(?U)[Rr]éférence\s*:?\s*([A-Z0-9\-]+)"),
-        _first(header, r"(?U)n°\s*([A-Z0-9\-]{5,})"),
-    )
+    return F.coalesce(*(_first(header, p) for p in REFERENCES))
 
 
 def metadata_columns(text: Column) -> dict[str, Column]:

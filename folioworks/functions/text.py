@@ -7,6 +7,7 @@ where only ``\\n`` ends a line.  Rewrites are guarded by a cheap ``contains``.
 from __future__ import annotations
 
 import html
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..fixed_values import REPEATED_CHARS, REPEATED_OVER, TOKEN_RATIO
+from .arrays import bind
 
 
 def strip(text: Column) -> Column:
@@ -37,16 +39,33 @@ def _rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
+def _rewrite_if(text: Column, sign: str, rules: list[tuple[str, str]]) -> Column:
+    """Apply ``rules`` to texts that contain ``sign``."""
+    return bind(text, lambda t: F.when(t.contains(sign), _rewrite(t, rules)).otherwise(t))
+
+
+# A mark that is opened and not closed would be looked for from each opener to the end.  Where a
+# pattern fails for good, its second alternative takes what it has read and puts it back ($1), and
+# runs begin only where no equal character is before them, so each character is read a few times.
 _COLLAPSE = [(r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
+_PLACEHOLDER = (
+    r"(?U)(?:\*{1,2}+=*+>?+\s*+|(?<!=)=++>?+\s*+|>\s*+|(?<!\s)\s++)?+picture\s*+\[[^\]]*+\]\s*+intentionally\s++omitted\s*+<?+=*+\*?+\*?+"
+    r"|(picture\s*+\[[^\]]*+(?:\]|\z))"
+)
+_TAG = r"<(?!br)/?[a-zA-Z][^>]*+>|(<(?!br)/?[a-zA-Z][^>]*+\z)"
+_IMAGE = r"!\[[^\]]*+\]\([^)]++\)|(!\[[^\]]*+(?:\](?:\([^)]*+\z)?|\z))"
 
 
 def clean_html_markers(text: Column) -> Column:
-    """Drop picture placeholders, tags (``<br>`` becomes a line end), images and empty table cells."""
-    placeholder = [(r"(?U)\*?\*?=*>?\s*picture\s*\[[^\]]*\]\s*intentionally\s+omitted\s*<?=*\*?\*?", "")]
-    tags = [(r"(?U)<br\s*/?>", "\n"), (r"<(?!br)/?[a-zA-Z][^>]*>", "")]
-    images, cells = [(r"!\[([^\]]*)\]\([^)]+\)", "")], [(r"(?U)\|\s+\|\s+\|", "")]
-    for sign, rules in (("intentionally", placeholder), ("<", tags), ("![", images), ("|", cells)):
-        text = F.when(text.contains(sign), _rewrite(text, rules)).otherwise(text)
+    """Drop picture placeholders, tags (``<br>`` becomes a line end), images and empty table cells; linear in the text."""
+    steps = [
+        ("intentionally", [(_PLACEHOLDER, "$1")]),
+        ("<", [(r"(?U)<br\s*+/?>", "\n"), (_TAG, "$1")]),
+        ("![", [(_IMAGE, "$1")]),
+        ("|", [(r"(?U)\|\s++\|\s++\|", "")]),
+    ]
+    for sign, rules in steps:
+        text = _rewrite_if(text, sign, rules)
     return strip(_rewrite(text, _COLLAPSE))
 
 
@@ -63,30 +82,31 @@ def clean_html_entities(text: Column) -> Column:
 def split_inline_headers(text: Column) -> Column:
     """Put markdown headers that follow text on a line of their own."""
     rules = [(r"(?U)(\S)\s+(###\s+)", "$1\n$2"), (r"(?U)(\S)\s+(##\s+(?!#))", "$1\n$2"), (r"(?U)(\S)\s+(#\s+(?!#))", "$1\n$2")]
-    return F.when(text.contains("#"), _rewrite(text, rules)).otherwise(text)
+    return _rewrite_if(text, "#", rules)
 
 
+# LaTeX marks in the order they are rewritten, and what they stand for.
 _LATEX = [
     (r"n\^\\circ", "n°"),
     (r"\^\{\\circ\}", "°"),
     (r"\$\\mathrm\{n\}\^\{\\circ\}\$", "n°"),
     (r"n\^\{\\circ\}", "n°"),
-    (r"(?U)\$?(\d+)\s*\\%\$?", "$1%"),
+    (r"(?U)(?:\$|(?<!\d))(\d++)\s*+\\%\$?", "$1%"),
     (r"\$\\quad\$", " "),
     (r"\\square", "☐"),
-    (r"\\mathrm\{([^}]+)\}", "$1"),
+    (r"\\mathrm\{([^}]++)\}|(\\mathrm\{[^}]*+\z)", "$1$2"),
     (r"(?U)\\\s", " "),
-    (r"\$([^$]+)\$", "$1"),
-    (r"\{([^}]*)\}", "$1"),
+    (r"\$([^$]++)\$", "$1"),
+    (r"\{([^}]*+)\}|(\{[^}]*+\z)", "$1$2"),
     (r"\{\}", ""),
     (r"\\\\", ""),
 ]
 
 
 def clean_latex(text: Column) -> Column:
-    """Rewrite LaTeX marks by what they stand for."""
-    has = text.contains("\\") | text.contains("$") | text.contains("{")
-    return strip(F.regexp_replace(F.when(has, _rewrite(text, _LATEX)).otherwise(text), r"[ \t]+", " "))
+    """Rewrite LaTeX marks by what they stand for; linear in the text."""
+    marked = bind(text, lambda t: F.when(t.contains("\\") | t.contains("$") | t.contains("{"), _rewrite(t, _LATEX)).otherwise(t))
+    return strip(F.regexp_replace(marked, r"[ \t]+", " "))
 
 
 def clean_noise(text: Column) -> Column:
@@ -100,34 +120,49 @@ def repeated_lines(text: Column) -> Column:
     return F.array_distinct(F.filter(lines, lambda x, i: x == F.get(lines, i + REPEATED_OVER)))
 
 
-def remove_lines(text: Column, gone: Column) -> Column:
-    """``text`` without the lines that are, stripped, in the array ``gone``."""
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, strip(x)))
-    return F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(text)
+def remove_repeated_lines(text: Column) -> Column:
+    """``text`` without the lines that :func:`repeated_lines` gives; lines are sorted once, so equal ones stand side by side."""
+    lines = F.array_sort(F.transform(F.split(text, "\n"), lambda x, i: F.struct(strip(x).alias("s"), i.alias("pos"), x.alias("line"))))
+
+    def kept(rows: Column) -> Column:
+        among = lambda x, i: reduce(Column.__or__, [(F.get(rows, i - k).s == x.s) & (F.get(rows, i - k + REPEATED_OVER).s == x.s) for k in range(REPEATED_OVER + 1)])
+        rest = F.filter(rows, lambda x, i: (F.length(x.s) <= REPEATED_CHARS) | ~F.coalesce(among(x, i), F.lit(False)))
+        return F.array_join(F.transform(F.array_sort(F.transform(rest, lambda x: F.struct(x.pos.alias("pos"), x.line.alias("line")))), lambda x: x.line), "\n")
+
+    return bind(lines, kept)
+
+
+def _closed(name: str) -> tuple[str, str]:
+    """Pattern of elements of ``name``, the last of which may be unclosed to the end, and of one that is closed (group 1: inside)."""
+    return rf"(?s)<{name}[^>]*+>.*?</{name}>|<{name}[^>]*+(?:>.*+)?\z", rf"(?s)\A<{name}[^>]*+>(.*)</{name}>\z"
+
+
+def _inside(html: Column, name: str) -> Column:
+    """What the elements of ``name`` hold, in order."""
+    every, closed = _closed(name)
+    found = F.filter(F.regexp_extract_all(html, F.lit(every), F.lit(0)), lambda x: x.rlike(closed))
+    return F.transform(found, lambda x: F.regexp_extract(x, closed, 1))
 
 
 def html_tables_to_markdown(text: Column) -> Column:
-    """Rewrite HTML tables as markdown tables; tables without rows stay."""
-    pattern = r"(?s)<table[^>]*>.*?</table>"
-    gaps, tables = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Rewrite HTML tables as markdown tables; tables without rows and unclosed ones stay; linear in the text."""
+    every, closed = _closed("table")
+
+    def lines(rows: Column) -> Column:
+        cells = F.transform(rows, lambda r: F.transform(_inside(r, "t[dh]"), strip))
+        rule = lambda c: F.concat(F.lit("\n|"), F.array_join(F.transform(c, lambda _: F.lit("---")), "|"), F.lit("|"))
+        return F.array_join(F.transform(cells, lambda c, i: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |"), F.when(i == 0, rule(c)).otherwise(""))), "\n")
 
     def convert(table: Column) -> Column:
-        rows = F.regexp_extract_all(table, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-        cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip))
-        lines = F.transform(
-            cells,
-            lambda c, i: F.concat(
-                F.lit("| "), F.array_join(c, " | "), F.lit(" |"),
-                F.when(i == 0, F.concat(F.lit("\n|"), F.array_join(F.transform(c, lambda _: F.lit("---")), "|"), F.lit("|"))).otherwise(""),
-            ),
-        )
-        return F.when(F.size(rows) == 0, table).otherwise(F.array_join(lines, "\n"))
+        rows = F.when(table.rlike(closed), _inside(table, "tr")).otherwise(F.array().cast("array<string>"))
+        return bind(rows, lambda r: F.when(F.size(r) == 0, table).otherwise(lines(r)))
 
+    gaps, tables = F.split(text, every, -1), F.regexp_extract_all(text, F.lit(every), F.lit(0))
     pieces = F.zip_with(gaps, F.transform(tables, convert), lambda gap, table: F.concat(gap, F.coalesce(table, F.lit(""))))
     return F.when(text.contains("<table"), F.array_join(pieces, "")).otherwise(text)
 
 
 def clean_page(markdown: Column) -> Column:
-    """A page of an OCR response: no images, no dollar signs around formulas, tables in markdown."""
-    text = F.regexp_replace(markdown, r"(?d)!\[.*?\]\(.*?\)", "")
-    return F.regexp_replace(html_tables_to_markdown(text), r"\$([^$]+)\$", "$1")
+    """A page of an OCR response: no images, no dollar signs around formulas, tables in markdown, stripped."""
+    text = F.regexp_replace(markdown, r"(?d)!\[(?>.*?\]\()(?>.*?\))|(!\[.*+)", "$1")
+    return bind(text, lambda t: strip(F.regexp_replace(html_tables_to_markdown(t), r"\$([^$]++)\$", "$1")))

@@ -93,7 +93,7 @@ def test_split_and_consolidate(spark):
     rows = spark.createDataFrame([("d", "\n\n".join([paragraph] * 3), "T", "H2", None)], "document_id string, content string, title string, h2 string, h3 string")
     # 799 characters each and blank lines: two are over 1500
     parts = [(r.part, r.title, r.h3) for r in structure.split_large(rows).orderBy("part").collect()]
-    assert parts == [(0, "T", None), (1, "T (suite 2)", "H2 (suite 2)"), (2, "T (suite 3)", "H2 (suite 3)")]
+    assert parts == [(0, "T", None), (1, "T (suite 1)", "H2 (suite 1)"), (2, "T (suite 2)", "H2 (suite 2)")]
     many = "# A\n" + "".join(f"## s{i}\n{LONG}\n" for i in range(60))
     sections = structure.chunk(spark.createDataFrame([("d", many)], "document_id string, text string"))
     merged = structure.consolidate(sections)
@@ -136,7 +136,7 @@ def test_pages(spark):
     pages = [(0, "![x](y) a $b$", (90.0,)), (1, "  ", (10.0,)), (2, "c", None)]
     rows = spark.createDataFrame([("d", "u", "p", pages)], f"document_id string, user_id string, project_id string, pages {adapters.PAGES}")
     got = adapters.paged_texts(rows).first()
-    assert got.text == " a b\n\nc" and got.confidence == 90.0
+    assert got.text == "a b\n\nc" and got.confidence == 90.0
 
 
 def test_statistics(spark):
