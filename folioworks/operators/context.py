@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
 from ..functions.text import strip
+from .keys import by
+
 
 def _some(heading: str) -> Column:
     return F.coalesce(F.col(heading), F.lit("")) != ""
 
 
 def outline(sections: DataFrame) -> DataFrame:
-    """Adjacency rows ``document_id, level, title, parent_h1, parent_h2, position``.
+    """Adjacency rows: keys, ``level, title, parent_h1, parent_h2, position``.
 
     Level 1 is there once for each title, level 2 once for each pair of headings,
     level 3 once for each section; position is that of the first section.
     """
-    rows = sections.filter(_some("h1"))
+    rows, key = sections.filter(_some("h1")), by(sections)
     empty = F.lit(None).cast("string")
-    first = rows.groupBy("document_id", "h1").agg(F.min("position").alias("position")).select("document_id", F.lit(1).alias("level"), F.col("h1").alias("title"), empty.alias("parent_h1"), empty.alias("parent_h2"), "position")
-    second = rows.filter(_some("h2")).groupBy("document_id", "h1", "h2").agg(F.min("position").alias("position")).select("document_id", F.lit(2).alias("level"), F.col("h2").alias("title"), F.col("h1").alias("parent_h1"), empty.alias("parent_h2"), "position")
-    third = rows.filter(_some("h2") & _some("h3")).select("document_id", F.lit(3).alias("level"), F.col("h3").alias("title"), F.col("h1").alias("parent_h1"), F.col("h2").alias("parent_h2"), "position")
+    first = rows.groupBy(*key, "h1").agg(F.min("position").alias("position")).select(*key, F.lit(1).alias("level"), F.col("h1").alias("title"), empty.alias("parent_h1"), empty.alias("parent_h2"), "position")
+    second = rows.filter(_some("h2")).groupBy(*key, "h1", "h2").agg(F.min("position").alias("position")).select(*key, F.lit(2).alias("level"), F.col("h2").alias("title"), F.col("h1").alias("parent_h1"), empty.alias("parent_h2"), "position")
+    third = rows.filter(_some("h2") & _some("h3")).select(*key, F.lit(3).alias("level"), F.col("h3").alias("title"), F.col("h1").alias("parent_h1"), F.col("h2").alias("parent_h2"), "position")
     return first.unionByName(second).unionByName(third)
 
 
+def outline_tree(nodes: DataFrame) -> DataFrame:
+    """A row for each document of an outline: keys and ``nodes``, an array of nested level-1 nodes.
+
+    A node is ``level, title, position, children``; third levels have none.  Children are gathered from the
+    bottom up: third levels into arrays by pair of headings, these into arrays by
+    first heading; all groups are within the document's keys.
+    """
+    key = by(nodes)
+    level = lambda n: nodes.filter(F.col("level") == n)
+    in_order = lambda *fields: F.array_sort(F.collect_list(F.struct("position", "title", *fields)))
+    node = lambda x: F.struct(x["level"].alias("level"), x.title.alias("title"), x.position.alias("position"), x.children.alias("children"))
+    leaf = "array<struct<level:int,title:string,position:int,children:array<string>>>"
+    third = level(3).withColumn("children", F.array().cast("array<string>"))
+    leaves = third.groupBy(*key, F.col("parent_h1").alias("h1"), F.col("parent_h2").alias("h2")).agg(F.transform(in_order("level", "children"), node).cast(leaf).alias("children"))
+    second = level(2).select(*key, F.col("parent_h1").alias("h1"), F.col("title").alias("h2"), "title", "level", "position").join(leaves, [*key, "h1", "h2"], "left").withColumn("children", F.coalesce("children", F.array().cast(leaf)))
+    branch = "array<struct<level:int,title:string,position:int,children:" + leaf + ">>"
+    branches = second.groupBy(*key, "h1").agg(F.transform(in_order("level", "children"), node).cast(branch).alias("children"))
+    first = level(1).select(*key, F.col("title").alias("h1"), "title", "level", "position").join(branches, [*key, "h1"], "left").withColumn("children", F.coalesce("children", F.array().cast(branch)))
+    return first.groupBy(*key).agg(F.transform(in_order("level", "children"), node).alias("nodes"))
+
+
 def outline_depth(nodes: DataFrame) -> DataFrame:
-    """``document_id, depth, nodes`` of documents with an outline."""
-    return nodes.groupBy("document_id").agg(F.max("level").alias("depth"), F.count("*").alias("nodes"))
+    """Keys, ``depth, nodes`` of documents with an outline."""
+    return nodes.groupBy(*by(nodes)).agg(F.max("level").alias("depth"), F.count("*").alias("nodes"))
 
 
 def breadcrumb(document_title: Column) -> Column:
@@ -40,32 +66,100 @@ def parent() -> Column:
     return F.when(_some("h3"), F.col("h2")).when(_some("h2"), F.col("h1"))
 
 
+#: Groups of sections that are beside each other: which sections, below the same headings, and the heading shown; in order of precedence.
+_BESIDE = {
+    "third": (lambda: _some("h3"), ["h1", "h2"], "h3"),
+    "second": (lambda: _some("h2") & ~_some("h3"), ["h1"], "h2"),
+    "first": (lambda: _some("h1") & ~_some("h2"), [], "h1"),
+}
+#: Sections equal in all of this are twins, and not beside each other.
+_TWIN = ["title", "h1", "h2", "h3", "content", "token_count"]
+
+
+def _null_safe(heading: str) -> Column:
+    return F.coalesce(F.col(heading), F.lit("\u0000"))
+
+
+def sibling_groups(sections: DataFrame) -> DataFrame:
+    """One row for each group of sections that are beside each other: keys, ``beside`` (which rule), ``under`` and ``members``.
+
+    ``members`` (``position, twin, shown``, by position) is there once for all sections
+    of the group, so the table is as large as the sections, however many stand together.
+    """
+    key = by(sections)
+    parts = []
+    for name, (inside, under, shown) in _BESIDE.items():
+        rows = sections.filter(inside()).groupBy(*key, F.array(*map(_null_safe, under)).cast("array<string>").alias("under"))
+        members = F.array_sort(F.collect_list(F.struct("position", F.xxhash64(*_TWIN).alias("twin"), F.col(shown).alias("shown"))))
+        parts.append(rows.agg(members.alias("members")).withColumn("beside", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def siblings(sections: DataFrame) -> DataFrame:
     """Add ``siblings``: headings of sections beside each one, in order, repeats included.
 
     Beside are: level 3 under the same pair, else level 2 without a third under the
     same first, else level 1 without a second.  Sections equal in every value are not
     their own siblings.  Candidates are gathered for each group of headings, not for
-    pairs of sections.
+    pairs of sections.  This is for the sink: each row has its whole list, so rows of a
+    document grow with the square of its sections (:func:`sibling_groups` does not).
     """
-    key = F.struct("title", "h1", "h2", "h3", "content", "token_count")
-    rows = sections.withColumn("twin", F.xxhash64(key))
-    h = {x: F.coalesce(F.col(x), F.lit("\u0000")) for x in ("h1", "h2", "h3")}
-    groups = {
-        "third": (_some("h3"), [h["h1"], h["h2"]], "h3"),
-        "second": (_some("h2") & ~_some("h3"), [h["h1"]], "h2"),
-        "first": (_some("h1") & ~_some("h2"), [], "h1"),
-    }
-    for rule, (name, (inside, under, shown)) in enumerate(groups.items()):
-        w = Window.partitionBy("document_id", *under)
-        members = F.collect_list(F.when(inside, F.struct("position", F.lit(rule).alias("rule"), "twin", F.col(shown).alias("shown")))).over(w)
-        rows = rows.withColumn(name, F.when(inside, members))
+    rows = sections.withColumn("twin", F.xxhash64(*_TWIN))
+    for rule, (name, (inside, under, shown)) in enumerate(_BESIDE.items()):
+        w = Window.partitionBy(*by(sections), *map(_null_safe, under))
+        members = F.collect_list(F.when(inside(), F.struct("position", F.lit(rule).alias("rule"), "twin", F.col(shown).alias("shown")))).over(w)
+        rows = rows.withColumn(name, F.when(inside(), members))
     none = F.array().cast("array<struct<position:int,rule:int,twin:bigint,shown:string>>")
     # one section may hold by two rules for different others: a third-level one without a second
-    beside = F.array_sort(F.concat(*(F.coalesce(F.col(g), none) for g in groups)))
+    beside = F.array_sort(F.concat(*(F.coalesce(F.col(g), none) for g in _BESIDE)))
     seen = F.filter(beside, lambda s: s.twin != F.col("twin"))
-    by_rule = F.filter(seen, lambda s, i: ~F.coalesce(F.get(seen, i - 1).position == s.position, F.lit(False)))
-    return rows.withColumn("siblings", F.transform(by_rule, lambda s: s.shown)).drop("twin", *groups)
+    shown = lambda found: F.transform(F.filter(found, lambda s, i: ~F.coalesce(F.get(found, i - 1).position == s.position, F.lit(False))), lambda s: s.shown)
+    return rows.withColumn("siblings", bind(seen, shown)).drop("twin", *_BESIDE)
+
+
+def twin_key() -> Column:
+    """A hash that twins share."""
+    return F.xxhash64(*_TWIN)
+
+
+def _strange(sections: DataFrame, names: Column, place: str) -> DataFrame:
+    """Keys, ``place, strange``: the labels of those ``names`` (``array<struct<label, name>>``) of a section that are no title in its document.
+
+    Titles and names of a document are stacked and told apart by one window within it.
+    """
+    own = [*by(sections), place]
+    stacked = sections.select(*own, F.explode(F.concat(F.array(F.struct(F.lit("title").alias("label"), F.col("title").alias("name"))), names)).alias("x")).select(*own, "x.*")
+    stacked = stacked.withColumn("known", F.max(F.col("label") == "title").over(Window.partitionBy(*by(sections), "name")))
+    return stacked.groupBy(*own).agg(F.collect_set(F.when(~F.col("known") & F.col("name").isNotNull(), F.col("label"))).alias("strange"))
+
+
+def unknown_siblings(sections: DataFrame, place: str = "position") -> DataFrame:
+    """Add ``unknown_siblings``: whether a sibling of a section is no title of a section of its document.
+
+    ``sections`` with a column ``siblings`` are judged by it.  Without, by what
+    :func:`siblings` would list, and nothing is listed: a section has such a sibling if
+    its groups hold more members with unknown headings than its twins do.  ``place``
+    numbers the sections of a document.
+    """
+    key = by(sections)
+    own = [*key, place]
+    if "siblings" in sections.columns:
+        labelled = F.transform(F.coalesce("siblings", F.array().cast("array<string>")), lambda x: F.struct(F.lit("sibling").alias("label"), x.alias("name")))
+        found = sections.join(_strange(sections, labelled, place), own)
+        return found.withColumn("unknown_siblings", F.size("strange") > 0).drop("strange")
+    headings = F.array(*(F.struct(F.lit(h).alias("label"), F.col(h).alias("name")) for h in ("h1", "h2", "h3")))
+    rows = sections if "_twin" in sections.columns else sections.withColumn("_twin", twin_key())
+    rows = rows.join(_strange(sections, headings, place), own)
+    unknown = lambda h: F.array_contains("strange", h)
+    count = lambda which, *under: F.coalesce(F.sum(which.cast("int")).over(Window.partitionBy(*key, *under)), F.lit(0))
+    others = lambda which, *under: count(which, *under) - count(which, "_twin")
+    below = {name: [F.when(inside(), F.lit(name)), *map(_null_safe, under)] for name, (inside, under, _) in _BESIDE.items()}
+    third, first = _BESIDE["third"][0](), _BESIDE["first"][0]()
+    bad = {f"_{name}": F.when(inside(), others(inside() & unknown(shown), *below[name])).otherwise(0) for name, (inside, _, shown) in _BESIDE.items()}
+    # members of the first group that are also in a section's third group are shown by their third heading
+    bad["_both"] = F.when(first & third, others(first & third & unknown("h1"), *below["third"])).otherwise(0)
+    rows = rows.withColumns(bad).withColumn("unknown_siblings", F.col("_third") + F.col("_second") + F.col("_first") - F.col("_both") > 0)
+    return rows.drop("strange", *bad, *(() if "_twin" in sections.columns else ("_twin",)))
 
 
 def enriched_content(document_title: Column) -> Column:

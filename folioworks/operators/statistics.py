@@ -6,27 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import SAMPLES_KEPT
+from ..functions.numbers import tenths
+from .keys import by, shared
 
 
 def document_statistics(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Sections, words, tokens and their rounded means for every document, those without sections included."""
-    sums = sections.groupBy("document_id").agg(F.count("*").alias("n_sections"), F.sum("word_count").alias("n_words"), F.sum("token_count").alias("n_tokens"), F.bround(F.avg("word_count")).cast("long").alias("avg_words"), F.bround(F.avg("token_count")).cast("long").alias("avg_tokens"))
-    return docs.select("document_id").join(sums, "document_id", "left").fillna(0)
+    sums = sections.groupBy(*by(sections)).agg(F.count("*").alias("n_sections"), F.sum("word_count").alias("n_words"), F.sum("token_count").alias("n_tokens"), F.bround(F.avg("word_count")).cast("long").alias("avg_words"), F.bround(F.avg("token_count")).cast("long").alias("avg_tokens"))
+    on = shared(docs, sections)
+    return docs.select(*on).join(sums.select(*on, "n_sections", "n_words", "n_tokens", "avg_words", "avg_tokens"), on, "left").fillna(0, ["n_sections", "n_words", "n_tokens", "avg_words", "avg_tokens"])
+
+
+def response_totals(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """Chunks, words, tokens and tokens a chunk (whole, 0 without chunks) of what is returned for each document."""
+    stats = document_statistics(docs, sections)
+    return stats.select(*by(stats), F.col("n_sections").alias("n_chunks"), "n_words", "n_tokens", F.floor(F.col("n_tokens") / F.greatest("n_sections", F.lit(1))).alias("tokens_per_chunk"))
 
 
 def type_histogram(sections: DataFrame) -> DataFrame:
-    """``document_id, type, count``."""
-    return sections.groupBy("document_id", "type").count()
+    """Keys, ``type, count``."""
+    return sections.groupBy(*by(sections), "type").count()
+
 
+def detailed_metrics(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """Counts, bounds and means of the sections (with ``keywords``) of every document, zeros and an empty map for those without.
 
-def detailed_metrics(sections: DataFrame) -> DataFrame:
-    """Counts, bounds and means of each document's sections (with ``keywords``)."""
-    some = lambda h: F.count_if(F.coalesce(F.col(h), F.lit("")) != "").alias(f"n_{h}")
-    return sections.groupBy("document_id").agg(
-        F.count("*").alias("n_sections"), F.sum("word_count").alias("n_words"), F.bround(F.avg("word_count"), 1).alias("avg_words"),
-        F.min("word_count").alias("min_words"), F.max("word_count").alias("max_words"), some("h1"), some("h2"), some("h3"),
-        F.bround(F.avg(F.size("keywords")), 1).alias("avg_keywords"),
+    ``sections_by_type`` is a map from the counts by type; the depth is that of the outline,
+    1 where no section has a first heading.
+    """
+    some = lambda h: F.coalesce(F.col(h), F.lit("")) != ""
+    key, on = by(sections), shared(docs, sections)
+    depth = F.when(some("h1") & some("h2") & some("h3"), 3).when(some("h1") & some("h2"), 2).otherwise(1)
+    # counts by type first, so that at most as many rows as there are types meet in a document
+    by_type = sections.groupBy(*key, "type").agg(
+        F.count("*").alias("n"), F.sum("word_count").alias("words"), F.min("word_count").alias("least"), F.max("word_count").alias("most"), F.max(depth).alias("depth"),
+        *(F.count_if(some(h)).alias(h) for h in ("h1", "h2", "h3")), F.sum(F.size("keywords")).alias("keywords"),
+    )
+    mean = lambda total: tenths(F.sum(total) / F.sum("n")) / 10
+    sums = by_type.groupBy(*key).agg(
+        F.sum("n").alias("n_sections"), F.sum("words").alias("n_words"), mean("words").alias("avg_words"), F.min("least").alias("min_words"), F.max("most").alias("max_words"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("sections_by_type"), F.max("depth").alias("hierarchy_depth"),
+        *(F.sum(h).alias(f"n_{h}") for h in ("h1", "h2", "h3")), mean("keywords").alias("avg_keywords"),
     )
+    fields = [c for c in sums.columns if c not in key]
+    joined = docs.select(*on).join(sums.select(*on, *fields), on, "left").fillna(0, [c for c in fields if c != "sections_by_type"])
+    return joined.withColumn("sections_by_type", F.coalesce("sections_by_type", F.create_map().cast("map<string,bigint>")))
 
 
 def metric_summary(samples: DataFrame, kept: int = SAMPLES_KEPT) -> DataFrame:
@@ -46,15 +70,3 @@ def rate_per_minute(events: DataFrame, limit: int = 10) -> DataFrame:
     """Requests of each user in each minute and whether they are over the limit."""
     minute = F.date_trunc("minute", "ts")
     return events.groupBy("user_id", minute.alias("minute")).agg(F.count("*").alias("requests")).withColumn("limited", F.col("requests") > limit)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays; null for a zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def nearest(vectors: DataFrame, query: list[float], k: int = 5) -> DataFrame:
-    """The ``k`` rows (``vec_id, embedding``) nearest to one query vector; a heap for each task, no full sort."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.select("vec_id", F.round(cosine(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)

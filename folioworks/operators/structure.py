@@ -1,7 +1,7 @@
 """Segmentation of documents into sections under a three-level hierarchy of headings.
 
-All windows and groups are by ``document_id``: one shuffle serves line numbers,
-headings, sections and their positions.
+All windows and groups are by the keys of documents (``keys.py``): one shuffle, of
+documents, serves line numbers, headings, sections and their positions.
 """
 
 from __future__ import annotations
@@ -24,10 +24,14 @@ from ..fixed_values import (
     SECTION_TYPES,
     SMALL_WORDS,
     STOPWORDS,
+    TOKEN_RATIO,
     UNTITLED_SECTION,
 )
+from ..functions.arrays import bind, groups, scan
 from ..functions.text import count_words, estimate_tokens, strip
+from .keys import by, keyed
 
+# What headings look like.
 _MARKDOWN = r"(?dU)^(#{1,6})\s+(.+)$"
 _CHAPTER = r"(?diuU)^\*{0,2}CHAPITRE\s+([IVXLCDM\d]+)\s*[-–:]?\s*(.*?)\*{0,2}$"
 _ARTICLE = r"(?diuU)^\*{0,2}Article\s+([A-Za-z0-9\s]+?\.?\d*)\s*[-–:]?\s*(.*?)\*{0,2}$"
@@ -36,8 +40,9 @@ _CAPITALS = r"(?dU)^\d+/\s+([A-Z\s]{3,80})$"
 
 
 def split_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``document_id, pos, line`` and the columns ``keep``: stripped lines that are not blank."""
-    lines = docs.select("document_id", *keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    """Keys, ``pos, line`` and the columns ``keep``: stripped lines that are not blank."""
+    docs = keyed(docs)
+    lines = docs.select(*by(docs), *keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     return lines.withColumn("line", strip(F.col("line"))).filter("line <> ''")
 
 
@@ -46,14 +51,18 @@ def _numbered(prefix: str, number: Column, dash: str, rest: Column) -> Column:
     return F.substring(F.concat(F.lit(prefix), number, F.when(rest != "", F.concat(F.lit(dash), rest)).otherwise("")), 1, 100)
 
 
+def _kind(line: Column) -> Column:
+    """Which of the five forms of headings a stripped line has; null for body lines."""
+    return F.when(line.startswith("#") & line.rlike(_MARKDOWN), "markdown").when(line.rlike(_CHAPTER), "chapter").when(line.rlike(_CAPITALS), "capitals").when(line.rlike(_ARTICLE), "article").when(line.rlike(_NUMBERED), "numbered")
+
+
 def classify_headers(lines: DataFrame) -> DataFrame:
     """Add ``level`` (1 to 3, null for body lines) and ``heading``."""
     line = F.col("line")
     part = lambda pattern, i: F.regexp_extract(line, pattern, i)
     hashes = F.length(part(_MARKDOWN, 1))
     markdown = F.substring(strip(F.regexp_replace(strip(part(_MARKDOWN, 2)), r"\*{1,2}", "")), 1, 100)
-    kind = F.when(line.startswith("#") & line.rlike(_MARKDOWN), "markdown").when(line.rlike(_CHAPTER), "chapter").when(line.rlike(_CAPITALS), "capitals").when(line.rlike(_ARTICLE), "article").when(line.rlike(_NUMBERED), "numbered")
-    lines = lines.withColumn("kind", kind)
+    lines = lines.withColumn("kind", _kind(line))
     level = F.when(F.col("kind") == "markdown", (hashes - 1) % 3 + 1).when(F.col("kind").isin("chapter", "capitals"), 1).when(F.col("kind") == "article", 2).when(F.col("kind") == "numbered", 3)
     numbered = F.substring(F.concat(part(_NUMBERED, 1), F.when(strip(part(_NUMBERED, 2)) != "", F.concat(F.lit(" – "), strip(part(_NUMBERED, 2)))).otherwise("")), 1, 100)
     heading = (
@@ -68,7 +77,7 @@ def classify_headers(lines: DataFrame) -> DataFrame:
 
 def carry_headings(lines: DataFrame) -> DataFrame:
     """Add ``section_id`` and the headings ``h1, h2, h3`` in force at each line; a heading resets those below it."""
-    w = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by(lines)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     level = F.col("level")
     lines = lines.withColumns({
         "section_id": F.count("level").over(w),
@@ -82,9 +91,9 @@ def carry_headings(lines: DataFrame) -> DataFrame:
 
 
 def emit_sections(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Body lines of each section as ``content`` with ``word_count`` and the columns ``keep`` of its document; sections without a body are not there."""
-    body = lines.filter("level IS NULL").groupBy("document_id", "section_id")
-    rows = body.agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("h3").alias("h3"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"), *(F.first(c).alias(c) for c in keep))
+    """Body lines of each section as ``content`` with ``word_count``, ``first_pos`` (its first line) and the columns ``keep`` of its document; sections without a body are not there."""
+    body = lines.filter("level IS NULL").groupBy(*by(lines), "section_id")
+    rows = body.agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("h3").alias("h3"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"), F.min("pos").alias("first_pos"), *(F.first(c).alias(c) for c in keep))
     rows = rows.withColumn("content", F.array_join(F.transform("lines", lambda x: x.line), "\n")).drop("lines")
     return rows.withColumn("word_count", count_words(F.col("content")))
 
@@ -130,24 +139,34 @@ def section_title(h1: Column, h2: Column, h3: Column) -> Column:
 
 def with_positions(sections: DataFrame, order: tuple[str, ...] = ("section_id",)) -> DataFrame:
     """Number sections from 1 in each document and count them."""
-    w = Window.partitionBy("document_id")
+    w = Window.partitionBy(*by(sections))
     return sections.withColumns({"position": F.row_number().over(w.orderBy(*order)), "n_sections": F.count("*").over(w)})
 
 
-def chunk(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def chunk(docs: DataFrame, keep: tuple[str, ...] = (), enforce_cap: bool = False) -> DataFrame:
     """Sections of ``docs`` (``document_id, text``, columns ``keep``) that are kept, typed and titled, with their positions.
 
-    Null and empty texts and texts whose sections are all rejected give no rows.
+    Null and empty texts and texts whose sections are all rejected give no rows; rows
+    with the same id, or none, stay apart.  With ``enforce_cap`` sections over the size
+    limit are split between lines; without it they stay whole.
     """
     rows = reject_reason(emit_sections(carry_headings(classify_headers(split_lines(docs, keep))), keep)).filter("rejected IS NULL").drop("rejected")
+    rows = rows.withColumn("title", section_title(F.col("h1"), F.col("h2"), F.col("h3")))
+    order = ("section_id",)
+    if enforce_cap:
+        rows, order = split_large(rows, "\n"), ("section_id", "part")
     content = F.col("content")
-    rows = rows.withColumns({"title": section_title(F.col("h1"), F.col("h2"), F.col("h3")), "type": section_type(content), "token_count": estimate_tokens(content)})
-    return with_positions(rows)
+    return with_positions(rows.withColumns({"type": section_type(content), "token_count": estimate_tokens(content)}), order)
+
+
+def has_header(text: Column) -> Column:
+    """Whether a text has a heading of any form."""
+    return F.exists(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: bind(strip(line), lambda s: _kind(s).isNotNull()))
 
 
 def has_headers(docs: DataFrame) -> DataFrame:
-    """``document_id, has_headers`` of each document with a line that is not blank."""
-    return classify_headers(split_lines(docs)).groupBy("document_id").agg(F.max(F.col("level").isNotNull()).alias("has_headers"))
+    """``document_id, has_headers`` of each row of ``docs``, within the row."""
+    return docs.select("document_id", has_header(F.col("text")).alias("has_headers"))
 
 
 def is_oversize(content: Column) -> Column:
@@ -155,34 +174,31 @@ def is_oversize(content: Column) -> Column:
     return (F.length(content) > MAX_CHARS) | (estimate_tokens(content) > MAX_TOKENS)
 
 
-def split_paragraphs(content: Column) -> Column:
+def split_paragraphs(content: Column, separator: str = "\n\n") -> Column:
     """Pack paragraphs greedily into parts of at most ``MAX_CHARS``; ``array<struct<part, content>>``.
 
     A paragraph over the limit stays whole; parts of fewer than ``MIN_WORDS`` words go
-    after parts are numbered from 0.
+    after parts are numbered from 0.  Only lengths are folded; parts are cut out by place.
     """
-    parts_type = "array<struct<part:int,content:string>>"
-    start = F.struct(F.lit("").alias("cur"), F.lit(0).alias("n"), F.array().cast(parts_type).alias("parts"))
-    closed = lambda acc: F.concat(acc.parts, F.array(F.struct(acc.n.alias("part"), strip(acc.cur).alias("content"))))
+    gap = len(separator)
+    # the state is the length of the part so far, 0 before the first paragraph
+    full = lambda state, p: (state > 0) & ((state + p.n + gap > MAX_CHARS) | (((state + p.n + gap) / F.lit(TOKEN_RATIO)).cast("int") > MAX_TOKENS))
+    cuts = lambda state, p: F.when((state == 0) | full(state, p), p.i)
+    step = lambda state, p: F.when(full(state, p), p.n + gap).otherwise(state + p.n + gap)
 
-    def add(acc: Column, paragraph: Column) -> Column:
-        longer = F.concat(acc.cur, paragraph, F.lit("\n\n"))
-        full = (acc.cur != "") & is_oversize(longer)
-        return F.struct(
-            F.when(full, F.concat(paragraph, F.lit("\n\n"))).otherwise(longer).alias("cur"),
-            (acc.n + full.cast("int")).alias("n"),
-            F.when(full, closed(acc)).otherwise(acc.parts).alias("parts"),
-        )
+    def parts(paragraphs: Column) -> Column:
+        lengths = F.transform(paragraphs, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i")))
+        packed = bind(scan(lengths, F.lit(0), step, cuts), lambda starts: groups(paragraphs, starts))
+        return F.transform(packed, lambda g, i: F.struct(i.alias("part"), strip(F.array_join(g, separator)).alias("content")))
 
-    packed = F.aggregate(F.split(content, "\n\n"), start, add, lambda acc: F.when(strip(acc.cur) != "", closed(acc)).otherwise(acc.parts))
-    return F.filter(packed, lambda p: count_words(p.content) >= MIN_WORDS)
+    return F.filter(bind(F.split(content, separator), parts), lambda p: count_words(p.content) >= MIN_WORDS)
 
 
-def split_large(sections: DataFrame) -> DataFrame:
+def split_large(sections: DataFrame, separator: str = "\n\n") -> DataFrame:
     """Split oversize sections (``content, title, h2, h3``) into parts, from the second on marked ``(suite n)``; others stay as one."""
-    rows = sections.withColumn("parts", F.when(is_oversize(F.col("content")), split_paragraphs(F.col("content"))).otherwise(F.array(F.struct(F.lit(0).alias("part"), F.col("content").alias("content")))))
-    rows = rows.select(*[c for c in sections.columns if c != "content"], F.explode("parts").alias("p")).select("*", "p.part", "p.content").drop("p")
-    suffix = F.when(F.col("part") > 0, F.concat(F.lit(" (suite "), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise("")
+    rows = sections.withColumn("parts", F.when(is_oversize(F.col("content")), split_paragraphs(F.col("content"), separator)).otherwise(F.array(F.struct(F.lit(0).alias("part"), F.col("content").alias("content")))))
+    rows = rows.select(*[c for c in sections.columns if c != "content"], F.explode("parts").alias("p")).select("*", "p.part", "p.content").drop("p", "parts")
+    suffix = F.when(F.col("part") > 0, F.concat(F.lit(" (suite "), F.col("part").cast("string"), F.lit(")"))).otherwise("")
     h3 = F.when(F.coalesce("h3", F.lit("")) != "", F.concat("h3", suffix)).when((F.col("part") > 0) & (F.coalesce("h2", F.lit("")) != ""), F.concat("h2", suffix)).otherwise(F.col("h3"))
     return rows.withColumns({"title": F.concat("title", suffix), "h3": h3, "word_count": count_words(F.col("content")), "token_count": estimate_tokens(F.col("content"))})
 
@@ -190,24 +206,36 @@ def split_large(sections: DataFrame) -> DataFrame:
 _MERGED = "struct<section_id:bigint,h1:string,h2:string,h3:string,title:string,content:string,word_count:int,token_count:int>"
 
 
+def merge_points(sections: Column) -> Column:
+    """Places of the sections (``array<struct>`` with ``word_count, h1``) that begin a group of small ones.
+
+    A section of fewer than ``SMALL_WORDS`` words takes what follows, under the same
+    level-1 heading and up to ``MERGED_WORDS`` words, until it has as many.
+    """
+    joins = lambda state, s: (state.n > 0) & (state.words < SMALL_WORDS) & (state.words + s.words <= MERGED_WORDS) & state.h1.eqNullSafe(s.h1)
+    # n: sections so far in the group, 0 before the first
+    step = lambda state, s: F.struct(F.when(joins(state, s), state.n + 1).otherwise(1).alias("n"), F.when(joins(state, s), state.words + s.words).otherwise(s.words).alias("words"), F.when(joins(state, s), state.h1).otherwise(s.h1).alias("h1"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(None).cast("string").alias("h1"))
+    light = F.transform(sections, lambda s, i: F.struct(s.word_count.cast("int").alias("words"), s.h1.alias("h1"), i.alias("i")))
+    return scan(light, start, step, lambda state, s: F.when(~joins(state, s), s.i))
+
+
 def consolidate(sections: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Merge small sections with followers under the same level-1 heading, in documents of more than ``CONSOLIDATE_OVER`` sections.
 
     Merged sections keep headings, title and token count of their first.  The fold is
     ordered, so a document's sections are one row there; others are not gathered.
     """
-    columns = ["document_id", *(f.split(":")[0] for f in _MERGED[7:-1].split(","))]
-    few, many = sections.filter(F.col("n_sections") <= CONSOLIDATE_OVER).select(*columns, *keep), sections.filter(F.col("n_sections") > CONSOLIDATE_OVER)
-    listed = many.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*columns[1:]).cast(_MERGED))).alias("all"), *(F.first(c).alias(c) for c in keep))
-    start = F.struct(F.array().cast(f"array<{_MERGED}>").alias("done"), F.lit(None).cast(_MERGED).alias("cur"))
-
-    def step(acc: Column, s: Column) -> Column:
-        joins = acc.cur.isNotNull() & (acc.cur.word_count < SMALL_WORDS) & (acc.cur.word_count + s.word_count <= MERGED_WORDS) & acc.cur.h1.eqNullSafe(s.h1)
-        merged = acc.cur.withField("content", F.concat(acc.cur.content, F.lit("\n\n"), s.content)).withField("word_count", acc.cur.word_count + s.word_count)
-        done = F.when(acc.cur.isNull() | joins, acc.done).otherwise(F.concat(acc.done, F.array(acc.cur)))
-        return F.struct(done.alias("done"), F.when(joins, merged).otherwise(s).cast(_MERGED).alias("cur"))
-
-    folded = F.aggregate("all", start, step, lambda acc: F.concat(acc.done, F.array(acc.cur)))
-    merged = listed.select("document_id", *keep, F.explode(folded).alias("s")).select("document_id", *keep, "s.*")
-    rows = few.unionByName(merged).withColumn("type", section_type(F.col("content")))
-    return with_positions(rows)
+    fields = [f.split(":")[0] for f in _MERGED[7:-1].split(",")]
+    key = by(sections)
+    few, many = sections.filter(F.col("n_sections") <= CONSOLIDATE_OVER).select(*key, *fields, *keep), sections.filter(F.col("n_sections") > CONSOLIDATE_OVER)
+    listed = many.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields).cast(_MERGED))).alias("all"), *(F.first(c).alias(c) for c in keep))
+    listed = listed.withColumn("starts", merge_points(F.col("all")))
+
+    def merged(group: Column) -> Column:
+        first = F.get(group, F.lit(0))
+        return first.withField("content", F.array_join(F.transform(group, lambda s: s.content), "\n\n")).withField("word_count", F.aggregate(group, F.lit(0), lambda n, s: n + s.word_count))
+
+    packed = listed.select(*key, *keep, F.explode(groups(F.col("all"), F.col("starts"))).alias("g"))
+    rows = few.unionByName(packed.select(*key, *keep, merged(F.col("g")).alias("s")).select(*key, *keep, "s.*"))
+    return with_positions(rows.withColumn("type", section_type(F.col("content"))))

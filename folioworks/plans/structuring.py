@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..fixed_values import MIN_TEXT_CHARS
 from ..functions import metadata
 from ..functions.tables import tables_to_sentences
-from ..functions.text import clean_html_entities, clean_html_markers, clean_latex, clean_noise, estimate_tokens, remove_lines, repeated_lines, split_inline_headers, strip
+from ..functions.text import clean_html_entities, clean_html_markers, clean_latex, clean_noise, estimate_tokens, remove_repeated_lines, split_inline_headers, strip
 from ..operators import context, structure
+from ..operators.keys import by, keyed
 
 
 def reject_code() -> Column:
@@ -23,11 +24,10 @@ def reject_code() -> Column:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """All cleaning steps over ``text`` in order; other columns stay."""
+    """All cleaning steps over ``text`` in order, within the row; other columns stay."""
     docs = docs.withColumn("text", clean_html_entities(clean_html_markers(F.coalesce("text", F.lit("")))))
     docs = tables_to_sentences(docs)
-    docs = docs.withColumn("gone", repeated_lines(F.col("text")))
-    docs = docs.withColumn("text", remove_lines(F.col("text"), F.col("gone"))).drop("gone")
+    docs = docs.withColumn("text", remove_repeated_lines(F.col("text")))
     return docs.withColumn("text", clean_noise(clean_latex(split_inline_headers(F.col("text")))))
 
 
@@ -36,31 +36,34 @@ def with_metadata(docs: DataFrame) -> DataFrame:
     return docs.withColumns(metadata.metadata_columns(F.col("text")))
 
 
-def structured(docs: DataFrame, consolidate: bool = False) -> DataFrame:
-    """Sections of cleaned ``docs`` with metadata, keywords, breadcrumb and parent.
+def structured(docs: DataFrame, consolidate: bool = False, keep: tuple[str, ...] = (), enforce_cap: bool = False) -> DataFrame:
+    """Sections of cleaned ``docs`` with their keys, metadata, keywords, breadcrumb and parent, and the columns ``keep``.
 
     Metadata travel with the lines, so that ``docs`` (cleaning included) are evaluated once and not joined.
     """
     about = ("document_type", "document_title", "document_reference")
+    docs = keyed(docs)
     columns = metadata.metadata_columns(F.col("text"))
-    rows = structure.chunk(docs.select("document_id", "text", *(columns[c].alias(c) for c in about)), about)
+    rows = structure.chunk(docs.select(*by(docs), "text", *keep, *(columns[c].alias(c) for c in about)), about + keep, enforce_cap)
     if consolidate:
-        rows = structure.consolidate(rows, about)
+        rows = structure.consolidate(rows, about + keep)
     rows = structure.keywords(rows)
     return rows.withColumns({"breadcrumb": context.breadcrumb(F.col("document_title")), "parent": context.parent()})
 
 
-def chunks(docs: DataFrame, consolidate: bool = False) -> DataFrame:
-    """Flat chunks of cleaned ``docs``: id, enriched content and its token count."""
-    rows = structured(docs, consolidate).withColumn("enriched_content", context.enriched_content(F.col("document_title")))
+def as_chunks(sections: DataFrame) -> DataFrame:
+    """Flat chunks of :func:`structured` sections: id, enriched content and its token count."""
+    rows = sections.withColumn("enriched_content", context.enriched_content(F.col("document_title")))
     number = F.format_string("%03d", F.col("position") - 1)
     return rows.withColumns({"chunk_id": F.concat(F.lit("chunk-"), "document_id", F.lit("-"), number), "enriched_token_count": estimate_tokens(F.col("enriched_content"))})
 
 
+def chunks(docs: DataFrame, consolidate: bool = False, keep: tuple[str, ...] = (), enforce_cap: bool = False) -> DataFrame:
+    """Flat chunks of cleaned ``docs``; documents without an id get one, rows that share an id stay apart."""
+    return as_chunks(structured(docs, consolidate, keep, enforce_cap))
+
+
 def rejects(docs: DataFrame) -> DataFrame:
-    """``document_id, reject_code``: requests refused and documents without any heading."""
-    refused = docs.withColumn("reject_code", reject_code())
-    headers = structure.has_headers(docs.select("document_id", "text"))
-    joined = refused.join(headers, "document_id", "left")
-    code = F.coalesce("reject_code", F.when(~F.coalesce("has_headers", F.lit(False)), F.lit("STRUCTURE_NOT_DETECTED")))
-    return joined.select("document_id", code.alias("reject_code")).filter("reject_code IS NOT NULL")
+    """``document_id, reject_code`` of each row that is refused or has no heading; within the row."""
+    code = F.coalesce(reject_code(), F.when(~structure.has_header(F.col("text")), F.lit("STRUCTURE_NOT_DETECTED")))
+    return docs.select("document_id", code.alias("reject_code")).filter("reject_code IS NOT NULL")
