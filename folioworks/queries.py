@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import metadata, text
 from .functions.tables import tables_to_sentences
-from .operators import context, quality, statistics, structure
+from .operators import context, quality, statistics, structure, vectors
+from .operators.keys import KEY, keyed
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .plans import structuring
-from .sinks.chunks import latest_states
-from .sources import adapters
+from .sinks import chunks as sink
+from .sources import adapters, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,8 +58,9 @@ def _clean_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inline_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("# "), "n_name", F.lit(" ## "), "n_name", F.lit(" ### x y"))
-    return adapters.table(spark, sf_dir, "nation").select("n_nationkey", text.split_inline_headers(line).alias("text"))
+    # the lines of each order one after the other, so that its headings stand behind text
+    glued = F.replace("text", F.lit("\n"), F.lit(" "))
+    return adapters.orders_md(spark, sf_dir).select("document_id", text.split_inline_headers(glued).alias("text"))
 
 
 def _html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +84,8 @@ def _parties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
-    lines = F.array(
-        F.concat(F.lit("CHAPITRE "), key, F.lit(" - "), name), F.concat(F.lit("**Article 1."), key, F.lit(" - Objet**")), F.concat(F.lit("1.2."), key, F.lit(" : détail")),
-        F.concat(key, F.lit("/ "), name), F.concat(F.lit("##### **"), name, F.lit("**")), F.concat(F.lit("ARTICLE Ua "), key), F.lit("Chapitre mixte"), F.concat(name, F.lit(" 1.2")),
-    )
-    rows = adapters.table(spark, sf_dir, "nation").select(key.alias("document_id"), F.posexplode(lines).alias("pos", "line"))
-    return structure.classify_headers(rows).select("document_id", "pos", "level", "heading")
+    lines = structure.split_lines(adapters.documents_md(spark, sf_dir)).unionByName(structure.split_lines(adapters.documents_legal(spark, sf_dir)))
+    return structure.classify_headers(lines).filter("level IS NOT NULL").select("document_id", "pos", "level", "heading")
 
 
 def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,13 +100,23 @@ def _split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.consolidate(structure.chunk(adapters.source_md(spark, sf_dir))).drop("content")
+    rows = structure.consolidate(structure.chunk(adapters.source_md(spark, sf_dir)))
+    return rows.select("document_id", "position", "h1", "h2", "h3", "title", "type", "word_count", "token_count", "n_sections", F.md5("content").alias("content"))
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure.chunk(adapters.documents_md(spark, sf_dir), enforce_cap=True)
+    return rows.select("document_id", "position", "title", "h3", "word_count", "token_count", F.md5("content").alias("content"))
 
 
 def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.outline(structure.chunk(adapters.documents_md(spark, sf_dir)))
 
 
+def _outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.outline_tree(_outline(spark, sf_dir)).select("document_id", F.to_json("nodes").alias("nodes"))
+
+
 def _siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.siblings(structure.chunk(adapters.documents_md(spark, sf_dir))).select("document_id", "position", _joined("siblings"))
 
@@ -124,26 +131,35 @@ def _order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", "document_type", "document_title", "document_reference", "title", "type", "word_count", "enriched_content")
 
 
-def _doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = adapters.documents_md(spark, sf_dir)
-    return statistics.document_statistics(docs, structure.chunk(docs))
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with what their metadata tell, and their sections."""
+    docs = keyed(adapters.documents_md(spark, sf_dir))
+    columns = metadata.metadata_columns(F.col("text"))
+    about = docs.select(*KEY, *(columns[c].alias(c) for c in ("document_type", "document_title", "document_reference")), F.size(columns["parties"]).alias("n_parties"))
+    return about, structuring.structured(docs)
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = adapters.documents_md(spark, sf_dir)
-    sections = context.siblings(structuring.structured(docs))
-    columns = metadata.metadata_columns(F.col("text"))
-    about = docs.select("document_id", metadata.document_type(F.col("text")).alias("document_type"), metadata.title(F.col("text")).alias("document_title"), columns["document_reference"].alias("document_reference"), F.size(columns["parties"]).alias("n_parties"))
-    return quality.score(about, sections)
+    return quality.score(*_scored(spark, sf_dir))
 
 
 def _q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).select("document_id", *(F.round(c, 3).alias(c) for c in ("ocr", "structure", "metadata", "content", "coherence")))
 
 
+def _issue_texts() -> Column:
+    places = lambda i: F.array_join(i.sections_affected.cast("array<string>"), ",")
+    return F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i.severity, i.category, i.message, i.impact, places(i), F.array_join(i.details, ","))), "|")
+
+
 def _q_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = F.transform("issues", lambda i: F.concat_ws(":", i.severity, i.category, i.message, i.impact))
-    return _scores(spark, sf_dir).select("document_id", "overall", F.array_join(issues, "|").alias("issues"), F.array_join("recommendations", "|").alias("recommendations"))
+    return _scores(spark, sf_dir).select("document_id", "overall", _issue_texts().alias("issues"), F.array_join("recommendations", "|").alias("recommendations"))
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.report(*_scored(spark, sf_dir))
+    scores = F.transform_values("scores", lambda _, v: F.round(v, 3))
+    return rows.select("document_id", "overall_score", "grade", "needs_review", F.to_json(scores).alias("scores"), F.size("issues").alias("n_issues"), F.to_json("metrics").alias("metrics"))
 
 
 def _gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +167,42 @@ def _gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.detailed_metrics(structure.keywords(structure.chunk(adapters.documents_md(spark, sf_dir))))
+    docs = keyed(adapters.documents_md(spark, sf_dir))
+    rows = statistics.detailed_metrics(docs, structure.keywords(structure.chunk(docs)))
+    return rows.select("document_id", *[c for c in rows.columns if c not in (*KEY, "sections_by_type")], F.to_json("sections_by_type").alias("sections_by_type"))
+
+
+def _doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = keyed(adapters.documents_md(spark, sf_dir))
+    rows = statistics.document_statistics(docs, structure.chunk(docs))
+    return rows.select("document_id", *[c for c in rows.columns if c not in KEY])
+
+
+def _response_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = keyed(adapters.documents_md(spark, sf_dir))
+    return statistics.response_totals(docs, structure.chunk(docs)).select("document_id", "n_chunks", "n_words", "n_tokens", "tokens_per_chunk")
+
+
+def _row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents some of which have no id, or one that they share."""
+    rows = structuring.chunks(adapters.documents_odd_ids(spark, sf_dir))
+    return rows.select("chunk_id", "document_id", "title", "position", F.md5("content").alias("content"))
+
+
+def _chunk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.paged_lines(adapters.ocr_pages(spark, sf_dir))
+    sections = context.siblings(structuring.structured(docs, keep=("user_id", "project_id", "source", "ocr_confidence", "pages")))
+    rows = sink.nested(structuring.as_chunks(sections).drop("pages"), sink.page_maps(sections), with_source=True)
+    return sink.to_json(rows).select("chunk_id", "json")
+
+
+def _requests(route: Callable[[DataFrame], DataFrame], name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = route(adapters.request_bodies(spark, sf_dir, name))
+        given = [F.md5("text").alias("text"), "source", "page_count", "confidence"]
+        return rows.select("request_id", "document_id", "user_id", "project_id", *(F.when(F.col("reject_code").isNull(), F.col(c) if isinstance(c, str) else c).alias(c if isinstance(c, str) else "text") for c in given), "reject_code")
+
+    return query
 
 
 def _metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,14 +210,26 @@ def _metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.metric_summary(samples)
 
 
+#: Queries of searches: rows whose id is divisible by so many.  Pairs as near as this are found by the search with a threshold.
+QUERY_STEP, NEAR = 20, 0.7
+
+
+def _vector_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = adapters.table(spark, sf_dir, "embeddings")
+    return rows, rows.filter(F.col("vec_id") % QUERY_STEP == 0)
+
+
 def _vector_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = adapters.table(spark, sf_dir, "embeddings")
-    return statistics.nearest(vectors, vectors.filter("vec_id = 0").first()["embedding"])
+    return vectors.nearest(*_vector_queries(spark, sf_dir))
+
+
+def _vector_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.within(*_vector_queries(spark, sf_dir), NEAR)
 
 
 def _latest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = lambda name, value, at: adapters.table(spark, sf_dir, name).select("doc_id", F.lit(value).alias("state"), F.lit(at).alias("updated_at"))
-    return latest_states(state("documents", "pending", 0), state("labels", "done", 1), key="doc_id").select("doc_id", "state")
+    return sink.latest_states(state("documents", "pending", 0), state("labels", "done", 1), key="doc_id").select("doc_id", "state")
 
 
 def _paged(column: Callable[[], Column]) -> Query:
@@ -196,25 +259,34 @@ QUERIES: dict[str, Query] = {
     "toc_and_short_rejects": lambda spark, sf_dir: _rejected(spark, sf_dir).filter("rejected IS NOT NULL").select("document_id", "section_id", "rejected"),
     "section_titles": _of_sections("title"),
     "section_types": _of_sections("type"),
-    "type_histogram": lambda spark, sf_dir: statistics.type_histogram(structure.chunk(adapters.documents_md(spark, sf_dir))),
+    "type_histogram": lambda spark, sf_dir: statistics.type_histogram(structure.chunk(adapters.documents_md(spark, sf_dir))).select("document_id", "type", "count"),
     "keywords_top5": _keywords,
     "token_estimate": lambda spark, sf_dir: adapters.table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens")),
     "oversize_sections": lambda spark, sf_dir: structure.chunk(adapters.documents_md(spark, sf_dir)).filter(structure.is_oversize(F.col("content"))).select("document_id", "position"),
     "split_parts": _split_parts,
     "consolidated": _consolidated,
-    "outline_nodes": _outline,
-    "outline_depth": lambda spark, sf_dir: context.outline_depth(_outline(spark, sf_dir)),
+    "capped_sections": _capped,
+    "outline_nodes": lambda spark, sf_dir: _outline(spark, sf_dir).select("document_id", "level", "title", "parent_h1", "parent_h2", "position"),
+    "outline_depth": lambda spark, sf_dir: context.outline_depth(_outline(spark, sf_dir)).select("document_id", "depth", "nodes"),
+    "outline_tree": _outline_tree,
     "breadcrumbs": _of_structured("breadcrumb"),
     "parents": _of_structured("parent"),
     "siblings": _siblings,
     "enriched": lambda spark, sf_dir: structuring.chunks(adapters.documents_md(spark, sf_dir)).select("document_id", "position", F.md5("enriched_content").alias("enriched")),
     "chunks": _chunks,
     "order_chunks": _order_chunks,
+    "row_keys": _row_keys,
+    "chunk_json": _chunk_json,
+    "ocr_requests": _requests(requests.ocr_requests, "ocr"),
+    "markdown_requests": _requests(requests.markdown_requests, "markdown"),
+    "paged_requests": _requests(requests.paged_requests, "pages"),
     "doc_stats": _doc_stats,
+    "response_totals": _response_totals,
     "page_flatten": _paged(lambda: F.md5("text").alias("text")),
     "page_confidence": _paged(lambda: F.round("confidence", 6).alias("confidence")),
     "q_scores": _q_scores,
     "q_issues": _q_issues,
+    "score_report": _report,
     "q_gibberish": _gibberish,
     "quality_grade": lambda spark, sf_dir: _scores(spark, sf_dir).select("document_id", "grade", "needs_review"),
     "quality_metrics": _metrics,
@@ -222,6 +294,7 @@ QUERIES: dict[str, Query] = {
     "rate_per_minute": lambda spark, sf_dir: statistics.rate_per_minute(adapters.table(spark, sf_dir, "events")),
     "log_counts": lambda spark, sf_dir: adapters.table(spark, sf_dir, "events").filter("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("requests")),
     "vector_top5": _vector_top5,
+    "vector_within": _vector_within,
     "document_lookup": lambda spark, sf_dir: adapters.table(spark, sf_dir, "documents").filter("doc_id = 42").select("doc_id", "lang", "source"),
     "latest_states": _latest_states,
 }
