@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Share of rows held out: 1 of so many.
 FOLDS = 5
@@ -23,16 +24,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def per_class_sample(rows: DataFrame, label: str, size: int) -> DataFrame:
-    """About ``size`` rows of each value of ``label``, chosen by a hash of ``id``; smaller classes are taken whole.
+    """About ``size`` rows of each value of ``label``, chosen by a hash of all columns; smaller classes are taken whole.
 
-    At most ``CLASSES`` classes, and fewer rows of each where all would be over ``SAMPLE_ROWS``.
+    At most ``CLASSES`` classes, and fewer rows of each where all would be over
+    ``SAMPLE_ROWS``.  Rows that share an id, or have none, are told apart by the other
+    columns; classes meet their shares in a join with a small table.
     """
     counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(CLASSES).collect()
     size = max(1, min(size, SAMPLE_ROWS // max(1, len(counts))))
-    share = F.lit(0.0)
-    for value, count in sorted(((r[label], r["count"]) for r in counts), key=str):
-        share = F.when(F.col(label) == value, min(1.0, size / count)).otherwise(share)
-    return rows.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
+    kind = StructType([StructField("_class", rows.schema[label].dataType), StructField("_share", DoubleType())])
+    shares = rows.sparkSession.createDataFrame([(r[label], min(1.0, size / r["count"])) for r in counts], kind)  # CLASSES rows at most
+    chosen = rows.join(F.broadcast(shares), F.col(label).eqNullSafe(F.col("_class")))
+    return chosen.filter(F.pmod(F.xxhash64(*rows.columns, F.lit(17)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select(*rows.columns)
 
 
 def give_back() -> None:

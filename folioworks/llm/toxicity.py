@@ -1,12 +1,16 @@
-"""Toxicity: subword-bag embeddings, averaged, into a linear softmax.
-
-A word is the bag of its character n-grams (with word ends marked) and of
-itself, all hashed to one table of embeddings.  A passage (a few consecutive
-words) is the average of its bags and goes through a linear softmax of two
-classes.  A document is as toxic as its worst passage: a long text with one
-insult must not be averaged away.  Embeddings and softmax are trained jointly in
-numpy, with gradients through each document's worst passages.  A misspelt or
-inflected word shares most of its n-grams with the known one.
+"""Toxicity: subword-bag embeddings averaged into a linear softmax.
+
+A word is the bag of its character n-grams (with word ends marked) and of itself, all
+hashed to one table of embeddings; a document is the average of the bags of all its
+words, and goes through a linear softmax of two classes.  Embeddings and softmax are
+trained jointly in numpy.  A misspelt or inflected word shares most of its n-grams with
+the known one.
+
+Every text ends with a mark that has an embedding of its own and weighs as much as a
+word.  The sign of the average's score is that of the sum over the text and its mark, so
+a few insults count in a long text as they do in a short one, and one n-gram that is
+common to insults and harmless words does not make a text toxic.  A text of its mark
+alone is trained as a clean one.
 """
 
 from __future__ import annotations
@@ -23,13 +27,18 @@ from .folds import give_back, held_out, learn_in_task, per_class_sample
 from .subwords import Marked, blocks, coded_texts, words_of
 
 #: Training rows of each class, and the longest text used to train (scoring has no such bound).
-SAMPLE = 2000
+SAMPLE = 8000
 SAMPLE_CHARS = 12_000
 BUCKETS = 1 << 18
 DIMENSIONS = 12
 SHORTEST, LONGEST = 3, 6
-PASSAGE = 4
-EPOCHS = 60
+#: Subwords that the mark at a text's end weighs, and what an average is multiplied by before the softmax.
+MARK, SHARPNESS = 20, 40.0
+#: Training texts that a bucket must be in, else its embedding stays zero.
+LEAST_TEXTS = 3
+EPOCHS = 120
+#: What a text without words, which is no toxic one, weighs in training beside all others.
+EMPTY = 0.01
 #: Word scores kept by a Python worker; it starts anew when they are more.
 CACHED = 120_000
 
@@ -53,58 +62,58 @@ def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Scores of single buckets (embedding times softmax difference) and the calibration of a document's score."""
+    """Scores of single buckets (embedding times softmax difference), and that of the mark at the end."""
 
-    def __init__(self, scores: np.ndarray, slope: float, offset: float):
-        self.scores, self.slope, self.offset = scores, slope, offset
-        self.cache: dict[str, float] = {}
+    def __init__(self, scores: np.ndarray, mark: float):
+        self.scores, self.mark = scores, mark
+        self.cache: dict[str, tuple[float, int]] = {}
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Mean over each word's bag; ``words`` are different ones."""
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum over each word's bag and the size of the bag; ``words`` are different ones."""
         if len(self.cache) > CACHED:
             self.cache.clear()
-        found = list(map(self.cache.get, words))
-        missing = [w for w, x in zip(words, found, strict=True) if x is None]
-        if missing:
-            for some in blocks(missing):
-                buckets, sizes = bags(some)
-                new = np.add.reduceat(self.scores[buckets], np.cumsum(sizes) - sizes) / sizes
-                self.cache.update(zip(some, new.tolist(), strict=True))
-            found = list(map(self.cache.get, words))
-        return np.array(found, np.float64)
+        missing = [w for w in words if w not in self.cache]
+        for some in blocks(missing) if missing else ():
+            buckets, sizes = bags(some)
+            new = np.add.reduceat(self.scores[buckets], np.cumsum(sizes) - sizes)
+            self.cache.update(zip(some, zip(new.tolist(), sizes.tolist(), strict=True), strict=True))
+        found = [self.cache[w] for w in words]
+        return np.array([x for x, _ in found], np.float64), np.array([n for _, n in found], np.int64)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Probability that each text is toxic; a text without words has the lowest there is, 0."""
-        out = np.zeros(len(texts))
+        """Probability that each text is toxic, were both classes equally frequent; a text without words is its mark alone."""
+        out = np.full(len(texts), self._probability(np.zeros(1), np.zeros(1))[0])
         for start, words, codes, counts in coded_texts(texts):
             some = np.flatnonzero(counts)
             if len(some):
-                worst = _worst(self.word_scores(words)[codes], counts[some])
-                out[start + some] = 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30)))
+                sums, sizes = self.word_scores(words)
+                begin = (np.cumsum(counts) - counts)[some]
+                out[start + some] = self._probability(np.add.reduceat(sums[codes], begin), np.add.reduceat(sizes[codes], begin))
         return out
 
+    def _probability(self, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return _sigmoid(SHARPNESS * (sums + MARK * self.mark) / (sizes + MARK))
 
-def _passages(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of each document, and for each word the end and width of the passage from it (0: runs over the end)."""
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum())
-    end = np.minimum(place + PASSAGE, np.repeat(begin + lengths, lengths))
-    width = end - place
-    width[(width < PASSAGE) & (place != np.repeat(begin, lengths))] = 0
-    return begin, end, width
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-def _worst(each: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Greatest mean of a passage of each document (all have words)."""
-    begin, end, width = _passages(lengths)
-    total = np.concatenate([[0.0], np.cumsum(each)])
-    return np.maximum.reduceat(np.where(width > 0, (total[end] - total[:-1]) / np.maximum(width, 1), -np.inf), begin)
+
+def _texts_with(ids: np.ndarray, owner: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Number of texts that each bucket is in (of words: ``ids`` by ``owner``, bags ``flat`` of ``sizes``)."""
+    at = np.cumsum(sizes) - sizes
+    once = np.unique(owner.astype(np.int64) * len(sizes) + ids)
+    counts = np.zeros(BUCKETS, np.int64)
+    for text in np.split(once % len(sizes), np.flatnonzero(np.diff(once // len(sizes))) + 1) if len(once) else ():
+        own = sizes[text]
+        counts[np.unique(flat[np.repeat(at[text] - (np.cumsum(own) - own), own) + np.arange(own.sum())])] += 1
+    return counts
 
 
 def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> Model:
-    """Fit on ``texts`` and 0/1 labels; ``share`` is the share of label 1 among all labelled rows.
+    """Fit on ``texts`` and 0/1 labels, both classes weighing alike; ``share`` is that of label 1 among all labelled rows.
 
-    Without both classes the model gives every text the share itself.
+    Without both classes the model gives texts without words the share itself, and others about as much.
     """
     toxic = np.asarray(toxic, np.float64)
     index: dict[str, int] = {}
@@ -113,67 +122,39 @@ def train(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> M
     coded, y = [coded[i] for i in some], toxic[some]
     share = min(max(share, 1e-3), 1 - 1e-3)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS), 0.0, float(np.log(share / (1 - share))))
-    ids, lengths = np.concatenate(coded), np.array([len(x) for x in coded])
+        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))) / SHARPNESS)
+    weight = np.append(np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())), EMPTY)
+    y = np.append(y, 0.0)
+    ids, owner = np.concatenate(coded), np.repeat(np.arange(len(coded)), [len(x) for x in coded])
     flat, sizes = bags(list(index))
-    at = np.cumsum(sizes) - sizes
-    begin, end, width = _passages(lengths)
-    owner = np.repeat(np.arange(len(coded)), lengths)
+    weight_of = np.bincount(owner, sizes[ids], len(y)) + MARK
+    learned = _texts_with(ids, owner, flat, sizes) >= LEAST_TEXTS
+    word = np.repeat(np.arange(len(index), dtype=np.int32), sizes)[learned[flat]]
+    flat = flat[learned[flat]]
 
     random = np.random.default_rng(seed)
-    table = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    table = random.normal(0, 0.1, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)  # the last is the mark's
+    table[:-1][~learned] = 0
     softmax = random.normal(0, 0.3, (2, DIMENSIONS)).astype(np.float32)
-    bias = np.zeros(2)
-    seen_table = np.full((BUCKETS, 1), 1e-6, np.float32)
-    seen_softmax, seen_bias = np.full((2, DIMENSIONS), 1e-6), np.full(2, 1e-6)
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    worst = np.zeros(len(coded))
-    for epoch in range(EPOCHS):
+    seen_table, seen_softmax = np.full((BUCKETS + 1, 1), 1e-6, np.float32), np.full((2, DIMENSIONS), 1e-6)
+    for _ in range(EPOCHS):
         direction = softmax[1] - softmax[0]
-        word = np.add.reduceat((table @ direction)[flat], at) / sizes
-        total = np.concatenate([[0], np.cumsum(word[ids])])
-        passage = np.where(width > 0, (total[end] - total[:-1]) / np.maximum(width, 1), -np.inf)
-        worst = np.maximum.reduceat(passage, begin)
-        # early on, gradients reach all passages near the worst one; later that one alone
-        near = max(0.0, 1 - epoch / (0.5 * EPOCHS)) * (worst - np.minimum.reduceat(np.where(width > 0, passage, np.inf), begin)) * 0.3
-        picked = np.flatnonzero(passage >= (worst - near)[owner])
-        share_of = 1 / np.bincount(owner[picked], minlength=len(coded))
-        logit = passage[picked] + bias[1] - bias[0]
-        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[owner[picked]]) * (weight * share_of)[owner[picked]]
-        # words of the picked passages
-        span = width[picked]
-        rows = np.repeat(picked, span) + (np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
-        word_error = np.bincount(ids[rows], np.repeat(error / span, span), minlength=len(index))
-        used = np.flatnonzero(word_error)
-        grams = np.concatenate([flat[at[w] : at[w] + sizes[w]] for w in used])
-        pull = np.bincount(grams, np.repeat(word_error[used] / sizes[used], sizes[used]), minlength=BUCKETS)
+        score = table @ direction
+        sums = np.bincount(owner, np.bincount(word, score[flat], len(index))[ids], len(y)) + MARK * score[-1]
+        error = (_sigmoid(SHARPNESS * sums / weight_of) - y) * weight * SHARPNESS / weight_of
+        word_error = np.bincount(ids, error[owner], len(index))
+        pull = np.append(np.bincount(flat, word_error[word], BUCKETS), MARK * error.sum())
         hit = np.flatnonzero(pull)
         step = pull[hit, None].astype(np.float32)
         gradient_direction = (step * table[hit]).sum(0)
-        gradient = step * direction[None, :].astype(np.float32)
+        gradient = step * direction[None, :]
         seen_table[hit] += (gradient**2).mean(1, keepdims=True)
         table[hit] -= 0.3 * gradient / np.sqrt(seen_table[hit])
         for side, sign in ((1, 1.0), (0, -1.0)):
             seen_softmax[side] += gradient_direction**2
             softmax[side] -= (0.05 * sign * gradient_direction / np.sqrt(seen_softmax[side])).astype(np.float32)
-            g = sign * error.sum()
-            seen_bias[side] += g * g
-            bias[side] -= 0.05 * g / np.sqrt(seen_bias[side])
-    scores = (table @ (softmax[1] - softmax[0])).astype(np.float64)
-    return Model(scores, *_calibrated(worst, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))))
-
-
-def _calibrated(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through weighted 0/1 labels (Newton steps, slightly damped)."""
-    centre, spread = score.mean(), score.std() + 1e-9
-    x = np.stack([(score - centre) / spread, np.ones_like(score)], 1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + 1e-2 * beta
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        beta -= np.linalg.solve(hessian, gradient)
-    return float(beta[0] / spread), float(beta[1] - beta[0] * centre / spread)
+    score = (table @ (softmax[1] - softmax[0])).astype(np.float64)
+    return Model(score[:-1], float(score[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -187,9 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.join(F.broadcast(chosen), "id").filter(F.length("text") <= SAMPLE_CHARS).select("id", "text", "toxic")
     share = share or 0.0
 
-    def learn(sample: list[tuple]) -> tuple[np.ndarray, float, float]:
+    def learn(sample: list[tuple]) -> tuple[np.ndarray, float]:
         model = train([t for _, t, _ in sample], np.array([y for _, _, y in sample]), share)
-        return model.scores.astype(np.float32), model.slope, model.offset
+        return model.scores.astype(np.float32), model.mark
 
     return Model(*learn_in_task(rows, learn, 3 * SAMPLE))
 
@@ -197,10 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """Return ``id, text``, the columns ``keep`` and ``score``, a row for each row of ``docs``, repeated ones included.
 
-    Whole texts of any length; those that are null or have no letters score 0 (equal scores
-    are equal doubles, 0.5 counts as toxic); an empty table gives an empty one.
+    Whole texts of any length; those that are null or have no letters score as the mark at
+    their end (equal texts have equal scores, 0.5 counts as toxic); an empty table gives an
+    empty one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.scores.astype(np.float32), model.slope, model.offset))
+    sent = docs.sparkSession.sparkContext.broadcast((model.scores.astype(np.float32), model.mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Model(*sent.value)

@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from folioworks.llm import byte_bpe, jaccard_join, language_id, main_text, personal_data, quality, source_mix, subwords, substring_dedup, toxicity
+from pyspark.sql import functions as F
+
+from folioworks.llm import byte_bpe, fingerprint, folds, importance, jaccard_join, language_id, main_text, periodic_runs, personal_data, quality, sentence_pieces, source_mix, substring_dedup, subwords, toxicity
 
 PARAGRAPH = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod."
 
@@ -117,17 +119,61 @@ def test_language_scores_by_hand():
 
 
 def test_toxicity_scores_by_hand():
-    """Means of bags, the worst passage of four words and the curve, in plain Python."""
+    """The average over all subwords and the mark at the end, in plain Python."""
     random = np.random.default_rng(1)
-    model = toxicity.Model(random.normal(size=toxicity.BUCKETS), 1.7, -0.4)
+    model = toxicity.Model(random.normal(size=toxicity.BUCKETS), -0.7)
     text = "you are a wonderful worthles thing and more besides"
-    each = []
-    for word in text.split():
-        marked = subwords.Marked([word])
-        hashes = [marked.whole()] + [marked.grams(n)[1] for n in range(3, 7)]
-        each.append(np.mean([model.scores[int(h) % toxicity.BUCKETS] for h in np.concatenate(hashes)]))
-    worst = max(np.mean(each[i : i + 4]) for i in range(len(each) - 3))
-    assert np.allclose(model.score([text, text.split()[0], "", None]), [1 / (1 + np.exp(-(1.7 * w - 0.4))) for w in (worst, each[0])] + [0, 0])
+
+    def by_hand(words):
+        each = [-0.7] * toxicity.MARK
+        for word in words:
+            marked = subwords.Marked([word])
+            each += [model.scores[int(h) % toxicity.BUCKETS] for h in np.concatenate([marked.whole()] + [marked.grams(n)[1] for n in range(3, 7)])]
+        return 1 / (1 + np.exp(-np.clip(toxicity.SHARPNESS * np.mean(each), -30, 30)))
+
+    assert np.allclose(model.score([text, text.split()[0], "", None]), [by_hand(text.split()), by_hand(text.split()[:1]), by_hand([]), by_hand([])])
+
+
+def test_toxicity_learns_as_plain_gradients_do(monkeypatch):
+    """The score after one round, with buckets, texts and weights gone through one by one."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    texts, y = ["you idiot go", "good day to you", "idiots idiot", "a good day", "you go good idiot", "day to day you"], np.array([1, 0, 1, 0, 1, 0])
+    model = toxicity.train(texts, y, 0.5)
+    split = [[int(h) % toxicity.BUCKETS for w in t.split() for m in [subwords.Marked([w])] for h in np.concatenate([m.whole()] + [m.grams(n)[1] for n in range(3, 7)])] for t in texts]
+    learned = {b for t in split for b in t if sum(b in x for x in split) >= toxicity.LEAST_TEXTS}
+    random = np.random.default_rng(7)
+    table = random.normal(0, 0.1, (toxicity.BUCKETS + 1, toxicity.DIMENSIONS)).astype(np.float32)
+    softmax = random.normal(0, 0.3, (2, toxicity.DIMENSIONS)).astype(np.float32)
+    direction = softmax[1] - softmax[0]
+    pull = {}
+    for bag, label, weight in [*((b, v, 1 / 6) for b, v in zip(split, y, strict=True)), ([], 0, toxicity.EMPTY)]:
+        size = len(bag) + toxicity.MARK
+        total = sum(float(table[b] @ direction) for b in bag if b in learned) + toxicity.MARK * float(table[-1] @ direction)
+        error = (1 / (1 + np.exp(-toxicity.SHARPNESS * total / size)) - label) * weight * toxicity.SHARPNESS / size
+        for b in [b for b in bag if b in learned] + [toxicity.BUCKETS] * toxicity.MARK:
+            pull[b] = pull.get(b, 0) + error
+    towards = sum(p * table[b] for b, p in pull.items())
+    for b, p in pull.items():
+        g = p * direction
+        table[b] -= 0.3 * g / np.sqrt(1e-6 + (g**2).mean())
+    softmax[1] -= 0.05 * towards / np.sqrt(1e-6 + towards**2)
+    softmax[0] += 0.05 * towards / np.sqrt(1e-6 + towards**2)
+    after = table @ (softmax[1] - softmax[0])
+    assert np.allclose([model.scores[b] for b in learned] + [model.mark], [after[b] for b in learned] + [after[-1]], atol=1e-3)
+
+
+def test_samples_of_many_classes(spark):
+    """A thousand classes are planned in no time; rows without an id are chosen by their texts."""
+    rows = spark.range(20_000).selectExpr("IF(id % 2 = 0, NULL, id) AS id", "concat('text ', id) AS text", "concat('l', id % 1000) AS lang")
+    chosen = folds.per_class_sample(rows, "lang", 1500)
+    assert chosen.select("lang").distinct().count() == 1000 and chosen.count() == 20_000
+    some = folds.per_class_sample(rows.withColumn("lang", F.lit("l")), "lang", 2000)
+    assert 1500 < some.count() < 2500 and 700 < some.filter("id IS NULL").count() < 1300
+    assert folds.per_class_sample(rows.filter("false"), "lang", 10).count() == 0
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03d}")
+    texts = [f"{name(k)} {name(k)}x {name(k)}x" for k in range(1000)] * 2
+    model = language_id.train(texts, [f"l{k % 1000}" for k in range(2000)])
+    assert model.predict([f"{name(7)} {name(7)}x", f"{name(421)}x"])[0] == ["l7", "l421"]
 
 
 ODD = [(1, None), (1, None), (2, ""), (None, "no id here"), (3, "one"), (4, "w " * 30_000), (5, " ".join(f"t{i}" for i in range(20_000))), (6, "q" * 100_000)]
@@ -137,7 +183,9 @@ def test_odd_rows_and_empty_tables(spark):
     """Nulls, repeated rows, no ids, long texts and clashing columns give a row each; empty tables none."""
     rows = spark.createDataFrame([(i, t, None, None, None, "c", 0.5, 9) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long, id string, score double, component long")
     labels = spark.createDataFrame([(i, int(i == 19)) for i in range(20)], "doc_id long, toxic int")
-    for run in (jaccard_join.op1, language_id.op2, lambda d: toxicity.op9(d, labels), quality.op8, substring_dedup.op10, source_mix.op4, personal_data.op5):
+    target = spark.createDataFrame([("one t1 t2",)], "text string")
+    base = (jaccard_join.op1, language_id.op2, lambda d: toxicity.op9(d, labels), quality.op8, substring_dedup.op10, source_mix.op4, personal_data.op5)
+    for run in (*base, byte_bpe.op6, fingerprint.op7, sentence_pieces.op11, lambda d: importance.op12(d, target), periodic_runs.op13):
         assert run(rows).count() == len(ODD) and run(rows.filter("false")).count() == 0
     for stage in (lambda d: toxicity.keep_clean(d, labels), jaccard_join.keep_one_of_each, personal_data.redacted_documents):
         kept = stage(rows)

@@ -108,9 +108,10 @@ def test_long_runs(spark):
     """Runs of more than 64 letters (no spaces) are read to their end, by op9 and op2."""
     rows, labels = labelled(spark)
     glued = "thething" * 40
-    texts = [glued, glued + "worthless", glued + "worthless" + glued, glued * 60 + "worthless" + glued * 60]
+    texts = [glued, glued + "worthless", glued + "worthless" + glued, glued * 60, glued * 60 + "worthless" + glued * 60, "worthless " + "thing " * 20]
     out = by_id(toxicity.op9(rows.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 900)), "doc_id long, text string")), labels))
-    assert [out[900 + i].predicted for i in range(4)] == [0, 1, 1, 1]
+    scores = [out[900 + i].score for i in range(6)]
+    assert scores[0] < min(scores[1:3]) and scores[3] < scores[4] and [out[900 + i].predicted for i in (0, 3, 5)] == [0, 0, 1]
     model = language_id.train(["thethe thing shentthe"] * 9 + ["eauxle tionle leeau"] * 9, ["en"] * 9 + ["fr"] * 9)
     assert model.predict(["q" * 70 + "thingshent" * 9, "q" * 70 + "eauxtion" * 9])[0] == ["en", "fr"]
     run = "".join(chr(0x4E00 + i) for i in range(200))
