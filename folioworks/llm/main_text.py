@@ -43,8 +43,9 @@ _ASIDE = set("""ad ads adslot advert adverts advertisement advertising sponsor s
 breadcrumb breadcrumbs sidebar side widget widgets footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe
 subscription signup login share sharing social related recommended recommendations comment comments commentlist replies respond disqus pagination pager toolbar skip""".split())
 _STRONG = set("comment comments commentlist replies respond disqus newsletter cookie cookies consent gdpr breadcrumb breadcrumbs pagination pager popup navbar advert adverts advertisement".split())
-_BESIDE = set("site main top bottom global left right primary secondary user box bar wrap wrapper container list area section block links link form content inner slot unit label group row".split())
-_COMMENTS = {"comment", "comments", "reply", "replies"}
+_BESIDE = set("site main top bottom global left right primary secondary user box bar wrap wrapper container list area section block links link form content inner slot unit label group row posts articles stories news items".split())
+_COMMENTS, _OF_COMMENTS = {"comment", "comments", "reply", "replies"}, {"body", "item", "entry", "thread", "parent", "child", "odd", "even", "depth"}
+_ADVERTS = set("ad ads adslot advert adverts advertisement advertising sponsor sponsors sponsored promo promos promotion".split())
 _NOT = {"has", "with", "no", "without", "is"}
 _TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "figcaption"}
 
@@ -89,14 +90,23 @@ class Containers:
         return low
 
 
-def _named_aside(value: str) -> bool:
-    """Whether a class or id names a part that is not the article."""
+def _named_aside(value: str, words: set[str] = _ASIDE) -> bool:
+    """Whether a class or id names, by ``words``, a part that is not the article."""
     for name in value.lower().split():
         parts = [x.rstrip("0123456789") for x in re.split(r"[-_]+", name)]
         parts = [x for x in parts if x]
         if not parts or parts[0] in _NOT:
             continue
-        if not _STRONG.isdisjoint(parts) or (not _ASIDE.isdisjoint(parts) and all(x in _ASIDE or x in _BESIDE for x in parts)):
+        if not _STRONG.isdisjoint(parts) or (not words.isdisjoint(parts) and all(x in words or x in _BESIDE for x in parts)):
+            return True
+    return False
+
+
+def _names_comment(value: str) -> bool:
+    """Whether a class or id names a reader's comment (``comment-12``), and not a state of the article (``comment-open``)."""
+    for name in value.lower().split():
+        parts = [x for x in (p.rstrip("0123456789") for p in re.split(r"[-_]+", name)) if x]
+        if not _COMMENTS.isdisjoint(parts) and all(x in _COMMENTS or x in _BESIDE or x in _OF_COMMENTS for x in parts):
             return True
     return False
 
@@ -111,12 +121,13 @@ def _set_aside(name: str, attributes: str, in_article: bool) -> tuple[bool, bool
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if name == "article":
-            if key in ("class", "id") and not _COMMENTS.isdisjoint(re.split(r"[-_\s]+", value.lower())):
+            if key in ("class", "id") and _names_comment(value):
                 return True, False
             continue
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.lower() in _ROLES):
             return True, False
-        by_name |= key in ("class", "id") and name != "header" and _named_aside(value)
+        # a paragraph of an article is set aside as an advert, not for a word that styles it
+        by_name |= key in ("class", "id") and name != "header" and _named_aside(value, _ADVERTS if in_article and name in _TEXTUAL else _ASIDE)
     return by_name, by_name
 
 
@@ -213,11 +224,12 @@ def lines_of(page: str) -> tuple[list[Line], Containers]:
         else:
             aside += gone
         if name in _RAW:
-            end_of = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end_of = re.compile(rf"</{name}\b", re.I).search(page, at)
+            closed = page.find(">", end_of.end()) if end_of else -1  # where the first has no end, none has
             if not aside:
-                add(page[at : end_of.start() if end_of else len(page)])
+                add(page[at : end_of.start() if closed >= 0 else len(page)])
             close(len(stack) - 1)
-            at = end_of.end() if end_of else len(page)
+            at = closed + 1 if closed >= 0 else len(page)
     part = 0  # text before a part that does not close
     flush()
     close(0)

@@ -1,5 +1,7 @@
 """Long, nested and odd inputs, and the parts of methods that have a second implementation."""
 
+import time
+
 import numpy as np
 
 from pyspark.sql import functions as F
@@ -21,6 +23,25 @@ def test_op3_sections_headers_and_names():
     assert main_text.main_text(f"<main><p>{PARAGRAPH}</p></main><article class='comment'>{PARAGRAPH * 3}</article>") == PARAGRAPH
 
 
+def test_op3_class_words():
+    """Words that style an article or its paragraphs do not empty it; comments and lists of other posts are left out."""
+    for kind in ("post comment-open", "comments-closed entry", "has-comments"):
+        assert main_text.main_text(f"<article class='{kind}'><p>{PARAGRAPH}</p></article>") == PARAGRAPH
+    for kind in ("comment", "comment-17", "reply depth-2", "comment-body"):
+        assert main_text.main_text(f"<main><p>{PARAGRAPH}</p></main><article class='{kind}'><p>{PARAGRAPH * 3}</p></article>") == PARAGRAPH
+    page = f"<article><p class='login'>{PARAGRAPH}</p><p class='side'>{PARAGRAPH}</p><p class='ad'>{PARAGRAPH} x</p><div class='related-posts'>{PARAGRAPH} y</div></article>"
+    assert main_text.main_text(page) == f"{PARAGRAPH}\n{PARAGRAPH}"
+
+
+def test_op3_unclosed_ends():
+    """Raw elements whose end tags never end cost a pass each at most."""
+    began = time.time()
+    assert main_text.main_text(f"<p>{PARAGRAPH}</p><script>" + "</script " * 200_000) == PARAGRAPH
+    assert main_text.main_text(f"<p>{PARAGRAPH}</p>" + "<script></script " * 100_000) == PARAGRAPH
+    assert main_text.main_text(f"<p>{PARAGRAPH}</p><script>x</SCRIPT\n><p>{PARAGRAPH}</p>") == f"{PARAGRAPH}\n{PARAGRAPH}"
+    assert time.time() - began < 10
+
+
 def test_op3_nesting():
     """Depth costs nothing (a walk of the open elements for each tag would take minutes)."""
     for page in ("<div>" * 100_000 + PARAGRAPH, f"<p>{PARAGRAPH}</p>" + "<span>" * 50_000 + "</b>" * 50_000, "<b><div>" + "<span>" * 50_000 + "</b>" * 50_000 + PARAGRAPH):
