@@ -74,6 +74,7 @@ DEFAULT_TYPE, GENERAL = "document", "general"
 UNTITLED_DOCUMENT, UNTITLED_SECTION = "Document sans titre", "Section sans titre"
 TOKEN_RATIO = 3.5
 MAX_CHARS, MAX_TOKENS = 1500, 512
+RATE_PER_MINUTE = 10
 MIN_WORDS = 10
 MIN_TEXT_CHARS = 50
 HEADER_LINES = 50

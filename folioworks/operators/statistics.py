@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import SAMPLES_KEPT
+from ..fixed_values import RATE_PER_MINUTE, SAMPLES_KEPT
 from ..functions.numbers import tenths
 from .keys import by, shared
 
@@ -66,7 +66,7 @@ def metric_summary(samples: DataFrame, kept: int = SAMPLES_KEPT) -> DataFrame:
     )
 
 
-def rate_per_minute(events: DataFrame, limit: int = 10) -> DataFrame:
+def rate_per_minute(events: DataFrame, limit: int = RATE_PER_MINUTE) -> DataFrame:
     """Requests of each user in each minute and whether they are over the limit."""
     minute = F.date_trunc("minute", "ts")
     return events.groupBy("user_id", minute.alias("minute")).agg(F.count("*").alias("requests")).withColumn("limited", F.col("requests") > limit)

@@ -39,6 +39,10 @@ _NUMBERED = r"(?dU)^(\d+\.\d+\.\d+(?:\.\d+)?)\s*[-–:]?\s*(.+)$"
 _CAPITALS = r"(?dU)^\d+/\s+([A-Z\s]{3,80})$"
 
 
+#: Characters and tokens of a chunk at most.
+LIMITS = (MAX_CHARS, MAX_TOKENS)
+
+
 def split_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keys, ``pos, line`` and the columns ``keep``: stripped lines that are not blank."""
     docs = keyed(docs)
@@ -143,7 +147,7 @@ def with_positions(sections: DataFrame, order: tuple[str, ...] = ("section_id",)
     return sections.withColumns({"position": F.row_number().over(w.orderBy(*order)), "n_sections": F.count("*").over(w)})
 
 
-def chunk(docs: DataFrame, keep: tuple[str, ...] = (), enforce_cap: bool = False) -> DataFrame:
+def chunk(docs: DataFrame, keep: tuple[str, ...] = (), enforce_cap: bool = False, limits: tuple[int, int] = LIMITS) -> DataFrame:
     """Sections of ``docs`` (``document_id, text``, columns ``keep``) that are kept, typed and titled, with their positions.
 
     Null and empty texts and texts whose sections are all rejected give no rows; rows
@@ -154,7 +158,7 @@ def chunk(docs: DataFrame, keep: tuple[str, ...] = (), enforce_cap: bool = False
     rows = rows.withColumn("title", section_title(F.col("h1"), F.col("h2"), F.col("h3")))
     order = ("section_id",)
     if enforce_cap:
-        rows, order = split_large(rows, "\n"), ("section_id", "part")
+        rows, order = split_large(rows, "\n", limits), ("section_id", "part")
     content = F.col("content")
     return with_positions(rows.withColumns({"type": section_type(content), "token_count": estimate_tokens(content)}), order)
 
@@ -169,20 +173,20 @@ def has_headers(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", has_header(F.col("text")).alias("has_headers"))
 
 
-def is_oversize(content: Column) -> Column:
+def is_oversize(content: Column, limits: tuple[int, int] = LIMITS) -> Column:
     """Over the limit of characters or tokens."""
-    return (F.length(content) > MAX_CHARS) | (estimate_tokens(content) > MAX_TOKENS)
+    return (F.length(content) > limits[0]) | (estimate_tokens(content) > limits[1])
 
 
-def split_paragraphs(content: Column, separator: str = "\n\n") -> Column:
-    """Pack paragraphs greedily into parts of at most ``MAX_CHARS``; ``array<struct<part, content>>``.
+def split_paragraphs(content: Column, separator: str = "\n\n", limits: tuple[int, int] = LIMITS) -> Column:
+    """Pack paragraphs greedily into parts within ``limits``; ``array<struct<part, content>>``.
 
     A paragraph over the limit stays whole; parts of fewer than ``MIN_WORDS`` words go
     after parts are numbered from 0.  Only lengths are folded; parts are cut out by place.
     """
     gap = len(separator)
     # the state is the length of the part so far, 0 before the first paragraph
-    full = lambda state, p: (state > 0) & ((state + p.n + gap > MAX_CHARS) | (((state + p.n + gap) / F.lit(TOKEN_RATIO)).cast("int") > MAX_TOKENS))
+    full = lambda state, p: (state > 0) & ((state + p.n + gap > limits[0]) | (((state + p.n + gap) / F.lit(TOKEN_RATIO)).cast("int") > limits[1]))
     cuts = lambda state, p: F.when((state == 0) | full(state, p), p.i)
     step = lambda state, p: F.when(full(state, p), p.n + gap).otherwise(state + p.n + gap)
 
@@ -194,9 +198,9 @@ def split_paragraphs(content: Column, separator: str = "\n\n") -> Column:
     return F.filter(bind(F.split(content, separator), parts), lambda p: count_words(p.content) >= MIN_WORDS)
 
 
-def split_large(sections: DataFrame, separator: str = "\n\n") -> DataFrame:
+def split_large(sections: DataFrame, separator: str = "\n\n", limits: tuple[int, int] = LIMITS) -> DataFrame:
     """Split oversize sections (``content, title, h2, h3``) into parts, from the second on marked ``(suite n)``; others stay as one."""
-    rows = sections.withColumn("parts", F.when(is_oversize(F.col("content")), split_paragraphs(F.col("content"), separator)).otherwise(F.array(F.struct(F.lit(0).alias("part"), F.col("content").alias("content")))))
+    rows = sections.withColumn("parts", F.when(is_oversize(F.col("content"), limits), split_paragraphs(F.col("content"), separator, limits)).otherwise(F.array(F.struct(F.lit(0).alias("part"), F.col("content").alias("content")))))
     rows = rows.select(*[c for c in sections.columns if c != "content"], F.explode("parts").alias("p")).select("*", "p.part", "p.content").drop("p", "parts")
     suffix = F.when(F.col("part") > 0, F.concat(F.lit(" (suite "), F.col("part").cast("string"), F.lit(")"))).otherwise("")
     h3 = F.when(F.coalesce("h3", F.lit("")) != "", F.concat("h3", suffix)).when((F.col("part") > 0) & (F.coalesce("h2", F.lit("")) != ""), F.concat("h2", suffix)).otherwise(F.col("h3"))

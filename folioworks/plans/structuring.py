@@ -11,6 +11,7 @@ from ..functions.tables import tables_to_sentences
 from ..functions.text import clean_html_entities, clean_html_markers, clean_latex, clean_noise, estimate_tokens, remove_repeated_lines, split_inline_headers, strip
 from ..operators import context, structure
 from ..operators.keys import by, keyed
+from ..sources.settings import Settings
 
 
 def reject_code() -> Column:
@@ -36,7 +37,7 @@ def with_metadata(docs: DataFrame) -> DataFrame:
     return docs.withColumns(metadata.metadata_columns(F.col("text")))
 
 
-def structured(docs: DataFrame, consolidate: bool = False, keep: tuple[str, ...] = (), enforce_cap: bool = False) -> DataFrame:
+def structured(docs: DataFrame, consolidate: bool = False, keep: tuple[str, ...] = (), enforce_cap: bool = False, limits: tuple[int, int] = structure.LIMITS) -> DataFrame:
     """Sections of cleaned ``docs`` with their keys, metadata, keywords, breadcrumb and parent, and the columns ``keep``.
 
     Metadata travel with the lines, so that ``docs`` (cleaning included) are evaluated once and not joined.
@@ -44,7 +45,7 @@ def structured(docs: DataFrame, consolidate: bool = False, keep: tuple[str, ...]
     about = ("document_type", "document_title", "document_reference")
     docs = keyed(docs)
     columns = metadata.metadata_columns(F.col("text"))
-    rows = structure.chunk(docs.select(*by(docs), "text", *keep, *(columns[c].alias(c) for c in about)), about + keep, enforce_cap)
+    rows = structure.chunk(docs.select(*by(docs), "text", *keep, *(columns[c].alias(c) for c in about)), about + keep, enforce_cap, limits)
     if consolidate:
         rows = structure.consolidate(rows, about + keep)
     rows = structure.keywords(rows)
@@ -67,3 +68,9 @@ def rejects(docs: DataFrame) -> DataFrame:
     """``document_id, reject_code`` of each row that is refused or has no heading; within the row."""
     code = F.coalesce(reject_code(), F.when(~structure.has_header(F.col("text")), F.lit("STRUCTURE_NOT_DETECTED")))
     return docs.select("document_id", code.alias("reject_code")).filter("reject_code IS NOT NULL")
+
+
+def chunks_as_set(docs: DataFrame, settings: Settings) -> DataFrame:
+    """:func:`chunks` of raw ``docs`` (with ``source``) as a run's settings ask: which sources, and whether and where sections are cut."""
+    taken = docs.filter(F.col("source").isin(*settings.sources)) if settings.sources else docs
+    return as_chunks(structured(clean(taken), keep=("source",), enforce_cap=settings.enforce_cap, limits=(settings.max_chunk_chars, settings.max_chunk_tokens)))

@@ -9,7 +9,7 @@ from folioworks.operators import vectors
 from folioworks.plans import structuring
 from folioworks.sinks import chunks as sink
 from folioworks.sinks import states
-from folioworks.sources import adapters, requests
+from folioworks.sources import adapters, requests, settings
 
 LONG = "# Titre\n" + " ".join(f"mot{i}" for i in range(20))
 
@@ -64,6 +64,26 @@ def test_pages_of_chunks(spark):
     assert "page_number" not in sink.nested(structuring.as_chunks(sections)).schema["metadata"].dataType.names
 
 
+def test_settings(spark):
+    lines = "\n".join(f"ligne {i} " + " ".join(["mot"] * 20) for i in range(12))
+    docs = spark.createDataFrame([("a", f"# T\n{lines}", "x"), ("b", f"# T\n{lines}", "y")], "document_id string, text string, source string")
+    given = {"max_chunk_chars": "300", "max_chunk_tokens": "many", "enforce_cap": "true", "sources": '["x"]', "rate_per_minute": "7"}
+    try:
+        assert settings.Settings.of(spark) == settings.Settings()
+        for name, value in given.items():
+            spark.conf.set(settings.PREFIX + name, value)
+        found = settings.Settings.of(spark)
+        assert found == settings.Settings(300, 512, True, 7, ("x",))
+        rows = structuring.chunks_as_set(docs, found).collect()
+        assert {r.document_id for r in rows} == {"a"} and len(rows) > 3 and max(len(r.content) for r in rows) <= 300
+        assert structuring.chunks_as_set(docs, settings.Settings()).count() == 2
+        for broken in ("x]", "{}", "[1]"):
+            assert settings.json_list(broken, ["d"]) == ["d"]
+    finally:
+        for name in given:
+            spark.conf.unset(settings.PREFIX + name)
+
+
 def table(spark, rows):
     return spark.createDataFrame(rows, "document_id string, state string, updated_at int")
 
