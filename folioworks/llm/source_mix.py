@@ -72,10 +72,10 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     (words before the end of the budget) with one entry for each copy of which
     words are taken.  Null and empty texts have size 0 and no copies; null is a
     source of its own; repeated rows are documents of their own; copies that finish
-    at the same time are served by a hash of id and size; an empty table gives an
-    empty one.
+    at the same time are served by a hash of id, text and size; texts of any length are
+    counted whole; an empty table gives an empty one.
     """
-    order = F.xxhash64("id", F.lit(SEED))
+    order = F.xxhash64("id", "text", F.lit(SEED))  # with the text, so that rows that share an id are dealt apart
     sized = settle(docs.select("id", "source", n_words(F.col("text")).alias("size"), order.alias("turn"), *keep))
     by_source = targets(sized, weights, budget, repeats)
     served = _served(sized, by_source, repeats, keep)
@@ -113,7 +113,7 @@ def _served(sized: DataFrame, by_source: DataFrame, repeats: int, keep: tuple[st
         packet = F.when(in_service, F.ceil(F.col("size") / PACKETS)).otherwise(F.col("size"))
         return F.struct(
             F.lit(i).alias("copy"), start.alias("served"), F.try_divide(start, "target").alias("start"), F.try_divide(finish, "target").alias("finish"),
-            F.col("size").alias("size"), packet.cast("long").alias("packet"), F.xxhash64("id", "size", F.lit(i)).alias("tie"),
+            F.col("size").alias("size"), packet.cast("long").alias("packet"), F.xxhash64("turn", "size", F.lit(i)).alias("tie"),
         )
 
     copies = F.filter(F.array(*map(copy, range(repeats))), lambda c: (c.size > 0) & c.finish.isNotNull())

@@ -3,7 +3,6 @@
 import time
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from folioworks.llm import byte_bpe, fingerprint, folds, importance, jaccard_join, language_id, main_text, periodic_runs, personal_data, quality, sentence_pieces, source_mix, substring_dedup, subwords, toxicity
@@ -213,3 +212,12 @@ def test_odd_rows_and_empty_tables(spark):
         assert kept.columns == rows.columns and stage(rows.filter("false")).count() == 0
         assert sorted((r.doc_id or 0, r.text or "", r.id, r.score, r.component) for r in kept.collect()) == sorted((i or 0, t or "", "c", 0.5, 9) for i, t in ODD)
     assert main_text.op3(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_op4_without_ids(spark):
+    """Rows without an id, or that share one, are dealt by their texts: reruns over other partitions take the same words of the same texts."""
+    rows = [(None if i % 3 else 7, " ".join(f"t{i}w{k}" for k in range(1 + i * 37 % 50)), "ab"[i % 2], 1) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    once, again = (sorted(r.text for r in source_mix.mixed_documents(docs.repartition(n)).collect()) for n in (2, 5))
+    assert once == again and len(once) > 240
+    assert len({r.finish for r in source_mix.op4(docs).filter("taken > 0").collect()}) > 200
