@@ -75,8 +75,8 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 
 def clean_html_entities(text: Column) -> Column:
-    """Decode HTML5 character references (batches of rows that have an ``&``)."""
-    return F.when(text.contains("&"), _unescape(text)).otherwise(text)
+    """Decode HTML5 character references; only texts that have an ``&`` go to Python (``text`` should be a column, as it is read twice)."""
+    return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
 
 
 def split_inline_headers(text: Column) -> Column:

@@ -26,8 +26,8 @@ def reject_code() -> Column:
 
 def clean(docs: DataFrame) -> DataFrame:
     """All cleaning steps over ``text`` in order, within the row; other columns stay."""
-    docs = docs.withColumn("text", clean_html_entities(clean_html_markers(F.coalesce("text", F.lit("")))))
-    docs = tables_to_sentences(docs)
+    docs = docs.withColumn("text", clean_html_markers(F.coalesce("text", F.lit(""))))
+    docs = tables_to_sentences(docs.withColumn("text", clean_html_entities(F.col("text"))))
     docs = docs.withColumn("text", remove_repeated_lines(F.col("text")))
     return docs.withColumn("text", clean_noise(clean_latex(split_inline_headers(F.col("text")))))
 
