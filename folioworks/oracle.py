@@ -272,7 +272,8 @@ def _request(columns: str, table: str, reject: str) -> str:
 
 
 def _given(**columns: str) -> str:
-    return ", ".join(f"CASE WHEN reject_code IS NULL THEN {value} END AS {name}" for name, value in columns.items())
+    """Columns of accepted requests; page counts of others are 0."""
+    return ", ".join(f"CASE WHEN reject_code IS NULL THEN {value} {'ELSE 0 ' * (name == 'page_count')}END AS {name}" for name, value in columns.items())
 
 
 _SENT = "(SELECT doc_id AS r, coalesce(CASE WHEN doc_id % 11 = 3 THEN repeat(' ', 60) WHEN doc_id % 11 = 4 THEN left(text, 30) ELSE text END, '') AS body_text FROM documents)"
@@ -359,7 +360,7 @@ SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY place)
  ELSE CAST(to_json({{{{'chunk_id': {_CHUNK_ID}, 'document_id': document_id, 'user_id': 'u', 'project_id': 'p', 'content': content, 'enriched_content': {_ENRICHED}, 'metadata': {{{{META, 'page_number': page.turn, 'confidence': page.confidence::DOUBLE}}}}}}}}) AS VARCHAR) END AS json
  FROM placed LEFT JOIN keywords USING (document_id, section_id) LEFT JOIN siblings USING (document_id, position) JOIN (SELECT document_id, ocr_confidence FROM docs_md) USING (document_id) ASOF JOIN (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn, confidence, first_line FROM placed_pages) page ON placed.document_id = page.document_id AND placed.first_pos >= page.first_line""".replace("{{", "{").replace("}}", "}").replace("META", f"'chunkIndex': position - 1, 'h1': h1, 'h2': h2, 'h3': h3, 'title': title, 'type': type, 'wordCount': word_count, 'tokenCount': token_count, 'enrichedTokenCount': {_tokens(_ENRICHED)}, 'keywords': coalesce(string_split(keywords, ','), []), 'breadcrumb': breadcrumb, 'sectionPosition': position, 'documentType': document_type, 'documentTitle': document_title, 'documentReference': document_reference, 'ocrSource': 'mistral-ocr-3', 'ocrConfidence': ocr_confidence, 'parentSection': parent, 'siblingSections': coalesce(beside, []), 'source': 'mistral-ocr-3'")),
     "ocr_requests": _request(_given(text="md5(body_text)", source="CASE WHEN r % 2 = 0 THEN 'paddleocr' ELSE 'pymupdf' END", page_count="CAST(r % 9 AS INTEGER)", confidence="CAST(r % 100 / 2 AS DOUBLE)"), _SENT, f"WHEN {_strip('body_text')} = '' THEN 'EMPTY_TEXT' WHEN length(body_text) < 50 THEN 'TEXT_TOO_SHORT' WHEN r % 11 = 5 THEN 'MISSING_OWNER'"),
-    "markdown_requests": _request(_given(text="md5(body_text)", source="'pymupdf'", page_count="NULL", confidence="NULL"), _SENT, f"WHEN length(body_text) < 50 THEN 'TEXT_TOO_SHORT' WHEN r % 11 = 5 THEN 'MISSING_OWNER' WHEN {_strip('body_text')} = '' THEN 'OCR_PROCESSING_ERROR'"),
+    "markdown_requests": _request(_given(text="md5(body_text)", source="'pymupdf'", page_count="0", confidence="CAST(NULL AS DOUBLE)"), _SENT, f"WHEN length(body_text) < 50 THEN 'TEXT_TOO_SHORT' WHEN r % 11 = 5 THEN 'MISSING_OWNER' WHEN {_strip('body_text')} = '' THEN 'OCR_PROCESSING_ERROR'"),
     "paged_requests": _request(_given(text="md5(body_text)", source="'mistral-ocr-3'", page_count="pages", confidence="average"), _SENT_PAGES, "WHEN pages = 0 THEN 'NO_PAGES' WHEN r % 11 = 5 THEN 'MISSING_OWNER' WHEN length(body_text) < 50 THEN 'TEXT_TOO_SHORT'"),
     "vector_within": _with(_SIMILAR, "SELECT * FROM pairs WHERE similarity >= 0.7"),
 }

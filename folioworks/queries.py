@@ -199,8 +199,10 @@ def _chunk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _requests(route: Callable[[DataFrame], DataFrame], name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = route(adapters.request_bodies(spark, sf_dir, name))
-        given = [F.md5("text").alias("text"), "source", "page_count", "confidence"]
-        return rows.select("request_id", "document_id", "user_id", "project_id", *(F.when(F.col("reject_code").isNull(), F.col(c) if isinstance(c, str) else c).alias(c if isinstance(c, str) else "text") for c in given), "reject_code")
+        accepted = F.col("reject_code").isNull()
+        given = {"text": F.md5("text"), "source": F.col("source"), "confidence": F.col("confidence")}
+        pages = F.when(accepted, F.coalesce("page_count", F.lit(0))).otherwise(0)
+        return rows.select("request_id", "document_id", "user_id", "project_id", *(F.when(accepted, c).alias(name) for name, c in given.items()), pages.alias("page_count"), "reject_code")
 
     return query
 
