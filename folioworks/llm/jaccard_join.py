@@ -335,7 +335,8 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     component`` with a row for each input row; ``component`` is the least id that
     links lead to.  Texts that are null or have no words have no shingles and are
     linked with nothing; neither are rows with a null id (component null).  Rows
-    that share an id should share the text: of several texts one is linked.
+    that share an id should share the text: of several texts one is linked.  Texts of any
+    length are one set each; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     docs = docs.select("id", "text")

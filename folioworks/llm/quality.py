@@ -147,7 +147,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
     ``quality`` is the posterior probability of a good document.  Null and empty
     texts have no words and get what the rules that can judge them say; repeated
-    rows are judged alike; an empty table gives an empty one.
+    rows are judged alike; texts of any length are judged whole (those of more than 2 to the
+    power of ``PLACE_BITS`` words by another sort, with the same result); an empty table
+    gives an empty one.
     """
     rows = statistics(docs)
     names = [f"v{i}" for i in range(len(RULES))]

@@ -101,7 +101,8 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     ``id, text, n_words, n_removed, kept`` (the kept words joined by one space).
     Null and empty texts have no words and keep none; rows with a null id are
     returned unchanged (they precede nothing); rows that share an id are one
-    document's and never count against each other.  Input rows are all returned.
+    document's and never count against each other.  Input rows are all returned; texts of
+    any length are cut whole; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     docs = docs.select("id", "text")

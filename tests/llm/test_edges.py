@@ -221,3 +221,54 @@ def test_op4_without_ids(spark):
     once, again = (sorted(r.text for r in source_mix.mixed_documents(docs.repartition(n)).collect()) for n in (2, 5))
     assert once == again and len(once) > 240
     assert len({r.finish for r in source_mix.op4(docs).filter("taken > 0").collect()}) > 200
+
+
+def digest_by_hand(text):
+    """Length and classes of the bucket counts, triplet by triplet."""
+    data = text.encode()
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % (1 << 64)
+        return x ^ x >> 31
+
+    counts = [0] * 256
+    kinds = fingerprint.TRIPLETS + (fingerprint.SHORT_TRIPLETS if len(data) < fingerprint.SHORT else ())
+    for k, offsets in enumerate(kinds):
+        for i in range(len(data) - max(offsets)):
+            key = k + 1
+            for at in offsets:
+                key = key << 8 | data[i + at]
+            counts[mixed(key) % 256] += 1
+    ordered = sorted(counts)
+    limits = [ordered[q * 64 - 1] for q in (1, 2, 3)]
+    return min(255, round(4 * float(np.log2(1 + len(data))))), [sum(c > limit for limit in limits) for c in counts]
+
+
+def test_op7_by_hand():
+    texts = ["", "a", "abc", "été à l'île " * 3, PARAGRAPH, PARAGRAPH * 20, PARAGRAPH[5:] + "x", "x" * 400, "日本語" * 9]
+    hexes = fingerprint._digests_of(texts)
+    held = [digest_by_hand(t) for t in texts]
+    for text, (length, classes) in zip(hexes, held, strict=True):
+        packed = bytes([length]) + bytes(sum(classes[4 * i + k] << 2 * k for k in range(4)) for i in range(64))
+        assert text == packed.hex()
+    for (n, a) in held:
+        for (m, b) in held:
+            steps = sum({0: 0, 1: 1, 2: 3, 3: 6}[abs(x - y)] for x, y in zip(a, b, strict=True))
+            want = min(1.0, max(0.0, 1 - (steps / 256 + abs(n - m) / 32) / 2))
+            got = fingerprint.likeness([hexes[held.index((n, a))]], [hexes[held.index((m, b))]])[0]
+            assert abs(got - want) < 1e-12
+
+
+def test_op8_long_texts(spark, monkeypatch):
+    """Texts of more words than a place has bits for take another path, with the same counts."""
+    monkeypatch.setattr(quality, "PLACE_BITS", 5)
+    random = np.random.default_rng(3)
+    texts = [" ".join(f"w{random.integers(k)}" for _ in range(n)) for k in (2, 4, 30) for n in (20, 33, 64, 200)] + ["a b c " * 30, "x"]
+    got = {r.doc_id: r.n_repeat_words for r in quality.op8(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        assert got[i] == len({k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)})
