@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a block of queries, and rows compared with it at a time.
-BLOCK_BYTES, SLICE_ROWS = 32 << 20, 2048
+#: Bytes of a block of queries, and rows and queries compared at a time (8 MB of similarities).
+BLOCK_BYTES, SLICE_ROWS, SLICE_QUERIES = 32 << 20, 2048, 512
 _PAIRS = "query_id long, vec_id long, similarity double"
 
 
@@ -58,9 +58,11 @@ def _compare(vectors: DataFrame, block: DataFrame, width: int, pick: Callable[[n
                 if not len(query_ids) or not there.any():
                     continue
                 of = part.column(0).to_numpy(zero_copy_only=False)[there]
-                similar = np.round(queries @ rows[there].T, 6) + 0.0
-                q, r = pick(similar)
-                yield pa.record_batch({"query_id": query_ids[q], "vec_id": of[r], "similarity": similar[q, r]})
+                columns = rows[there].T
+                for at in range(0, len(query_ids), SLICE_QUERIES):
+                    similar = np.round(queries[at : at + SLICE_QUERIES] @ columns, 6) + 0.0
+                    q, r = pick(similar)
+                    yield pa.record_batch({"query_id": query_ids[at + q], "vec_id": of[r], "similarity": similar[q, r]})
 
     return vectors.filter("vec_id IS NOT NULL").select("vec_id", "embedding").mapInArrow(run, _PAIRS)
 
