@@ -37,7 +37,7 @@ def table_sentences(text: Column) -> Column:
 
     def marked(line: Column) -> Column:
         bars = lambda s: F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit("")))
-        return bind(strip(line), lambda s: F.struct(line.alias("line"), s.alias("s"), ((s.startswith("|") & s.endswith("|")) | (bars(s) >= 2)).alias("is")))
+        return bind(F.when(line.contains("|"), strip(line)), lambda s: F.struct(line.alias("line"), s.alias("s"), F.coalesce((s.startswith("|") & s.endswith("|")) | (bars(s) >= 2), F.lit(False)).alias("is")))
 
     def rewritten(rows: Column) -> Column:
         n = F.size(rows)
